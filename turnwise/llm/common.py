@@ -14,6 +14,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Other characters that part words where punctuation is no part of them: all ASCII but letters and digits.
+PUNCTUATION = np.array([not (48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122 or x >= 128) for x in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -63,14 +65,14 @@ def _power(kind: str, n: int) -> np.ndarray:
 class Words:
     """Words of consecutive texts as spans of one byte array; text i has words first[i]:first[i+1]."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, parted_by: np.ndarray = _IS_SPACE):
         texts = texts.cast(pa.large_binary()) if not isinstance(texts, pa.LargeBinaryArray) else texts
         _, offsets, data = texts.buffers()
         at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
         self.data = _LOWER[self.data] if lower else self.data
         at = at - at[0]
-        word = ~_IS_SPACE[self.data]
+        word = ~parted_by[self.data]
         edge = np.zeros(len(word) + 1, bool)
         edge[at] = True
         self.starts = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
@@ -87,6 +89,22 @@ class Words:
         return mix((total[self.ends] - total[self.starts]) * _power("down", n)[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 
+def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of `width` words at every word, and whether the shingle lies within one text."""
+    n = len(words)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, n)):
+        out[: n - k] += words[k:] * np.uint64(pow(_BASE, 2 * k + 3, 2**64))
+    inside = np.ones(n, bool)
+    for k in range(1, width):
+        inside[np.maximum(first[1:] - k, first[:-1])[first[1:] > first[:-1]]] = False
+    if n:
+        inside[max(0, n - width + 1) :] = False
+        if width == 1:
+            inside[:] = True
+    return mix(out), inside
+
+
 def runs(texts: pa.Array, most: int = 1 << 20):
     """(from, to) of consecutive texts holding about `most` bytes; a longer text stands alone."""
     sizes = np.cumsum(np.asarray(texts.cast(pa.large_binary()).value_lengths(), dtype=np.int64)) if hasattr(texts, "value_lengths") else np.cumsum([len(x) for x in texts.cast(pa.large_binary()).to_pylist()])
