@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from turnwise.llm.common import Words, durable, runs
 
@@ -183,3 +184,26 @@ def labelled(labels: DataFrame) -> DataFrame:
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = rates(docs, fit(docs, labelled(labels), DOMAINS), WEIGHTS)
     return found.select("doc_id", F.col("n").cast("long").alias("n_tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
+
+
+def keep(docs: DataFrame, model: Classifier, weights: dict[str, float]) -> DataFrame:
+    """The rows of docs that the rates draw, with their own columns: a row stays if its rate, at most 1, exceeds a number in
+    [0, 1) hashed from its doc_id and text. The budget is the share of words expected in the weighted domains, so that
+    documents of those are kept and the others' rates fall towards zero."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
+
+    def scored(batches):
+        for batch in batches:
+            for lo, hi in runs(batch.column(1)):
+                some = batch.slice(lo, hi - lo)
+                doc, bucket, dense, n = document_features(some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n.astype(float)), pa.array(list(model.posterior(doc, bucket, dense)), pa.list_(pa.float64()))], names=["row", "n", "p"])
+
+    members = durable(posteriors(docs, model).select("n", "p"), "members")
+    totals = members.agg(*(F.sum(F.col("n") * F.col("p")[k]).alias(d) for k, d in enumerate(model.domains))).first()
+    w = np.array([weights.get(x, 0.0) for x in model.domains])
+    budget = sum(totals[d] or 0.0 for d in model.domains if weights.get(d))
+    steps = solve(members, w / w.sum() * budget, 1.0)
+    draw = F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(1 << 20)) / float(1 << 20)
+    schema = StructType([rows.schema["row"], StructField("n", DoubleType()), StructField("p", ArrayType(DoubleType()))])
+    return rows.mapInArrow(scored, schema).where(_rate(steps, 1.0) > draw).select("row.*")
