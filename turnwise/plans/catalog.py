@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
-from turnwise.operators import intervals, segments, sessions, signal
+from turnwise.operators import intervals, segments, sessions, signal, spectral
+from turnwise.plans import summaries
 from turnwise.sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -405,3 +406,28 @@ def _(spark, d):
 @query("header_json", "select event_id, (props->>'k')::int as k from events")
 def _(spark, d):
     return V.table(spark, d, "events").select("event_id", F.from_json("props", "k int", {"mode": "FAILFAST"})["k"].alias("k"))
+
+
+def _pair_tracks(spark, d):
+    return signal.align_common(V.track(spark, d, "click"), V.track(spark, d, "view"))
+
+
+@query("gcc_phat")
+def _(spark, d):
+    return spectral.segment_delays(_pair_tracks(spark, d), rate=4, window_s=1.0, segment_s=8.0, max_lag_s=0.5, band=None)
+
+
+@query("cross_spectra")
+def _(spark, d):
+    return spectral.cross_spectra(_pair_tracks(spark, d), 4, 4)
+
+
+@query("cancel_echo")
+def _(spark, d):
+    return spectral.cancel_echo(_pair_tracks(spark, d), block=4, reach=8, ratio=10.0)
+
+
+@query("map_reduce_summary")
+def _(spark, d):
+    lines = V.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("line_no"), F.col("text").alias("line"))
+    return summaries.summarize(lines, 160)

@@ -1,5 +1,7 @@
 """Timed views over the driver's tables, which hold no audio: segments, turns, blocks, tracks and frames by fixed rules."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,3 +36,11 @@ def track(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_type") == event_type)
     idx = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
     return e.select(F.col("user_id").alias("session_id"), idx.alias("idx"), (F.col("value") / 100.0).alias("x"))
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the shared folder (spark.checkpoint.dir; a temporary one where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnwise-"))
+    return df.checkpoint()
