@@ -36,7 +36,7 @@ _GOOD_WORDS = frozenset("article articles main content contents body story post
 _BAD_WORDS = frozenset(
     "nav navbar navigation menu menubar header head masthead topbar footer foot bottom sidebar side aside rail widget widgets ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal form forms search login signup subscribe newsletter share social related recommended breadcrumb breadcrumbs comment comments reply replies disqus pagination pager tags meta copyright legal skip toolbar".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<>]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -61,7 +61,7 @@ def parse(page: str) -> Node:
         tag = m.group(2)
         if tag is None:
             s = m.group()
-            if s.startswith("<!") or s.startswith("<?"):
+            if s[0] == "<" and len(s) > 1:  # a comment, a declaration or a tag that the page's end cuts off
                 continue
             if run is None:
                 run = Node("#", at)

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import Words, durable, mix, runs, whole_text
 
 FOLDS, HELD_OUT, FOLD = 10, 0, 1
-UNIT, BUCKET = 4 << 20, 16 << 20
+UNIT, BUCKET = 2 << 20, 5 << 20
 ALPHA = 0.1
 _END = np.uint64(0x5EED0FE27D)
 _CONTEXT = np.uint64(0xD6E8FEB86659FD93)
+#: Pairs keep 48 bits, so that a question costs a quarter less; words keep all 64, as their counts are exact.
+_PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 #: The weights' histogram: steps of a quarter octave, at most LEVELS of them each way, for at most 41 buckets.
 STEPS, LEVELS, BUCKETS, ROUNDS = 4, 160, 41, 60
 
@@ -48,7 +50,7 @@ class Unit:
         end, self.word = self.word[-1], self.word[:-1]
         self.context = np.concatenate([[end], self.word[:-1]])
         codes, pair = np.unique(self.context * len(self.words) + self.word, return_inverse=True)
-        hashes = mix(self.words[codes // len(self.words)] * _CONTEXT + self.words[codes % len(self.words)])
+        hashes = mix(self.words[codes // len(self.words)] * _CONTEXT + self.words[codes % len(self.words)]) & _PAIR_BITS
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -73,6 +75,17 @@ def _numbered(batches):
             unit += 2
 
 
+def _short(pairs: np.ndarray) -> bytes:
+    """The six bytes of each pair's hash that are in use."""
+    return np.ascontiguousarray(pairs.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _questions(buckets: int):
     def ask(batches):
         for number, rows in _numbered(batches):
@@ -91,7 +104,7 @@ def _questions(buckets: int):
                     out["unit"].append(number)
                     out["check"].append(check)
                     out["n"].append(cut[0].stop - cut[0].start)
-                    out["hashes"].append(b"".join(s[0][c].tobytes() for s, c in zip(sides, cut, strict=True)))
+                    out["hashes"].append(sides[0][0][cut[0]].tobytes() + _short(sides[1][0][cut[1]]))
                     for k, name in enumerate(("train", "fold")):
                         out[name].append(b"".join(s[1][k][c].tobytes() for s, c in zip(sides, cut, strict=True)))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -106,7 +119,7 @@ _ANSWER = "bucket int, unit bigint, check bigint, n int, train binary, fold bina
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """Sums of a bucket, dealt back to each unit in its own order; a last row has the bucket's statistics."""
     n = group["n"].to_numpy()
-    hashes = [np.frombuffer(x, "<u8") for x in group["hashes"]]
+    hashes = [np.concatenate([np.frombuffer(x, "<u8", m), _long(x[8 * m :])]) for x, m in zip(group["hashes"], n, strict=True)]
     counts = {k: [np.frombuffer(x, "<u4") for x in group[k]] for k in ("train", "fold")}
     out, stats = {k: [[None, None] for _ in n] for k in counts}, None
     for side in range(2):

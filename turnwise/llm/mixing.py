@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from turnwise.llm.common import Words, durable, runs
 
 TRAIN_DOCS, WORDS, Z, EPOCHS = 4000, 1 << 18, 4.0, 200
-ITERATIONS, TOLERANCE, STALL = 40, 1e-4, 1e-3
+ITERATIONS, TOLERANCE, STALL, TRIES = 40, 2e-4, 1e-4, 5
 _CLASSES = np.zeros((256, 5))
 _CLASSES[65:91, 0] = 1  # capitals
 _CLASSES[list(b"#*$%&|<>"), 1] = 1
@@ -144,23 +144,27 @@ def _rate(steps: list[np.ndarray], most: float | None) -> Column:
 
 
 def solve(members: DataFrame, targets: np.ndarray, most: float | None = None) -> list[np.ndarray]:
-    """The steps of the projected gradient; _rate() makes rates of them. members: n and p, durable."""
-    d, steps, last, size, stalls = len(targets), [], np.inf, 1.0, 0
-    total = max(1.0, float(np.sum(targets)))
+    """The steps of the projected gradient; _rate() makes rates of them. members: n and p, durable.
+
+    A step that doesn't bring the totals nearer is taken back and halved."""
+    d, taken, best, size, failures = len(targets), [], np.inf, 1.0, 0
+    total, steps = max(1.0, float(np.sum(targets))), []
     for _ in range(ITERATIONS):
         r = members.select("n", "p", _rate(steps, most).alias("r"))
         free = (F.col("r") > 0) if most is None else (F.col("r") > 0) & (F.col("r") < most) | F.lit(not steps)
         sums = r.agg(*(F.sum(F.col("n") * F.col("r") * F.col("p")[k]).alias(f"a{k}") for k in range(d)), *(F.sum(F.when(free, F.col("n") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d))).first()
         residual = np.array([sums[f"a{k}"] or 0.0 for k in range(d)]) - targets
         far = float(np.linalg.norm(residual))
-        if last - far < STALL * total:  # bounds can keep the targets out of reach
-            size, stalls = size / 2, stalls + 1
-        if far <= TOLERANCE * total or stalls == 3:
+        if far < best - STALL * total or not steps:
+            best, taken, failures, size = far, steps, 0, min(1.0, 2 * size)
+            h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
+            direction = np.linalg.solve(h + np.eye(d) * (1e-6 * total + 1e-9), residual)
+        else:
+            size, failures = size / 2, failures + 1
+        if best <= TOLERANCE * total or failures == TRIES:
             break
-        last = min(last, far)
-        h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-        steps.append(size * np.linalg.solve(h + np.eye(d) * (1e-6 * total + 1e-9), residual))
-    return steps
+        steps = [*taken, size * direction]
+    return taken
 
 
 def rates(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float = 1.0, most: float | None = None) -> DataFrame:
