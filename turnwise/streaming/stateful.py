@@ -80,7 +80,7 @@ def align_stream(blocks: DataFrame) -> DataFrame:
         mic, system, at = state.get if state.exists else ([], [], 0)
         pending, done = {"mic": list(mic), "system": list(system)}, False
         for row in pd.concat(list(batches)).sort_values("block_idx").itertuples():
-            pending[row.channel] += list(row.samples)
+            pending[row.channel] += [float(v) for v in row.samples]
             done = done or bool(row.last)
         if done:
             n = max(map(len, pending.values()))
