@@ -146,8 +146,10 @@ def _rate(steps: list[np.ndarray], most: float | None) -> Column:
 def solve(members: DataFrame, targets: np.ndarray, most: float | None = None) -> list[np.ndarray]:
     """The steps of the projected gradient; _rate() makes rates of them. members: n and p, durable.
 
-    A step that doesn't bring the totals nearer is taken back and halved."""
-    d, taken, best, size, failures = len(targets), [], np.inf, 1.0, 0
+    A scaled step that doesn't bring the totals nearer is taken back, and the plain gradient's step follows, whose length
+    (one over the largest curvature) can't lead away. It ends at the tolerance, when TRIES steps gain little, or after
+    ITERATIONS; targets out of reach are then approached, not met."""
+    d, taken, best, failures = len(targets), [], np.inf, 0
     total, steps = max(1.0, float(np.sum(targets))), []
     for _ in range(ITERATIONS):
         r = members.select("n", "p", _rate(steps, most).alias("r"))
@@ -155,15 +157,19 @@ def solve(members: DataFrame, targets: np.ndarray, most: float | None = None) ->
         sums = r.agg(*(F.sum(F.col("n") * F.col("r") * F.col("p")[k]).alias(f"a{k}") for k in range(d)), *(F.sum(F.when(free, F.col("n") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d))).first()
         residual = np.array([sums[f"a{k}"] or 0.0 for k in range(d)]) - targets
         far = float(np.linalg.norm(residual))
-        if far < best - STALL * total or not steps:
-            best, taken, failures, size = far, steps, 0, min(1.0, 2 * size)
+        gained = best - far
+        if gained > 0 or not steps:
+            best, taken, nearest = far, steps, residual
+        failures = 0 if gained > STALL * total else failures + 1
+        if not steps or failures == 0:
             h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-            direction = np.linalg.solve(h + np.eye(d) * (1e-6 * total + 1e-9), residual)
+            most_curved = max(float(np.linalg.eigvalsh(h)[-1]), 1e-9) if not steps else most_curved
+            step = np.linalg.solve(h + np.eye(d) * (1e-6 * total + 1e-9), residual)
         else:
-            size, failures = size / 2, failures + 1
+            step = nearest / most_curved
         if best <= TOLERANCE * total or failures == TRIES:
             break
-        steps = [*taken, size * direction]
+        steps = [*taken, step]
     return taken
 
 
