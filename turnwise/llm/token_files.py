@@ -13,6 +13,7 @@ executors and any store Spark writes to will do. Documents are range-partitioned
 ascending doc_id; a file closes at FILE_IDS ids, at a document's end. Ties of doc_id are put in order of a hash of their text, then the text.
 Null text encodes as the end id alone; a null doc_id sorts first and comes back as null."""
 
+import functools
 import struct
 import zlib
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import durable, runs, whole_text
 
-BLOCK, WIDTH_PERCENTILE, FILE_IDS, END = 128, 90, 1 << 20, 1
-CACHE_WORDS = 200_000
+BLOCK, WIDTH_PERCENTILE, FILE_IDS, END = 128, 90, 1 << 18, 1
+#: Words in each of the two generations of a worker's cache.
+CACHE_WORDS = 250_000
 _HEAD = struct.Struct("<4sIQI")
 _NULL = -(2**63)
 
@@ -116,8 +118,8 @@ class Encoder:
             need = set().union(*split)
         found = {w: self.old[w] for w in need & self.old.keys()}
         new = list(need - found.keys())
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
+        for lo in range(0, len(new), 2_000):
+            part = new[lo : lo + 2_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 found[w] = np.array(e.ids, "<u4").tobytes()
         self.young.update(found)
@@ -125,13 +127,19 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+@functools.cache
+def _encoder(tokenizer: str) -> Encoder:
+    """One encoder a Python worker, so that its cache outlives a task."""
+    return Encoder(tokenizer)
+
+
 def encode_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """(part, seq, n_ids, file): the token files of docs, in ascending doc_id by part and seq."""
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, seq, encode = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        part, seq, encode = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
         keys, lengths, ids, held = [], [], [], 0
         mark = np.array([end], "<u4").tobytes()
 
@@ -143,7 +151,7 @@ def encode_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             return row
 
         for batch in batches:
-            for lo, hi in runs(batch.column(1), 1 << 20):
+            for lo, hi in runs(batch.column(1), 1 << 19):
                 some = batch.slice(lo, hi - lo)
                 for key, b in zip(some.column(0).to_pylist(), encode(some.column(1).cast(pa.large_binary()).to_pylist()), strict=True):
                     keys.append(key)
