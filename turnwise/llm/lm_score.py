@@ -148,6 +148,9 @@ def _met(docs: pd.DataFrame, answers: pd.DataFrame):
         raise RuntimeError("the documents of a unit changed between two scans; write the source out first")
     found = []
     for side, name in ((0, "train"), (0, "fold"), (1, "train"), (1, "fold")):
+        if name not in answers:
+            found.append(None)
+            continue
         parts = [np.frombuffer(x, "<u8")[slice(0, m) if side == 0 else slice(m, None)] for x, m in zip(answers[name], answers["n"], strict=True)]
         found.append(np.concatenate(parts).astype(np.float64))
     return unit, *found
@@ -220,7 +223,7 @@ def score(docs: DataFrame) -> DataFrame:
         sums = [np.bincount(unit.text, x, n) for x in (c > 0, np.log10((c + ALPHA) / (total + ALPHA * (v + 1))), np.log10(p))]
         return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": remainder(docs["doc_id"]) == HELD_OUT, "n_tokens": unit.lengths, "n_known": sums[0].astype(np.int64), "train_tokens": total, "base_score": sums[1], "score": sums[2]})
 
-    return units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInPandas(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return units.groupBy("unit").cogroup(replies.drop("fold").groupBy("unit")).applyInPandas(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op10(docs: DataFrame) -> DataFrame:
