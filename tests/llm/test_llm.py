@@ -16,6 +16,7 @@ import pytest
 import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from turnwise.llm import common, crf_quality, decontaminate, html_extract, lm_score, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_files
 
@@ -138,8 +139,6 @@ def test_components_of_a_chain(spark):
 
 
 def test_op7(docs, empty):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(token_files.tokenizer_path())
     got, start = {r.doc_id: r for r in token_files.op7(docs).collect()}, 0
     for i, text in enumerate(TEXTS):
@@ -149,6 +148,19 @@ def test_op7(docs, empty):
     assert token_files.op7(empty).count() == 0
 
 
+def test_encoder():
+    """Words put together give the ids of whole texts, also where a letter changes as it is lower-cased or composed."""
+    marks = "aAbBzZ Éé ıİK ß ſ'’.,;:!?-<|>0９ñн\u0331\u0301 hH 中文ツ한\u1112\u01c5ªº\u0378\U0001e900    \x85\n\t"
+    texts = ["".join(RNG.choice(marks) for _ in range(RNG.randint(0, 50))) for _ in range(3000)]
+    texts += ["<|endoftext|>, a<|STARTOFTEXT|>. <|startoftext|>x", "don't, we're. it's! 'tis", "H\u0331, \u1e96 İ.", prose(2000) + "."]
+    tokenizer = Tokenizer.from_file(token_files.tokenizer_path())
+    encode = token_files.Encoder(token_files.tokenizer_path())
+    assert encode.last is not None
+    for lo in range(0, len(texts), 500):
+        for text, got in zip(texts[lo : lo + 500], encode([t.encode() for t in texts[lo : lo + 500]]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 3000])
 def test_blocks(n):
     rng = np.random.default_rng(n)

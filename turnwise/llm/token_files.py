@@ -14,8 +14,10 @@ ascending doc_id; a file closes at FILE_IDS ids, at a document's end. Ties of do
 Null text encodes as the end id alone; a null doc_id sorts first and comes back as null."""
 
 import functools
+import json
 import struct
 import zlib
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ from turnwise.llm.common import durable, runs, whole_text
 BLOCK, WIDTH_PERCENTILE, FILE_IDS, END = 128, 90, 1 << 18, 1
 #: Words in each of the two generations of a worker's cache.
 CACHE_WORDS = 250_000
+#: Fixed value: the pattern of the tokenizers whose words of letters may be encoded together.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that close a word; behind a letter they are a piece of their own.
+CLOSING = b",.;:!?"
 _HEAD = struct.Struct("<4sIQI")
 _NULL = -(2**63)
 
@@ -102,28 +108,68 @@ def read_slice(file: bytes, start: int, stop: int) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts word by word through a bounded cache; the tokenizer's rules never join what white space parts."""
+    """Encodes texts word by word through a bounded cache; the tokenizer's rules never join what white space parts.
+
+    Where the tokenizer splits by SPLIT, lower-cases and marks the last id of a piece (a suffix in its vocabulary), a word
+    of letters is one piece and closing marks are another, so new words of letters are encoded many at a time, parted by
+    white space, and cut behind the marked ids."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(tokenizer), {}, {}
+        rules = json.loads(self.tokenizer.to_str())
+        suffix, split = rules["model"].get("end_of_word_suffix"), json.dumps(rules["pre_tokenizer"])
+        self.last = None
+        if suffix and json.dumps(SPLIT) in split and '"Lowercase"' in json.dumps(rules["normalizer"]):
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _alone(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 2_000):
+            part = words[lo : lo + 2_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.young[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 4_000):
+            part = words[lo : lo + 4_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(cut) != len(part):  # a letter to Python, but not to the tokenizer
+                self._alone(part)
+                continue
+            raw = ids.tobytes()
+            self.young.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=False))
+
+    def _add(self, words: list[bytes]) -> None:
+        alone, pieces = [], {}
+        for w in words:
+            stem = w.rstrip(CLOSING)
+            if self.last is not None and (stem.isalpha() or not stem.isascii() and normalize("NFC", stem.decode()).lower().isalpha()):
+                pieces[w] = stem.lower() if stem.isascii() else stem, w[len(stem) :]
+            else:
+                alone.append(w)
+        young, old = self.young, self.old
+        known = {s: old[s] for s, _ in pieces.values() if s in old}
+        young.update(known)
+        self._together(list({s for s, _ in pieces.values() if s not in young}))
+        self._alone(alone + list({t for _, t in pieces.values() if t not in young}))
+        for w, (stem, tail) in pieces.items():
+            young[w] = young[stem] + young[tail]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [t.split() for t in texts]
-        need = set().union(*split) - self.young.keys()
+        need = set().union(*split)
         if len(self.young) + len(need) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-            need = set().union(*split)
-        found = {w: self.old[w] for w in need & self.old.keys()}
-        new = list(need - found.keys())
-        for lo in range(0, len(new), 2_000):
-            part = new[lo : lo + 2_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, "<u4").tobytes()
-        self.young.update(found)
-        get = self.young.__getitem__
+        young, old = self.young, self.old
+        need = [w for w in need if w not in young]
+        young.update({w: old[w] for w in need if w in old})
+        self._add([w for w in need if w not in young])
+        get = young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
