@@ -54,8 +54,9 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     body: list[bytes] = [b""] * n
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        bits = (np.where(over[rows], 0, rest[rows])[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little").tobytes()
+        inner = np.where(over[rows], np.uint32(0), rest[rows]).astype("<u4", copy=False)
+        bits = np.unpackbits(inner.view(np.uint8).reshape(-1, 4), axis=1, count=w, bitorder="little")
+        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").tobytes()
         for k, r in enumerate(rows.tolist()):
             body[r] = packed[k * 16 * w : (k + 1) * 16 * w]
     places, values = np.nonzero(over)[1].astype(np.uint8).tobytes(), rest[over].astype("<u4").tobytes()
@@ -74,8 +75,9 @@ def unpack(blocks: bytes, starts: np.ndarray, first: int = 0, last: int | None =
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         packed = raw[s[rows][:, None] + 6 + np.arange(16 * w)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        out[rows] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32) if w else 0
+        bits = np.zeros((len(rows) * BLOCK, 32), np.uint8)
+        bits[:, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows) * BLOCK, w)
+        out[rows] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
     for r in np.flatnonzero(n_over).tolist():
         at, k = int(s[r]) + 6 + 16 * int(width[r]), int(n_over[r])
         out[r, raw[at : at + k]] = np.frombuffer(blocks, "<u4", k, at + k)
