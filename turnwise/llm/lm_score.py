@@ -5,7 +5,7 @@ context's count. They are learned by expectation-maximisation on a deleted fold
 FOLD), whose own counts are taken off the counts that predict it.
 
 Counts cover all training documents. A scan task cuts its documents into units of about UNIT bytes; a unit sends its
-distinct n-grams (64-bit hashes) with their counts to hash buckets, a bucket sums them and answers every unit, so each
+distinct n-grams (steps of ascending 64-bit hashes) with their counts to hash buckets, a bucket sums them and answers every unit, so each
 shuffle carries distinct n-grams of a unit rather than tokens, and a common n-gram costs one entry a unit. Answers meet
 the unit's documents by unit. Only N, V and a bounded histogram for the weights reach the driver. Units are numbered by
 scan task and place; an answer carries a checksum of the question, so a source whose rows move between scans raises an
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import Words, durable, mix, runs, whole_text
 
 FOLDS, HELD_OUT, FOLD = 10, 0, 1
-UNIT, BUCKET = 2 << 20, 5 << 20
+UNIT, BUCKET = 1 << 20, 3 << 20
 ALPHA = 0.1
 _END = np.uint64(0x5EED0FE27D)
 _CONTEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -75,15 +75,32 @@ def _numbered(batches):
             unit += 2
 
 
-def _short(pairs: np.ndarray) -> bytes:
-    """The six bytes of each pair's hash that are in use."""
-    return np.ascontiguousarray(pairs.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def _short(pairs: np.ndarray) -> np.ndarray:
+    """The six bytes of each pair's hash that are in use, as numbers."""
+    return pairs >> np.uint64(16)
 
 
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def _long(short: np.ndarray) -> np.ndarray:
+    return short << np.uint64(16)
+
+
+def _planes(numbers: np.ndarray, width: int = 8) -> bytes:
+    """All first bytes, then all second bytes, and so on, so that high bytes are runs of zeros, which the shuffle's compression removes."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _joined(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers of _planes."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first from zero; they need two bytes less than the hashes."""
+    return np.diff(ascending, prepend=np.uint64(0))
 
 
 def _questions(buckets: int):
@@ -104,9 +121,9 @@ def _questions(buckets: int):
                     out["unit"].append(number)
                     out["check"].append(check)
                     out["n"].append(cut[0].stop - cut[0].start)
-                    out["hashes"].append(sides[0][0][cut[0]].tobytes() + _short(sides[1][0][cut[1]]))
+                    out["hashes"].append(_planes(_steps(sides[0][0][cut[0]])) + _planes(_steps(_short(sides[1][0][cut[1]])), 6))
                     for k, name in enumerate(("train", "fold")):
-                        out[name].append(b"".join(s[1][k][c].tobytes() for s, c in zip(sides, cut, strict=True)))
+                        out[name].append(_planes(np.concatenate([s[1][k][c] for s, c in zip(sides, cut, strict=True)]), 4))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -119,8 +136,8 @@ _ANSWER = "bucket int, unit bigint, check bigint, n int, train binary, fold bina
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """Sums of a bucket, dealt back to each unit in its own order; a last row has the bucket's statistics."""
     n = group["n"].to_numpy()
-    hashes = [np.concatenate([np.frombuffer(x, "<u8", m), _long(x[8 * m :])]) for x, m in zip(group["hashes"], n, strict=True)]
-    counts = {k: [np.frombuffer(x, "<u4") for x in group[k]] for k in ("train", "fold")}
+    hashes = [np.concatenate([np.cumsum(_joined(x[: 8 * m], m), dtype=np.uint64), _long(np.cumsum(_joined(x[8 * m :], (len(x) - 8 * m) // 6), dtype=np.uint64))]) for x, m in zip(group["hashes"], n, strict=True)]
+    counts = {k: [_joined(x, len(x) // 4) for x in group[k]] for k in ("train", "fold")}
     out, stats = {k: [[None, None] for _ in n] for k in counts}, None
     for side in range(2):
         cut = [slice(0, m) if side == 0 else slice(m, None) for m in n]
@@ -131,11 +148,11 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
             at = 0
             for i, h in enumerate(hashes):
                 m = len(h[cut[i]])
-                out[k][i][side] = sums[k][place[at : at + m]].tobytes()
+                out[k][i][side] = sums[k][place[at : at + m]]
                 at += m
         if side == 0:
             stats = int((sums["train"] > 0).sum()), int(sums["train"].sum()), int(sums["fold"].sum())
-    rows = pd.DataFrame({"bucket": group["bucket"], "unit": group["unit"], "check": group["check"], "n": group["n"], "train": [a + b for a, b in out["train"]], "fold": [a + b for a, b in out["fold"]], "v": None, "total": None, "fold_total": None})
+    rows = pd.DataFrame({"bucket": group["bucket"], "unit": group["unit"], "check": group["check"], "n": group["n"], **{k: [_planes(np.concatenate(x)) for x in out[k]] for k in out}, "v": None, "total": None, "fold_total": None})
     last = pd.DataFrame([{"bucket": int(group["bucket"].iloc[0]), "unit": None, "check": None, "n": None, "train": None, "fold": None, "v": stats[0], "total": stats[1], "fold_total": stats[2]}])
     return pd.concat([rows.astype(object), last.astype(object)], ignore_index=True)
 
@@ -151,7 +168,7 @@ def _met(docs: pd.DataFrame, answers: pd.DataFrame):
         if name not in answers:
             found.append(None)
             continue
-        parts = [np.frombuffer(x, "<u8")[slice(0, m) if side == 0 else slice(m, None)] for x, m in zip(answers[name], answers["n"], strict=True)]
+        parts = [_joined(x, len(x) // 8)[slice(0, m) if side == 0 else slice(m, None)] for x, m in zip(answers[name], answers["n"], strict=True)]
         found.append(np.concatenate(parts).astype(np.float64))
     return unit, *found
 
