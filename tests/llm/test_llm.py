@@ -343,6 +343,48 @@ def test_op1(spark, docs, empty):
     assert all(of.get(a, set()) & of.get(b, set()) for a, b in partners)
 
 
+def _op1_passages(spark, texts):
+    rows = substring_dedup.op1(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.doc_id, set()).add(r.passage_id)
+    return of
+
+
+def test_op1_bystanders(spark):
+    """Each value that two documents with a common passage share also stands in an earlier document without the passage."""
+    rng = random.Random(9)
+    some = lambda n: [rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(n)]
+    passage, early = some(50), []
+    late = [some(40) + passage + some(40) for _ in range(2)]
+    found = lambda text, salt: [x.tolist() for x in substring_dedup.compact_windows(*substring_dedup._sequences(pa.array([" ".join(text)])), salt)]
+    for salt in substring_dedup._SALTS[: substring_dedup.HASHES]:
+        _, v, _, c, _ = found(late[0], salt)
+        for value in set(v) & set(found(late[1], salt)[1]):
+            at = c[v.index(value)]
+            text = next(x for _ in range(10000) if value in found(x := some(45) + late[0][at : at + 5] + some(45), salt)[1])
+            early.append(text)
+    texts = [" ".join(x) for x in early + late]
+    of = _op1_passages(spark, texts)
+    assert len(early) >= 4 and set(of) == {len(early), len(early) + 1} and of[len(early)] & of[len(early) + 1]
+
+
+def test_op1_recall(spark):
+    """Passages of 50 words of which one is changed: 41 of 51 shingles in common, just within the contract's 0.8."""
+    rng = random.Random(10)
+    some = lambda n: [rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(n)]
+    texts = []
+    for _ in range(400):
+        p = some(50)
+        q = [*p]
+        q[rng.randrange(5, 45)] += "x"
+        texts += [" ".join(some(30) + p + some(30)), " ".join(some(30) + q + some(30))]
+    want = [k for k in range(0, len(texts), 2) if substring_dedup.shared(*(substring_dedup._sequences(pa.array([t]))[0] for t in (texts[k + 1], texts[k])))]
+    of = _op1_passages(spark, texts)
+    got = sum(bool(of.get(k, set()) & of.get(k + 1, set())) for k in want)
+    assert len(want) == 400 and got >= 0.995 * len(want), (got, len(want))
+
+
 def test_shared_with_a_gap():
     a = np.arange(100, dtype=np.uint64)
     b = np.concatenate([np.arange(500, 520), np.arange(0, 50), np.arange(900, 905), np.arange(55, 100)]).astype(np.uint64)
