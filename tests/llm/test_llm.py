@@ -392,6 +392,18 @@ def test_shared_with_a_gap():
     assert found[:4] == (0, 100, 20, 120) and found[4] > 0.8
 
 
+def test_shared_takes_every_place():
+    p, q = np.arange(100, 160, dtype=np.uint64), np.arange(200, 270, dtype=np.uint64)
+    apart = lambda k: np.arange(k * 1000, k * 1000 + 40, dtype=np.uint64)
+    spans = lambda a, b: {x[:4] for x in substring_dedup.shared(np.concatenate(a), np.concatenate(b))}
+    assert spans([p, q], [apart(1), p, apart(2), q]) == {(0, 60, 40, 100), (60, 130, 140, 210)}
+    assert spans([apart(1), p, apart(2), q], [p, q]) == {(40, 100, 0, 60), (140, 210, 60, 130)}
+    assert spans([p], [p, apart(1), p]) == {(0, 60, 0, 60), (0, 60, 100, 160)}
+    assert spans([p], [apart(1), p, p]) == {(0, 60, 40, 100), (0, 60, 100, 160)}
+    assert spans([p, p], [apart(1), p]) == {(0, 60, 40, 100), (60, 120, 40, 100)}
+    assert spans([q, p], [p, q]) == {(0, 130, 0, 130)}
+
+
 def test_words():
     texts = pa.array(["a bb", "", "  c\x0b", "bb"])
     w = common.Words(texts)
