@@ -144,9 +144,11 @@ _DOUBLED = f"""{_SEGMENTS}, doubled as (select session_id, seq, channel, start,
  select session_id, seq + 1000, 'system', start + 1e0, "end" + 1e0, text || '!' from segments where channel = 'mic' and seq % 4 = 0 and length(text) < 200)"""
 
 
-def _doubled(spark, d):
+def _doubled(spark, d, longest=200):
+    """Segments and echoes of some; the queries with SQL echo texts under 200 characters, as the SQL does."""
     s = V.segments(spark, d).select("session_id", "seq", "channel", "start", "end", "text")
-    echo = s.where("channel = 'mic' and seq % 4 = 0 and length(text) < 200").select("session_id", (F.col("seq") + 1000).alias("seq"), F.lit("system").alias("channel"), (F.col("start") + 1.0).alias("start"), (F.col("end") + 1.0).alias("end"), F.concat("text", F.lit("!")).alias("text"))
+    echo = s.where("channel = 'mic' and seq % 4 = 0")
+    echo = (echo if longest is None else echo.where(F.length("text") < longest)).select("session_id", (F.col("seq") + 1000).alias("seq"), F.lit("system").alias("channel"), (F.col("start") + 1.0).alias("start"), (F.col("end") + 1.0).alias("end"), F.concat("text", F.lit("!")).alias("text"))
     return s.unionByName(echo)
 
 
@@ -169,7 +171,13 @@ def _(spark, d):
 
 @query("bleed_dedup_ratio")
 def _(spark, d):
-    return intervals.drop_bleed(_doubled(spark, d), lambda a, b: T.text_ratio(a, b) >= 0.6).select("session_id", "seq", "channel")
+    return intervals.drop_bleed(_doubled(spark, d, None), lambda a, b: T.text_ratio(a, b) >= 0.6).select("session_id", "seq", "channel")
+
+
+@query("bleed_dedup_levenshtein_whole")
+def _(spark, d):
+    """Texts of any length and script; without SQL, as DuckDB's levenshtein counts bytes."""
+    return intervals.drop_bleed(_doubled(spark, d, None), lambda a, b: T.text_similarity(a, b) >= 0.6).select("session_id", "seq", "channel")
 
 
 @query("dup_rate", rf"""with {_DOUBLED}, n as (select *, regexp_replace(lower(regexp_replace(text, '!$', '')), '^\s+|\s+$', '', 'g') as plain from doubled),
