@@ -343,6 +343,13 @@ def test_op1(spark, docs, empty):
     assert all(of.get(a, set()) & of.get(b, set()) for a, b in partners)
 
 
+def test_op9_email_in_plain_prose(spark):
+    """With a model that takes every proposal: neither a digit nor @ is needed for an obfuscated address."""
+    df = spark.createDataFrame([(0, "please write to jane (at) example (dot) com soon"), (1, "or to jane [at] example [dot] com"), (2, "met at (noon) today")], "doc_id long, text string")
+    took = {r.doc_id: len(r.more_email) for r in pii.spans(df, {"sql": "1.0D", "limits": dict.fromkeys(pii.KINDS, 0.5)}).collect()}
+    assert took == {0: 1, 1: 1, 2: 0}
+
+
 def _op1_passages(spark, texts):
     rows = substring_dedup.op1(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
     of = {}

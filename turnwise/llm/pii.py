@@ -209,14 +209,14 @@ def _beats(c: Column, first: bool):
 
 def spans(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and, for each kind, the base spans (base_<kind>) and the added ones (more_<kind>), each an array of (start, end)."""
-    texts = whole_text(docs).withColumn("some", F.col("text").rlike("[0-9@]"))
+    texts = whole_text(docs)
     text = F.col("text")
     pair = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))
     nothing = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
     needs = {"email": text.rlike(r"@|[(\[]at"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20.-]?[0-9]){11}"), "phone": text.rlike(r"\+[0-9]|[0-9](?:[\x20().-]{0,2}[0-9]){6}")}
     out = texts
     for kind in KINDS:
-        use = F.col("some") & needs[kind]
+        use = needs[kind]
         base = F.transform(F.filter(matches(text, BASE[kind]), _stands(kind)), pair)
         out = out.withColumn(f"base_{kind}", F.when(use, base).otherwise(nothing)).withColumn(f"try_{kind}", F.when(use, _proposed(kind, text)))
     for kind in KINDS:
