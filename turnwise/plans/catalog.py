@@ -94,6 +94,11 @@ def _(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), T.is_cjk_junk(text).alias("junk"))
 
 
+@query("cjk_junk_whole", r"select conv_id, turn::bigint as turn, regexp_matches(text, '[\x{3000}-\x{9fff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]') and not regexp_matches(text, '[a-zA-Z]') as junk from conversations")
+def _(spark, d):
+    return V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), T.is_cjk_junk(F.col("text")).alias("junk"))
+
+
 @query("word_counts", r"select conv_id, turn::bigint as turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::int as words from conversations")
 def _(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), T.word_count(F.col("text")).alias("words"))
