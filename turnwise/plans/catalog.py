@@ -198,10 +198,10 @@ def _(spark, d):
     return segments.interleave(V.segments(spark, d)).select("session_id", "seq", "pos")
 
 
-def _transcripts(spark, d):
+def _transcripts(spark, d, kept=lambda s: s):
     named = _assigned(spark, d).withColumn("speaker", F.when(F.col("speaker").isNotNull(), T.speaker_label(F.col("speaker"))))
     named = named.withColumn("text", T.strip(F.col("text"))).where("text <> ''")
-    return segments.render(segments.drop_hallucinations(named), V.segments(spark, d))
+    return segments.render(kept(segments.drop_hallucinations(named)), V.segments(spark, d))
 
 
 @query("render_transcript", rf"""with {_BEST}, kept as (select s.session_id, seq, start, channel, regexp_replace(text, '^\s+|\s+$', '', 'g') as text, case when channel = 'mic' then 'me' when speaker is null then 'them' else 'Speaker ' || (speaker + 1) end as label
@@ -212,6 +212,12 @@ def _(spark, d):
     return _transcripts(spark, d)
 
 
+@query("render_transcript_deduped")
+def _(spark, d):
+    """With bleed removed, as the reference renders; without SQL, which has no such ratio."""
+    return _transcripts(spark, d, lambda s: intervals.drop_bleed(s, lambda a, b: T.text_ratio(a, b) >= 0.6))
+
+
 @query("session_header", f"""with t as (select user_id, date_trunc('second', min(ts)) as a, date_trunc('second', max(ts)) as b from events group by 1)
 select user_id, '**Started:** ' || strftime(a, '%Y-%m-%d %H:%M') || '  ' || chr(10) || '**Ended:** ' || strftime(b, '%Y-%m-%d %H:%M') || '  ' || chr(10) || '**Duration:** ' || {_duration("date_diff('second', a, b)")} || chr(10) || chr(10) as header from t""")
 def _(spark, d):
