@@ -11,13 +11,14 @@ residuals (16 * width bytes), places u8[], residuals u32[].
 Files are rows of a Parquet table (part, seq, file): Spark's commit protocol makes the write safe against lost
 executors and any store Spark writes to will do. Documents are range-partitioned by doc_id, so that part and seq follow
 ascending doc_id; a file closes at FILE_IDS ids, at a document's end. Ties of doc_id are put in order of a hash of their text, then the text.
-Null text encodes as the end id alone; a null doc_id sorts first and comes back as null."""
+Null text encodes as the end id alone; a null doc_id sorts first and comes back as null; repeated rows are encoded each.
+An empty table gives no files; other columns are not read."""
 
 import functools
 import json
+import re
 import struct
 import zlib
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import durable, runs, whole_text
 
 BLOCK, WIDTH_PERCENTILE, FILE_IDS, END = 128, 90, 1 << 18, 1
-#: Words in each of the two generations of a worker's cache.
-CACHE_WORDS = 250_000
-#: Fixed value: the pattern of the tokenizers whose words of letters may be encoded together.
+#: Pieces in each of the two generations of a worker's cache.
+CACHE_PIECES = 400_000
+#: Fixed value: the pattern of the tokenizers whose pieces may be encoded together.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Marks that close a word; behind a letter they are a piece of their own.
-CLOSING = b",.;:!?"
+#: PLAIN characters are ASCII and the letters of Latin-1 and Latin Extended-A but for U+0130; composed and lower-cased alike
+#: everywhere. A special token may begin at "<|". Between words stands ASCII white space. PIECES is SPLIT for plain text.
+NOT_PLAIN = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]|<\|").search
+BETWEEN = re.compile(r"[^\t-\r ]+").findall
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ſ]+|[0-9]|[^\t-\r a-zß-öø-ſ0-9]+").findall
 _HEAD = struct.Struct("<4sIQI")
 _NULL = -(2**63)
 
@@ -110,69 +114,86 @@ def read_slice(file: bytes, start: int, stop: int) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts word by word through a bounded cache; the tokenizer's rules never join what white space parts.
+    """Encodes texts piece by piece through a bounded cache.
 
-    Where the tokenizer splits by SPLIT, lower-cases and marks the last id of a piece (a suffix in its vocabulary), a word
-    of letters is one piece and closing marks are another, so new words of letters are encoded many at a time, parted by
-    white space, and cut behind the marked ids."""
+    Where the tokenizer splits by SPLIT, lower-cases and marks the last id of a piece (a suffix in its vocabulary), texts of
+    PLAIN characters are split here by the same pattern, and new pieces are encoded many at a time, parted by white space
+    and cut behind the marked ids; neither the normaliser nor the splitter need run for them. Words with other characters,
+    and all words of other tokenizers, are encoded alone: the tokenizer's rules never join what white space parts."""
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(tokenizer), {}, {}
+        self.tokenizer, self.pieces, self.words = Tokenizer.from_file(tokenizer), Generations(CACHE_PIECES), Generations(CACHE_PIECES // 8)
         rules = json.loads(self.tokenizer.to_str())
-        suffix, split = rules["model"].get("end_of_word_suffix"), json.dumps(rules["pre_tokenizer"])
-        self.last = None
-        if suffix and json.dumps(SPLIT) in split and '"Lowercase"' in json.dumps(rules["normalizer"]):
-            vocabulary = self.tokenizer.get_vocab()
-            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-
-    def _alone(self, words: list[bytes]) -> None:
+        model, split = rules["model"], json.dumps(rules["pre_tokenizer"])
+        suffix, self.last = model.get("end_of_word_suffix"), None
+        if suffix and json.dumps(SPLIT) in split and '"ByteLevel"' in split and '"Lowercase"' in json.dumps(rules["normalizer"]):
+            pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=suffix, cache_capacity=0))
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.last[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+
+    def _encode_words(self, words: list[str]) -> None:
         for lo in range(0, len(words), 2_000):
             part = words[lo : lo + 2_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.words.young[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _together(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 4_000):
-            part = words[lo : lo + 4_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), 4_000):
+            part = pieces[lo : lo + 4_000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-            if len(cut) != len(part):  # a letter to Python, but not to the tokenizer
-                self._alone(part)
-                continue
             raw = ids.tobytes()
-            self.young.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=False))
-
-    def _add(self, words: list[bytes]) -> None:
-        alone, pieces = [], {}
-        for w in words:
-            stem = w.rstrip(CLOSING)
-            if self.last is not None and (stem.isalpha() or not stem.isascii() and normalize("NFC", stem.decode()).lower().isalpha()):
-                pieces[w] = stem.lower() if stem.isascii() else stem, w[len(stem) :]
+            self.pieces.young.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=True))
+
+    def _split(self, text: str) -> tuple[list[str], list[tuple[int, str]]]:
+        """Pieces, and (place among them, word) of the words to be encoded alone."""
+        if self.last is not None and not NOT_PLAIN(text):
+            return PIECES(text.lower()), []
+        pieces, alone = [], []
+        for w in BETWEEN(text):
+            if self.last is None or NOT_PLAIN(w):
+                alone.append((len(pieces), w))
             else:
-                alone.append(w)
-        young, old = self.young, self.old
-        known = {s: old[s] for s, _ in pieces.values() if s in old}
-        young.update(known)
-        self._together(list({s for s, _ in pieces.values() if s not in young}))
-        self._alone(alone + list({t for _, t in pieces.values() if t not in young}))
-        for w, (stem, tail) in pieces.items():
-            young[w] = young[stem] + young[tail]
+                pieces += PIECES(w.lower())
+        return pieces, alone
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        need = set().union(*split)
-        if len(self.young) + len(need) > CACHE_WORDS:
+        split = [self._split(t.decode()) for t in texts]
+        self._encode_pieces(self.pieces.lacks(set().union(*(p for p, _ in split))))
+        self._encode_words(self.words.lacks({w for _, alone in split for _, w in alone}))
+        get, word, out = self.pieces.young.__getitem__, self.words.young, []
+        for pieces, alone in split:
+            if not alone:
+                out.append(b"".join(map(get, pieces)))
+                continue
+            parts, at = [], 0
+            for place, w in alone:
+                parts += map(get, pieces[at:place])
+                parts.append(word[w])
+                at = place
+            out.append(b"".join(parts + list(map(get, pieces[at:]))))
+        return out
+
+
+class Generations:
+    """A cache of two generations: what the young one lacks may come from the old one, which a full young one replaces."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def lacks(self, keys: set) -> list:
+        """Those of keys that neither generation has; the others are in the young one afterwards."""
+        if len(self.young) + len(keys) > self.most:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        need = [w for w in need if w not in young]
-        young.update({w: old[w] for w in need if w in old})
-        self._add([w for w in need if w not in young])
-        get = young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        need = keys - self.young.keys()
+        known = need & self.old.keys()
+        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return list(need - known)
 
 
 @functools.cache
@@ -182,20 +203,20 @@ def _encoder(tokenizer: str) -> Encoder:
 
 
 def encode_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """(part, seq, n_ids, file): the token files of docs, in ascending doc_id by part and seq."""
+    """(part, seq, n_ids, before, file): the token files of docs, in ascending doc_id by part and seq; before counts the ids of the part's earlier files."""
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, seq, encode = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
+        part, seq, before, encode = TaskContext.get().partitionId(), 0, 0, _encoder(tokenizer)
         keys, lengths, ids, held = [], [], [], 0
         mark = np.array([end], "<u4").tobytes()
 
         def close():
-            nonlocal keys, lengths, ids, held, seq
+            nonlocal keys, lengths, ids, held, seq, before
             file = write_file(keys, lengths, np.frombuffer(b"".join(ids), "<u4"))
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([file], pa.binary())], names=["part", "seq", "n_ids", "file"])
-            keys, lengths, ids, held, seq = [], [], [], 0, seq + 1
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([before], pa.int64()), pa.array([file], pa.binary())], names=["part", "seq", "n_ids", "before", "file"])
+            keys, lengths, ids, held, seq, before = [], [], [], 0, seq + 1, before + held
             return row
 
         for batch in batches:
@@ -212,15 +233,14 @@ def encode_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             yield close()
 
     in_order = whole_text(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return in_order.mapInArrow(write, "part int, seq int, n_ids bigint, file binary")
+    return in_order.mapInArrow(write, "part int, seq int, n_ids bigint, before bigint, file binary")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone. The files are not shuffled: the totals of
+    the parts, a row a partition of the write, are broadcast."""
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a part
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    places = files.select("part", "seq", "n_ids").withColumn("inside", inside).join(before, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
+    parts = F.broadcast(sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier")))
 
     def read(batches):
         for batch in batches:
@@ -232,7 +252,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=docs == _NULL), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(places, ["part", "seq"]).select("start", "file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.join(parts, "part").select((F.col("earlier") + F.col("before")).alias("start"), "file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokenizer_path() -> str:
