@@ -22,10 +22,13 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where none is set, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master, as in tests, may do without: a
+    temporary folder then serves."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="turnwise-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -34,10 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, so that lost executors cost no recomputation of its lineage."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, at: str) -> DataFrame:
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+class Scratch:
+    """Durable tables that no result reads: remove() deletes them when the computation is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.at}/{self.n}")
+
+    def remove(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,25 +140,31 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each id of edges (a, b); component is the smallest id reachable.
 
     Each round hooks every node to the neighbour that comes first in hash order, follows those hooks twice and keeps
-    the edges between what is left, so the graph shrinks by a constant factor whatever its shape. Rounds are written
-    to the shared folder; nothing is collected. Hot nodes only meet aggregates with map-side partial results."""
+    the edges between what is left, so the graph shrinks by a constant factor whatever its shape. Nothing is collected.
+    Every table of a round is written to the shared folder (removed at the end), aggregates included: a hub's or a giant
+    component's rows then meet its one row in a join of two plain shuffles, which adaptive execution splits where skewed."""
     rank = F.xxhash64
-    rest = durable(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    rest = scratch.write(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
     ids = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct()
     maps = []
     while not rest.isEmpty():
         both = rest.union(rest.select("b", "a"))
-        hook = durable(both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("id"))).alias("m")).select("a", F.least(F.col("m"), F.struct(rank("a").alias("r"), F.col("a").alias("id")))["id"].alias("p")), "hooks")
+        first = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("id"))).alias("m"))
+        hook = scratch.write(first.select("a", F.least(F.col("m"), F.struct(rank("a").alias("r"), F.col("a").alias("id")))["id"].alias("p")))
         for _ in range(2):
             up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
             hook = hook.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        hook = durable(hook, "roots")
+        hook = scratch.write(hook)
         maps.append(hook)
         left = hook.select("a", F.col("p").alias("x"))
         right = hook.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        rest = durable(rest.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        rest = scratch.write(rest.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     root = ids.select("id", F.col("id").alias("root"))
     for hook in maps:
         root = root.join(hook.select(F.col("a").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
-    root = durable(root, "components")
-    return root.join(root.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+    root = scratch.write(root)
+    least = scratch.write(root.groupBy("root").agg(F.min("id").alias("component")))
+    out = durable(root.join(least, "root").select("id", "component"), "components")
+    scratch.remove()
+    return out

@@ -6,12 +6,13 @@ are the eight byte triples within a half: every link meets in a posting list, an
 fingerprints where lists of single bytes would hold 1 / 2^8. Inside a list the shared positional bytes of each pair are
 tallied, pairs below the guaranteed minimum fall, and the rest are verified by the bits that differ.
 
-Equal fingerprints are one node, so copies cost nothing. A list longer than BLOCK is dealt into blocks and pairs of
+Equal fingerprints are one node, so copies cost nothing and a link through rows without a doc_id counts. A list longer than BLOCK is dealt into blocks and pairs of
 blocks, each its own row, and each pair of blocks answers with a spanning forest of its links instead of all pairs:
 no list lands in one task and connectivity loses no link.
 
 Null text counts as empty; a text without words has fingerprint zero and is linked like any other. Repeated rows give
-repeated results; rows with a null doc_id get a fingerprint and a null component unless another row shares it."""
+repeated results; rows with a null doc_id link like any other, and only a group without any doc_id has a null component.
+An empty table gives no rows; other columns are not read."""
 
 import itertools
 
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -98,7 +99,7 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
     keys = F.array(*(F.lit(k << 24).cast("long") + byte(a) * 65536 + byte(b) * 256 + byte(c) for k, (a, b, c) in enumerate(TRIPLES)))
     postings = nodes.select("fp", F.explode(keys).alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    lists = durable(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "lists")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
     dealt = postings.join(lists, "key").withColumn("own", own)
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -106,15 +107,23 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.where(F.size("fps") > 1).select(F.explode(_links("fps", "sides")).alias("l")).select("l.a", "l.b").distinct()
 
 
+def groups(prints: DataFrame, best: Column) -> DataFrame:
+    """fp, grp (the smallest fingerprint that links reach), least (the group's smallest doc_id, null if it has none) and best
+    (the group's least value of `best`), a row a fingerprint. prints: durable, with fp and doc_id.
+
+    Rows of a fingerprint, however many, only meet aggregates; what is left is joined a row a fingerprint or a group."""
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min(best).alias("first")), "nodes")
+    found = components(links(nodes.select("fp"))).toDF("fp", "grp")
+    placed = durable(nodes.join(found, "fp", "left").withColumn("grp", F.coalesce("grp", "fp")), "placed")
+    whole = durable(placed.groupBy("grp").agg(F.min("node").alias("least"), F.min("first").alias("best")), "groups")
+    return placed.select("fp", "grp").join(whole, "grp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     prints = durable(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = links(nodes.select("fp"))
-    a, b = nodes.toDF("a", "na"), nodes.toDF("b", "nb")
-    whole = components(found.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a is not null and b is not null"))
-    of = nodes.join(whole, nodes.node == whole.id, "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fp")
+    of = durable(groups(prints, F.col("doc_id")).select("fp", F.col("least").alias("component_id")), "of")
+    return prints.join(of, "fp")  # two plain shuffles, so adaptive execution splits the rows of a common fingerprint
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -122,6 +131,18 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Rows that repeat a doc_id count as one document's copies."""
-    stays = near_duplicates(docs).groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("doc_id"))
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group stays: that of the smallest doc_id (null only where the group has no other), of its rows the one
+    whose columns hash least; of fully repeated rows one. Rows with a null doc_id are documents like any other."""
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(*hashed).alias("h"))
+    texts = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "h", F.coalesce("row.text", F.lit("")).alias("text"))
+
+    def printed(batches):
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
+
+    prints = durable(texts.mapInArrow(printed, "doc_id bigint, h bigint, fp bigint"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    stays = durable(groups(prints, order).groupBy("grp").agg(F.first("best").alias("best")).select(F.col("best.doc_id").alias("id"), F.col("best.h").alias("h")), "stays")
+    return rows.join(stays, "h").where(F.col("row.doc_id").cast("long").eqNullSafe(F.col("id"))).dropDuplicates(["h", "id"]).select("row.*")
