@@ -4,14 +4,18 @@ Words are lower-cased runs of letters and digits; punctuation parts them. An ite
 of L words (a shorter document is one window). Both are multisets of shingles of WIDTH words (of L, where an item is
 shorter), and their weighted similarity is the sum of the smaller counts over the sum of the larger; THRESHOLD or more
 is a match. A window that shares no shingle with an item has similarity 0, so only windows over a shared shingle are
-fingerprinted. Fingerprints meet the items' through BLOCKS blocks of 8 bits: within RADIUS bits at least one block
-differs by RADIUS // BLOCKS or less, so the union of the blocks' lists holds every fingerprint within RADIUS. RADIUS is
-five standard deviations beyond the distance expected at THRESHOLD.
-
-The items come to the tasks in slices of about SLICE bytes, one pass over the documents a slice, so what is shipped is
-bounded however large the benchmark is. Null text counts as empty; an item without words matches nothing, nor does a
-document without words. Repeated rows give repeated matches; extra columns are ignored."""
-
+fingerprinted. Fingerprints meet the items' through BLOCKS blocks of 16 bits: within RADIUS bits at least one block differs
+by NEAR = RADIUS // BLOCKS or less. Each block has an index of the values that lie so near to an item's, so a window is
+looked up once a block, and of unrelated windows 1 in 5 passes an item. RADIUS is three and a quarter standard deviations
+beyond the distance expected at THRESHOLD; the recall at THRESHOLD is tested.
+
+The items come to the tasks in slices of about SLICE bytes, one pass over the documents a slice; a Python worker indexes a
+slice once. The driver holds the items' texts, no more. Null text counts as empty; an item without words matches nothing,
+nor does a document without words. Repeated rows give repeated matches, rows with a null doc_id too; extra columns are
+ignored; an empty benchmark or no documents give no matches."""
+
+import functools
+import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,9 +27,13 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from turnwise.llm.common import PUNCTUATION, Words, runs, shingles
 
-WIDTH, THRESHOLD, BLOCKS, RADIUS, SLICE = 5, 0.8, 8, 24, 4 << 20
+WIDTH, THRESHOLD, BLOCKS, RADIUS, SLICE = 5, 0.8, 4, 19, 4 << 20
+NEAR = RADIUS // BLOCKS
 _FILTER = 1 << 22
-_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+#: Every 16-bit value with NEAR ones or fewer: a block's neighbours are its value with one of these flipped.
+_FLIPS = np.array([sum(1 << b for b in bits) for k in range(NEAR + 1) for bits in itertools.combinations(range(16), k)], np.uint16)
+#: Words of one stretch that are fingerprinted at once.
+_STRETCH = 1 << 14
 
 
 def _words(texts: pa.Array) -> Words:
@@ -76,8 +84,23 @@ class Index:
             self.widths[width] = keys, seen, {x: sorted(set(v)) for (k, x), v in places.items() if k == width}
         for size in self.sizes.values():
             size["prints"] = np.array(size["prints"], np.uint64)
-            blocks = size["prints"].view(np.uint8).reshape(-1, BLOCKS)
-            size["near"] = [_DISTANCE[:, blocks[:, b]] <= RADIUS // BLOCKS for b in range(BLOCKS)]  # block value -> items
+            size["blocks"] = size["prints"].view(np.uint16).reshape(-1, BLOCKS)
+            size["near"] = np.zeros((BLOCKS, 1 << 16), bool)
+            for b in range(BLOCKS):
+                size["near"][b, (size["blocks"][:, b, None] ^ _FLIPS).ravel()] = True
+
+    @staticmethod
+    def candidates(size: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, differing bits) of the fingerprints within RADIUS, found by way of the blocks."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        win = np.flatnonzero(size["near"][np.arange(BLOCKS), blocks].any(1))
+        near = np.zeros((len(win), len(size["prints"])), bool)
+        for b in range(BLOCKS):
+            near |= np.bitwise_count(blocks[win, b][:, None] ^ size["blocks"][None, :, b]) <= NEAR
+        at, item = np.nonzero(near)
+        far = np.bitwise_count(prints[win[at]] ^ size["prints"][item])
+        use = far <= RADIUS
+        return win[at[use]], item[use], far[use]
 
     def matches(self, texts: pa.Array) -> list[tuple[int, object, int, int, int, float]]:
         """(text, item, first word, words, differing bits, similarity): the best window of each item in each text."""
@@ -102,23 +125,15 @@ class Index:
                 np.add.at(edge, first - lo, 1)
                 np.add.at(edge, last - lo + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge) > 0)
-                cut = np.flatnonzero(np.diff(starts) > n) + 1
+                cut = np.flatnonzero((np.diff(starts) > n) | (np.diff(starts // _STRETCH) > 0)) + 1
+                bag = self.sizes[n]
                 for group in np.split(starts, cut):
                     part = s[lo + group[0] : lo + group[-1] + k]
-                    prints = simhash(part, group - group[0], k)
-                    bag = self.sizes[n]
-                    blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-                    near = bag["near"][0][blocks[:, 0]]
-                    for b in range(1, BLOCKS):
-                        near = near | bag["near"][b][blocks[:, b]]
-                    win, item = np.nonzero(near)
-                    far = np.bitwise_count(prints[win] ^ bag["prints"][item])
-                    for i in np.flatnonzero(far <= RADIUS).tolist():
-                        start = int(group[win[i]])
-                        have = similarity(Counter(part[start - group[0] : start - group[0] + k].tolist()), bag["bags"][item[i]])
-                        key = d, n, int(item[i])
-                        if have >= THRESHOLD and (key not in best or have > best[key][3]):
-                            best[key] = start, size, int(far[i]), have
+                    for w_, i, far in zip(*(x.tolist() for x in self.candidates(bag, simhash(part, group - group[0], k))), strict=True):
+                        start = int(group[w_])
+                        have = similarity(Counter(part[start - group[0] : start - group[0] + k].tolist()), bag["bags"][i])
+                        if have >= THRESHOLD and ((d, n, i) not in best or have > best[d, n, i][3]):
+                            best[d, n, i] = start, size, far, have
         return [(d, self.sizes[n]["ids"][i], *v) for (d, n, i), v in best.items()]
 
 
@@ -129,8 +144,14 @@ def slices(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _index(part: DataFrame) -> Index:
-    return Index(sorted(((r.item_id, r.text) for r in part.collect()), key=repr))
+def _items(part: DataFrame) -> tuple[tuple, ...]:
+    return tuple(sorted(((r.item_id, r.text) for r in part.collect()), key=repr))
+
+
+@functools.lru_cache(1)
+def _index(items: tuple[tuple, ...]) -> Index:
+    """The slice's index, built once by a Python worker that meets it in several tasks."""
+    return Index(list(items))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -139,9 +160,10 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, distance int, similarity double"
     out = None
     for part in slices(benchmark):
-        index = _index(part)
+        items = _items(part)
 
-        def matched(batches, index=index):
+        def matched(batches, items=items):
+            index = _index(items)
             for batch in batches:
                 for lo, hi in runs(batch.column(1)):
                     some = batch.slice(lo, hi - lo)
@@ -158,10 +180,11 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with their own columns; judged in the scan, so ids may repeat."""
     names = docs.columns
     for part in slices(benchmark):
-        index = _index(part)
+        items = _items(part)
         rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
 
-        def judged(batches, index=index):
+        def judged(batches, items=items):
+            index = _index(items)
             for batch in batches:
                 hit = np.zeros(len(batch), bool)
                 for lo, hi in runs(batch.column(1)):
