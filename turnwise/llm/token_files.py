@@ -30,11 +30,13 @@ from turnwise.llm.common import durable, runs, whole_text
 BLOCK, WIDTH_PERCENTILE, FILE_IDS, END = 128, 90, 1 << 18, 1
 #: Pieces in each of the two generations of a worker's cache.
 CACHE_PIECES = 400_000
+#: Bytes of text encoded at once.
+ENCODE = 1 << 21
 #: Fixed value: the pattern of the tokenizers whose pieces may be encoded together.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: PLAIN characters are ASCII and the letters of Latin-1 and Latin Extended-A but for U+0130; composed and lower-cased alike
 #: everywhere. A special token may begin at "<|". Between words stands ASCII white space. PIECES is SPLIT for plain text.
-NOT_PLAIN = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]|<\|").search
+NOT_PLAIN = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]").search
 BETWEEN = re.compile(r"[^\t-\r ]+").findall
 PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ſ]+|[0-9]|[^\t-\r a-zß-öø-ſ0-9]+").findall
 _HEAD = struct.Struct("<4sIQI")
@@ -132,6 +134,8 @@ class Encoder:
             pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
             self.bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=suffix, cache_capacity=0))
             self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ascii = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=suffix, cache_capacity=0))
+            self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # printable ASCII stands for its own bytes
             self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.last[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
 
@@ -142,23 +146,32 @@ class Encoder:
                 self.words.young[w] = np.array(e.ids, "<u4").tobytes()
 
     def _encode_pieces(self, pieces: list[str]) -> None:
+        own = [p for p in pieces if p.isascii() and p.isprintable()]
+        self._encode_by(self.ascii, own)
+        if len(own) < len(pieces):
+            self._encode_by(self.bare, list(set(pieces).difference(own)))
+
+    def _encode_by(self, tokenizer, pieces: list[str]) -> None:
         for lo in range(0, len(pieces), 4_000):
             part = pieces[lo : lo + 4_000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             raw = ids.tobytes()
             self.pieces.young.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=True))
 
+    def _plain(self, text: str) -> bool:
+        return self.last is not None and "<|" not in text and (text.isascii() or not NOT_PLAIN(text))
+
     def _split(self, text: str) -> tuple[list[str], list[tuple[int, str]]]:
         """Pieces, and (place among them, word) of the words to be encoded alone."""
-        if self.last is not None and not NOT_PLAIN(text):
+        if self._plain(text):
             return PIECES(text.lower()), []
         pieces, alone = [], []
         for w in BETWEEN(text):
-            if self.last is None or NOT_PLAIN(w):
-                alone.append((len(pieces), w))
-            else:
+            if self._plain(w):
                 pieces += PIECES(w.lower())
+            else:
+                alone.append((len(pieces), w))
         return pieces, alone
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
@@ -220,7 +233,7 @@ def encode_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             return row
 
         for batch in batches:
-            for lo, hi in runs(batch.column(1), 1 << 19):
+            for lo, hi in runs(batch.column(1), ENCODE):
                 some = batch.slice(lo, hi - lo)
                 for key, b in zip(some.column(0).to_pylist(), encode(some.column(1).cast(pa.large_binary()).to_pylist()), strict=True):
                     keys.append(key)
