@@ -504,3 +504,56 @@ def test_op1_hostile_rows(spark):
     for r in found:
         by.setdefault(r.passage_id, set()).add(r.doc_id)
     assert {1, 3} in by.values() and {1, 2, 5} in by.values() and {r.doc_id for r in found} == {1, 2, 3, 5}
+
+
+def test_op10_score_by_brute_force(spark):
+    """Counts, the deleted fold's histogram and the mixed probabilities, token by token; null and repeated ids included."""
+    rng = random.Random(6)
+    common = VOCAB[:40]
+    texts = [" ".join(rng.choice(common) for _ in range(rng.randint(0, 60))) for _ in range(48)] + [None, "Zz zz"]
+    ids = [*range(47), None, 3, 50]
+    tokens = [[*words(lower(t)), "\0end"] for t in texts]
+    rest = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 for i in ids]
+    pairs = [list(zip(["\0end", *ws[:-1]], ws, strict=True)) for ws in tokens]
+    one, two = Counter(), Counter()
+    fold_one, fold_two = Counter(), Counter()
+    for r, ws, ps in zip(rest, tokens, pairs, strict=True):
+        if r != 0:
+            one.update(ws)
+            two.update(ps)
+        if r == 1:
+            fold_one.update(ws)
+            fold_two.update(ps)
+    total, v, fold_total = sum(one.values()), len(one), sum(fold_one.values())
+
+    def parts(a, b, c1, c2, n):
+        context = c1[a]
+        return int(math.log2(context + 1)), c2[a, b] / context * (v + 1) if context else 0.0, c1[b] / n * (v + 1)
+
+    kept_one, kept_two = one - fold_one, two - fold_two
+    events = [parts(a, b, kept_one, kept_two, total - fold_total) for r, ps in zip(rest, pairs, strict=True) if r == 1 for a, b in ps]
+    level = lambda x: int(min(max(math.log2(x) * lm_score.STEPS + lm_score.LEVELS / 4, 0), lm_score.LEVELS)) if x > 0 else -1
+    cells = {}
+    for b, x2, x1 in events:
+        cell = cells.setdefault((b, level(x2), level(x1)), [0, 0.0, 0.0])
+        cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] + x2, cell[2] + x1
+    import pandas as pd
+
+    mixture = lm_score.weights(pd.DataFrame([(b, k2, k1, *c) for (b, k2, k1), c in cells.items()], columns=["b", "k2", "k1", "n", "x2", "x1"]))
+    exact = {}  # expectation-maximisation on the events themselves
+    for b in {e[0] for e in events}:
+        l = [1 / 3] * 3
+        own = [(x2, x1, 1.0) for k, x2, x1 in events if k == b]
+        for _ in range(lm_score.ROUNDS):
+            shares = [[w * y / sum(u * z for u, z in zip(l, x, strict=True)) for w, y in zip(l, x, strict=True)] for x in own]
+            l = [sum(s[k] for s in shares) / len(own) for k in range(3)]
+        exact[b] = l
+    assert all(np.abs(mixture[b] - exact[b]).max() < 0.03 for b in exact)
+    want = []
+    for i, ws, ps in zip(ids, tokens, pairs, strict=True):
+        found = [parts(a, b, one, two, total) for a, b in ps]
+        want.append((-1 if i is None else i, len(ws), round(sum(math.log10((mixture[k] @ [x2, x1, 1.0]) / (v + 1)) for k, x2, x1 in found), 6)))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm_score.op10(df).collect()]
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 for a, b in zip(sorted(got), sorted(want), strict=True))
+    assert [lm_score.pair_bytes(x) for x in (0, 1 << 29, 1 << 47)] == [6, 6, 8]

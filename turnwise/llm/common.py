@@ -35,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """df written to the shared folder and read again, so that lost executors cost no recomputation of its lineage."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", options)
 
 
-def _written(df: DataFrame, at: str) -> DataFrame:
-    df.write.parquet(at)
+def _written(df: DataFrame, at: str, options: dict | None = None) -> DataFrame:
+    df.write.options(**(options or {})).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -4,14 +4,16 @@ P(w | u) = l2 c(u,w) / c(u) + l1 c(w) / N + l0 / (V + 1); the weights depend on
 context's count. They are learned by expectation-maximisation on a deleted fold of the training documents (remainder
 FOLD), whose own counts are taken off the counts that predict it.
 
-Counts cover all training documents. A scan task cuts its documents into units of about UNIT bytes; a unit sends its
-distinct n-grams (steps of ascending 64-bit hashes) with their counts to hash buckets, a bucket sums them and answers every unit, so each
-shuffle carries distinct n-grams of a unit rather than tokens, and a common n-gram costs one entry a unit. Answers meet
-the unit's documents by unit. Only N, V and a bounded histogram for the weights reach the driver. Units are numbered by
-scan task and place; an answer carries a checksum of the question, so a source whose rows move between scans raises an
-error rather than giving wrong counts (write such a source out first).
+Counts cover all training documents. A scan task cuts its documents into units of about UNIT bytes, which are written to
+the shared folder, a row a unit, so that its number stands for the same documents whatever becomes of the executors. A
+unit sends its distinct n-grams (steps of ascending hashes) with their counts to hash buckets, a bucket sums them and
+answers every unit, so each shuffle carries distinct n-grams of a unit rather than tokens, and a common n-gram costs one
+entry a unit. Answers meet the unit's documents by unit. Only N, V and a bounded histogram for the weights reach the
+driver. Words keep 64 bits of their hash; pairs keep as many bytes as hold SPARE bits more than the corpus has bytes, so
+that a pair meets another's count with the same small probability (2^-SPARE at most) at every size.
 
-Null text counts as empty: one end token. A null doc_id counts as held out (crc32 of no text is 0)."""
+Null text counts as empty: one end token. A null doc_id counts as held out (crc32 of no text is 0). Repeated rows count
+and score as documents of their own; an empty table gives no rows; other columns are not read."""
 
 import zlib
 
@@ -28,8 +30,7 @@ UNIT, BUCKET = 1 << 20, 3 << 20
 ALPHA = 0.1
 _END = np.uint64(0x5EED0FE27D)
 _CONTEXT = np.uint64(0xD6E8FEB86659FD93)
-#: Pairs keep 48 bits, so that a question costs a quarter less; words keep all 64, as their counts are exact.
-_PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+SPARE = 16
 #: The weights' histogram: steps of a quarter octave, at most LEVELS of them each way, for at most 41 buckets.
 STEPS, LEVELS, BUCKETS, ROUNDS = 4, 160, 41, 60
 
@@ -41,7 +42,7 @@ def remainder(doc_ids) -> np.ndarray:
 class Unit:
     """Tokens of some texts: `words` (distinct hashes, ascending), `pairs` (likewise), each token's place in either, its context's, and its text."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, width: int = 8):
         w = Words(texts, lower=True)
         h = np.insert(w.hashes(), w.first[1:], _END)
         self.lengths = np.diff(w.first) + 1
@@ -50,7 +51,7 @@ class Unit:
         end, self.word = self.word[-1], self.word[:-1]
         self.context = np.concatenate([[end], self.word[:-1]])
         codes, pair = np.unique(self.context * len(self.words) + self.word, return_inverse=True)
-        hashes = mix(self.words[codes // len(self.words)] * _CONTEXT + self.words[codes % len(self.words)]) & _PAIR_BITS
+        hashes = mix(self.words[codes // len(self.words)] * _CONTEXT + self.words[codes % len(self.words)]) >> np.uint64(64 - 8 * width)
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -60,8 +61,24 @@ class Unit:
         return int((np.bitwise_xor.reduce(self.words) ^ np.bitwise_xor.reduce(self.pairs)).view(np.int64))
 
 
-def _numbered(batches):
-    """(unit number, rows) of a scan task, alike in every scan of the same rows. Documents of the fold have odd units of their own."""
+def pair_bytes(size: int) -> int:
+    """Bytes of a pair's hash in a corpus of `size` bytes."""
+    return min(8, max(6, -(-(max(size, 1).bit_length() + SPARE) // 8)))
+
+
+def _stored(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _restored(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
+
+
+def _cut(batches):
+    """(unit, fold, rows): the documents of a scan task in units. Documents of the fold have odd units of their own."""
     from pyspark import TaskContext
 
     unit = TaskContext.get().partitionId() << 32
@@ -71,19 +88,11 @@ def _numbered(batches):
             fold = remainder(rows.column(0).to_pylist()) == FOLD
             for odd, use in ((0, ~fold), (1, fold)):
                 if use.any():
-                    yield unit + odd, rows.filter(pa.array(use))
+                    some = rows.filter(pa.array(use))
+                    yield pa.RecordBatch.from_arrays([pa.array([unit + odd], pa.int64()), pa.array([bool(odd)]), pa.array([_stored(some)], pa.binary())], names=["unit", "fold", "rows"])
             unit += 2
 
 
-def _short(pairs: np.ndarray) -> np.ndarray:
-    """The six bytes of each pair's hash that are in use, as numbers."""
-    return pairs >> np.uint64(16)
-
-
-def _long(short: np.ndarray) -> np.ndarray:
-    return short << np.uint64(16)
-
-
 def _planes(numbers: np.ndarray, width: int = 8) -> bytes:
     """All first bytes, then all second bytes, and so on, so that high bytes are runs of zeros, which the shuffle's compression removes."""
     return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -103,15 +112,21 @@ def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=np.uint64(0))
 
 
-def _questions(buckets: int):
+def _units(batches):
+    for batch in batches:
+        for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield number, _restored(raw)
+
+
+def _questions(buckets: int, width: int):
     def ask(batches):
-        for number, rows in _numbered(batches):
-            unit, fold = Unit(rows.column(1)), remainder(rows.column(0).to_pylist())
+        for number, rows in _units(batches):
+            unit, fold = Unit(rows.column(1), width), remainder(rows.column(0).to_pylist())
             out = {k: [] for k in ("bucket", "unit", "check", "n", "hashes", "train", "fold")}
             sides = []
-            for hashes, place in ((unit.words, unit.word), (unit.pairs, unit.pair)):
+            for hashes, place, bits in ((unit.words, unit.word, 64), (unit.pairs, unit.pair, 8 * width)):
                 counts = [np.bincount(place, (use[unit.text]).astype(float), len(hashes)).astype("<u4") for use in (fold != HELD_OUT, fold == FOLD)]
-                at = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                at = ((hashes >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
                 sides.append((hashes, counts, np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))))
             check = unit.check()
             for b in range(buckets):
@@ -121,7 +136,7 @@ def _questions(buckets: int):
                     out["unit"].append(number)
                     out["check"].append(check)
                     out["n"].append(cut[0].stop - cut[0].start)
-                    out["hashes"].append(_planes(_steps(sides[0][0][cut[0]])) + _planes(_steps(_short(sides[1][0][cut[1]])), 6))
+                    out["hashes"].append(_planes(_steps(sides[0][0][cut[0]])) + _planes(_steps(sides[1][0][cut[1]]), width))
                     for k, name in enumerate(("train", "fold")):
                         out[name].append(_planes(np.concatenate([s[1][k][c] for s, c in zip(sides, cut, strict=True)]), 4))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -133,10 +148,10 @@ def _questions(buckets: int):
 _ANSWER = "bucket int, unit bigint, check bigint, n int, train binary, fold binary, v bigint, total bigint, fold_total bigint"
 
 
-def _answers(group: pd.DataFrame) -> pd.DataFrame:
+def _answers(group: pd.DataFrame, width: int) -> pd.DataFrame:
     """Sums of a bucket, dealt back to each unit in its own order; a last row has the bucket's statistics."""
     n = group["n"].to_numpy()
-    hashes = [np.concatenate([np.cumsum(_joined(x[: 8 * m], m), dtype=np.uint64), _long(np.cumsum(_joined(x[8 * m :], (len(x) - 8 * m) // 6), dtype=np.uint64))]) for x, m in zip(group["hashes"], n, strict=True)]
+    hashes = [np.concatenate([np.cumsum(_joined(x[: 8 * m], m), dtype=np.uint64), np.cumsum(_joined(x[8 * m :], (len(x) - 8 * m) // width), dtype=np.uint64)]) for x, m in zip(group["hashes"], n, strict=True)]
     counts = {k: [_joined(x, len(x) // 4) for x in group[k]] for k in ("train", "fold")}
     out, stats = {k: [[None, None] for _ in n] for k in counts}, None
     for side in range(2):
@@ -157,12 +172,12 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([rows.astype(object), last.astype(object)], ignore_index=True)
 
 
-def _met(docs: pd.DataFrame, answers: pd.DataFrame):
+def _met(rows: pa.RecordBatch, answers: pd.DataFrame, width: int):
     """A unit's tokens with its answers: the unit, then (train, fold) counts of words and of pairs."""
-    unit = Unit(pa.array(docs["text"], pa.string()))
+    unit = Unit(rows.column(1), width)
     answers = answers.sort_values("bucket")
     if set(answers["check"]) != {unit.check()}:
-        raise RuntimeError("the documents of a unit changed between two scans; write the source out first")
+        raise RuntimeError("a unit's answers belong to other documents")
     found = []
     for side, name in ((0, "train"), (0, "fold"), (1, "train"), (1, "fold")):
         if name not in answers:
@@ -203,44 +218,38 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = whole_text(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET))
-    asked = texts.mapInArrow(_questions(buckets), "bucket int, unit bigint, check bigint, n int, hashes binary, train binary, fold binary")
-    answers = durable(asked.groupBy("bucket").applyInPandas(_answers, _ANSWER), "counts")
+    buckets, width = max(8, -(-size // BUCKET)), pair_bytes(size)
+    # Small row groups: a reader's batch of rows is cut at their ends, and a row here is a whole unit.
+    units = durable(texts.mapInArrow(_cut, "unit bigint, fold boolean, rows binary"), "units", {"parquet.block.size": str(8 * UNIT)})
+    asked = units.select("unit", "rows").mapInArrow(_questions(buckets, width), "bucket int, unit bigint, check bigint, n int, hashes binary, train binary, fold binary")
+    answers = durable(asked.groupBy("bucket").applyInPandas(lambda group: _answers(group, width), _ANSWER), "counts")
     v, total, fold_total = (x or 0 for x in answers.agg(F.sum("v"), F.sum("total"), F.sum("fold_total")).first())
     replies = answers.where("unit is not null").select("bucket", "unit", "check", "n", "train", "fold")
 
-    def placed(batches, only=None):
-        for number, rows in _numbered(batches):
-            if only is not None and number % 2 != only:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), *rows.columns], names=["unit", "doc_id", "text"])
-
-    unit_schema = "unit bigint, doc_id bigint, text string"
-    units, folded = texts.mapInArrow(placed, unit_schema), texts.mapInArrow(lambda batches: placed(batches, 1), unit_schema)
-
     def spread(docs, answers):
         if not len(docs):
             return pd.DataFrame({k: [] for k in ("b", "k2", "k1", "n", "x2", "x1")})
-        unit, wt, wf, pt, pf = _met(docs, answers)
+        unit, wt, wf, pt, pf = _met(_restored(docs["rows"].iloc[0]), answers, width)
         b, two, one = _ratios(unit, wt - wf, pt - pf, total - fold_total, v)
         level = [np.where(x > 0, np.clip(np.log2(np.maximum(x, 1e-30)) * STEPS + LEVELS / 4, 0, LEVELS), -1).astype(int) for x in (two, one)]
         return pd.DataFrame({"b": b, "k2": level[0], "k1": level[1], "n": 1, "x2": two, "x1": one}).groupby(["b", "k2", "k1"], as_index=False).sum()
 
-    grouped = folded.groupBy("unit").cogroup(replies.where("unit % 2 = 1").groupBy("unit")).applyInPandas(spread, "b int, k2 int, k1 int, n bigint, x2 double, x1 double")
+    grouped = units.where("fold").select("unit", "rows").groupBy("unit").cogroup(replies.where("unit % 2 = 1").groupBy("unit")).applyInPandas(spread, "b int, k2 int, k1 int, n bigint, x2 double, x1 double")
     mixture = weights(grouped.groupBy("b", "k2", "k1").agg(F.sum("n").alias("n"), F.sum("x2").alias("x2"), F.sum("x1").alias("x1")).toPandas())
 
     def scored(docs, answers):
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         if not len(docs):
             return pd.DataFrame({k: [] for k in names})
-        unit, wt, _, pt, _ = _met(docs, answers)
+        rows = _restored(docs["rows"].iloc[0])
+        unit, wt, _, pt, _ = _met(rows, answers, width)
         b, two, one = _ratios(unit, wt, pt, total, v)
         p = (mixture[b] * np.stack([two, one, np.ones(len(two))], 1)).sum(1) / (v + 1)
-        c, n = wt[unit.word], len(docs)
+        c, n, ids = wt[unit.word], len(rows), rows.column(0).to_pylist()
         sums = [np.bincount(unit.text, x, n) for x in (c > 0, np.log10((c + ALPHA) / (total + ALPHA * (v + 1))), np.log10(p))]
-        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": remainder(docs["doc_id"]) == HELD_OUT, "n_tokens": unit.lengths, "n_known": sums[0].astype(np.int64), "train_tokens": total, "base_score": sums[1], "score": sums[2]})
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": remainder(ids) == HELD_OUT, "n_tokens": unit.lengths, "n_known": sums[0].astype(np.int64), "train_tokens": total, "base_score": sums[1], "score": sums[2]})
 
-    return units.groupBy("unit").cogroup(replies.drop("fold").groupBy("unit")).applyInPandas(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return units.select("unit", "rows").groupBy("unit").cogroup(replies.drop("fold").groupBy("unit")).applyInPandas(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op10(docs: DataFrame) -> DataFrame:
