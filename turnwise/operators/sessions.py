@@ -2,8 +2,10 @@
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 CALIBRATION, FACTOR, MIC_FLOOR, SYSTEM_LIMIT, STOP, POLL = 3.0, 4.0, 1e-3, 5e-4, 45.0, 0.25
 
@@ -43,6 +45,28 @@ def islands(points: DataFrame, jump: float) -> DataFrame:
     return points.withColumn("_new", broken).withColumn("island", F.sum("_new").over(order).cast("long")).drop("_new")
 
 
+def step_count(points: DataFrame, jump: float) -> DataFrame:
+    """session_id and n_steps: how often d changes by more than jump."""
+    return islands(points, jump).groupBy("session_id").agg(F.max("island").alias("n_steps"))
+
+
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """turns with turn_idx, their place in the session by start; ties by end, then speaker."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("start", "end", "speaker"))
+    return turns.withColumn("turn_idx", place - 1)
+
+
+def session_dir(started: Column, name: Column, default: str = "meeting") -> Column:
+    """A session's folder: its date and its name, or the default."""
+    return F.concat(F.date_format(started, "yyyy-MM-dd"), F.lit("-"), F.coalesce(name, F.lit(default)))
+
+
+def status_line(mic_rms: Column, system_rms: Column, state: Column) -> Column:
+    """A recording's status as text; a missing system channel shows as a dash."""
+    four = lambda c: F.format_number(c, "0.0000")
+    return F.concat(F.lit("mic_rms="), four(mic_rms), F.lit(" sys_rms="), F.coalesce(four(system_rms), F.lit("-")), F.lit(" state="), state)
+
+
 def drift(points: DataFrame, jump: float, rate: float, least: int = 3) -> DataFrame:
     """session_id, ppm and n_islands: the mean slope of d over t in islands of `least` points or more, in parts per million of rate."""
     slopes = islands(points, jump).groupBy("session_id", "island").agg(F.regr_slope("d", "t").alias("slope"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -68,17 +92,27 @@ def top_peaks(rows: DataFrame, key: str, at: str, value: str, apart: int, most:
 
 
 def pack(items: DataFrame, key: str, order: str, count: str, budget: int) -> DataFrame:
-    """items with window_id: in order, an item opens a new window if the current one isn't empty and would exceed the budget."""
-    listed = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(count).cast("long").alias("c")))).alias("l"))
-    zero = F.struct(F.lit(-1).cast("long").alias("w"), F.lit(0).cast("long").alias("u"), F.filter(F.transform("l", lambda x: F.struct(x["o"].alias("o"), F.lit(0).cast("long").alias("w"))), lambda x: F.lit(False)).alias("out"))
-
-    def add(s, x):
-        new = (s["w"] < 0) | (s["u"] + x["c"] > budget)
-        w = F.when(new, s["w"] + 1).otherwise(s["w"])
-        return F.struct(w.alias("w"), F.when(new, x["c"]).otherwise(s["u"] + x["c"]).alias("u"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), w.alias("w")))).alias("out"))
-
-    placed = listed.select(key, F.explode(F.aggregate("l", zero, add)["out"]).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.w").alias("window_id"))
-    return items.join(placed, [key, order])
+    """items with window_id: in order, an item opens a new window if the current one isn't empty and would exceed the budget.
+
+    Rows are sorted within partitions by key and order and flow by; a task holds a batch and the current window's sum."""
+    def placed(batches):
+        last, window, used = None, -1, 0
+        for batch in batches:
+            ids = []
+            for k, n in zip(batch.column("_k").to_pylist(), batch.column("_n").to_pylist(), strict=True):
+                if (k,) != last:
+                    last, window, used = (k,), 0, n
+                elif used + n > budget:
+                    window, used = window + 1, n
+                else:
+                    used += n
+                ids.append(window)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(ids, pa.int64())], names=["_row", "window_id"])
+
+    rows = items.select(F.struct(*items.columns).alias("_row"), F.col(key).alias("_k"), F.col(count).cast("long").alias("_n"), F.col(order).alias("_o"))
+    sorted_rows = rows.repartition("_k").sortWithinPartitions("_k", "_o").select("_row", "_k", "_n")
+    schema = StructType([rows.schema["_row"], StructField("window_id", LongType())])
+    return sorted_rows.mapInArrow(placed, schema).select("_row.*", "window_id")
 
 
 def with_overlap(packed: DataFrame, key: str, order: str, lines: int = 2) -> DataFrame:
@@ -97,6 +131,11 @@ def pack_budget(context: Column, max_out: int = 1024, overhead: int = 64, fill:
     return (fill * (context - max_out - overhead)).cast("int")
 
 
+def fits(prompt_tokens: Column, context: Column, max_out: int = 1024, overhead: int = 64) -> Column:
+    """Whether a whole prompt, template included, leaves room for its answer."""
+    return prompt_tokens <= context - max_out - overhead
+
+
 def context_tokens(config: Column, default: int = 8192, cap: int = 32768) -> Column:
     """The context length a model's JSON configuration states, at its top or under text_config."""
     of = lambda path: F.nullif(F.get_json_object(config, path).cast("int"), F.lit(0))

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,32 +89,72 @@ def sinc_kernel(factor: int, taps_per_phase: int = 8) -> list[float]:
 def fir_decimate(track: DataFrame, factor: int, kernel: list[float] | None = None, block: int = 4096) -> DataFrame:
     """session_id, idx, x: every factor-th sample of the track convolved with a centred kernel, zeros beyond the ends.
 
-    Samples meet the outputs they weigh on by a join on the output's place, so long tracks spread over all tasks; sums
-    are combined before the shuffle."""
+    Samples are dealt to blocks of `block` outputs, those within half a kernel of a border to both sides, so long tracks
+    spread over all tasks and a sample is sent little more than once; a block is convolved as one array."""
     if factor < 1:
         raise ValueError("factor must be 1 or more")
     if factor == 1 and kernel is None:
         return track
     kernel = kernel or sinc_kernel(factor)
-    half = len(kernel) // 2
-    reach = half // factor + 1
-    at = F.explode(F.sequence(F.floor(F.col("idx") / factor) - reach, F.floor(F.col("idx") / factor) + reach))
-    weighed = track.withColumn("out", at).withColumn("k", F.col("out") * factor - F.col("idx") + half).where(F.col("k").between(0, len(kernel) - 1))
-    weight = F.get(F.array(*map(F.lit, kernel)), F.col("k").cast("int"))
+    taps, half, span = np.array(kernel)[::-1], len(kernel) // 2, block * factor
+    low, high = F.floor((F.col("idx") - half) / span), F.floor((F.col("idx") + half) / span)
+    dealt = track.select("session_id", "idx", "x", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))).alias("_block"))
     size = track.groupBy("session_id").agg(F.max("idx").alias("last"))
-    summed = weighed.groupBy("session_id", "out").agg(F.sum(F.col("x") * weight).alias("x"))
-    return summed.join(size, "session_id").where(F.col("out").between(0, F.floor(F.col("last") / factor))).select("session_id", F.col("out").alias("idx"), "x")
+
+    def convolve(key, group: pd.DataFrame) -> pd.DataFrame:
+        first = key[1] * span - half
+        x = np.zeros(span + 2 * half)
+        x[group["idx"].to_numpy() - first] = group["x"].to_numpy(float)
+        seen = np.lib.stride_tricks.sliding_window_view(x, len(taps))[::factor][:block]
+        at = key[1] * block + np.arange(len(seen))
+        return pd.DataFrame({"session_id": key[0], "idx": at, "x": seen @ taps})
+
+    done = dealt.groupBy("session_id", "_block").applyInPandas(convolve, "session_id long, idx long, x double")
+    return done.join(size, "session_id").where(F.col("idx") <= F.floor(F.col("last") / factor)).drop("last")
 
 
 def linear_resample(track: DataFrame, step: float) -> DataFrame:
-    """session_id, idx, x at positions 0, step, 2 * step, ...; only where both neighbours exist."""
-    ahead = track.withColumn("next", F.lead("x").over(Window.partitionBy("session_id").orderBy("idx"))).where("next is not null")
+    """session_id, idx, x at positions 0, step, 2 * step, ...; only where both neighbours exist. Neighbours meet by an equi-join on
+    their place, so one long session spreads over tasks."""
+    ahead = track.join(track.select("session_id", (F.col("idx") - 1).alias("idx"), F.col("x").alias("next")), ["session_id", "idx"])
     first, last = F.ceil(F.col("idx") / step), F.ceil((F.col("idx") + 1) / step) - 1
     cells = ahead.where(last >= first).withColumn("out", F.explode(F.sequence(first, last)))
     share = F.col("out") * step - F.col("idx")
     return cells.select("session_id", F.col("out").alias("idx"), (F.col("x") * (1 - share) + F.col("next") * share).alias("x"))
 
 
+def reassembled(mic: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The microphone's track with the samples that were cleaned in their places; what lies before and behind stays."""
+    new = cleaned.select("session_id", "idx", F.col("x").cast("double").alias("_new"))
+    return mic.join(new, ["session_id", "idx"], "left").select("session_id", "idx", F.coalesce("_new", F.col("x").cast("double")).alias("x"))
+
+
+def track_rms(track: DataFrame) -> DataFrame:
+    """session_id and rms of the whole track."""
+    return track.groupBy("session_id").agg(F.sqrt(F.avg(F.col("x").cast("double") * F.col("x"))).alias("rms"))
+
+
+def downmix(channels: Column) -> Column:
+    """The mean of an array of channel values, as a float; null for no channels."""
+    total = F.aggregate(channels, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return F.when(F.size(channels) > 0, total / F.size(channels)).cast("float")
+
+
+def milliseconds(samples: Column, rate: int) -> Column:
+    return 1000.0 * samples / rate
+
+
+def sample_count(ms: Column, rate: int) -> Column:
+    """Whole samples of a time, cut towards zero."""
+    return (ms * rate / 1000.0).cast("long")
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Two arrays by place, as structs a, b; arrays of unequal size are an error."""
+    pairs = F.transform(a, lambda x, i: F.struct(x.alias("a"), F.get(b, i).alias("b")))
+    return F.when(F.size(a) == F.size(b), pairs).otherwise(F.raise_error(F.lit("arrays of unequal size")))
+
+
 def clip(x: Column) -> Column:
     """Within [-1, 1]; NaN stays NaN."""
     return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
