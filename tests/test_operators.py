@@ -1,11 +1,15 @@
 """Boundaries of segments, intervals, sessions and signals."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
 from turnwise.operators import intervals, segments, sessions, signal, spectral
+from turnwise.plans import recordings, summaries
 from turnwise.sources import wav
 from turnwise.streaming import stateful
 
@@ -171,3 +175,108 @@ def test_upper_median_and_quantize(spark):
     assert spark.range(12).agg(sessions.upper_median(F.col("id"))).first()[0] == 6
     rows = spark.createDataFrame([(1.5,), (-1.5,), (0.9999,), (float("nan"),)], "x double").select(signal.quantize(F.col("x"))).collect()
     assert [r[0] for r in rows] == [32767, -32767, 32763, 0]
+
+
+def _streamed(spark, tmp_path, schema, batches, plan, name):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "*"))
+    plan(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    return spark.table(name)
+
+
+@pytest.mark.parametrize("step", [1.5, 3.0, 0.4, 48000 / 44100])
+def test_resample_stream(spark, tmp_path, step):
+    x = np.random.default_rng(5).standard_normal(97)
+    cuts = [0, 1, 2, 30, 31, 97]
+    batches = [[(1, k, x[a:b].tolist())] for k, (a, b) in enumerate(itertools.pairwise(cuts))]
+    got = _streamed(spark, tmp_path, "session_id long, block_idx long, samples array<double>", batches, lambda s: stateful.resample_stream(s, step), f"rs{int(step * 10)}").orderBy("idx").collect()
+    batch = signal.linear_resample(spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "session_id long, idx long, x double"), step).orderBy("idx").collect()
+    assert [r.idx for r in got] == [r.idx for r in batch] == list(range(math.ceil(96 / step))) and np.allclose([r.x for r in got], [r.x for r in batch])
+
+
+def test_frames_stream(spark, tmp_path):
+    x = np.arange(20, dtype="<f4").reshape(10, 2)
+    raw = x.tobytes()
+    batches = [[(1, k, raw[a:b])] for k, (a, b) in enumerate(itertools.pairwise([0, 3, 7, 8, 50, 80]))]
+    got = _streamed(spark, tmp_path, "session_id long, packet_idx long, data binary", batches, lambda s: stateful.frames_stream(s, 2), "frames").orderBy("idx").collect()
+    assert [(r.idx, r.x) for r in got] == list(enumerate(x.mean(1).tolist()))
+
+
+def test_recorder(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    mic, system = rng.uniform(-1, 1, 30), rng.uniform(-1, 1, 24)
+    schema = "session_id long, block_idx long, channel string, samples array<double>, last boolean"
+    for k in range(3):
+        rows = [(4, k, "mic", mic[10 * k : 10 * k + 10].tolist(), False), (4, k, "system", system[8 * k : 8 * k + 8].tolist(), k == 2)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = stateful.record_stream(stateful.align_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    (r,) = stateful.recordings(spark, str(tmp_path / "out"), 16000).collect()
+    rate, channels, a, b = wav.decode_wav(r.wav)
+    assert (r.session_id, rate, channels) == (4, 16000, 2) and np.allclose(a, mic, atol=2e-3) and np.allclose(b, np.pad(system, (0, 6)), atol=2e-3)
+
+
+def test_wav_brought_down(spark, tmp_path):
+    x = np.sin(np.arange(4800) * 2 * np.pi * 1000 / 48000)
+    (tmp_path / "a.wav").write_bytes(wav.encode_wav([x], 48000))
+    (r,) = wav.read_recordings(spark, str(tmp_path), 16000).collect()
+    track = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(wav.decode_wav(wav.encode_wav([x], 48000))[2])], "session_id long, idx long, x double")
+    want = [q.x for q in signal.fir_decimate(track, 3, block=100).orderBy("idx").collect()]
+    assert (r.rate, len(r.mic)) == (16000, 1600) and np.allclose(r.mic, want, atol=1e-5) and max(map(abs, r.mic[100:-100])) > 0.95
+
+
+def test_clean_microphone(spark):
+    """A delayed echo is measured, cancelled and put back in place; a session without one stays as it is."""
+    rng, rate, lag = np.random.default_rng(11), 2000, 40
+    far = rng.standard_normal(rate * 24) * 0.1 * np.repeat(rng.random(48) < 0.6, rate // 2)
+    echo = np.concatenate([np.zeros(lag), np.convolve(far, [0.2, 0.0, 0.08])])[: len(far)]
+    quiet = rng.standard_normal(len(far)) * 0.01
+    rows = [(s, i, float(m), float(f)) for s, mic in ((1, echo), (2, quiet)) for i, (m, f) in enumerate(zip(mic, far, strict=True))]
+    both = spark.createDataFrame(rows, "session_id long, idx long, mic double, system double")
+    mic, system = (both.select("session_id", "idx", F.col(c).alias("x")) for c in ("mic", "system"))
+    clean, report = recordings.clean_microphone(mic, system, rate, 15.0, {"window_s": 0.5, "segment_s": 8.0, "max_lag_s": 0.1, "band": None}, {"block": 64, "reach": 128})
+    found = {r.session_id: r for r in report.collect()}
+    assert found[1].cancel and abs(found[1].lag - lag) < 4 and found[1].erle_db > 6 and not found[1].weak and not found[2].cancel and found[2].erle_db is None
+    tracks = {s: np.array([r.x for r in clean.where(f"session_id = {s}").orderBy("idx").collect()]) for s in (1, 2)}
+    assert np.array_equal(tracks[2], quiet) and len(tracks[1]) == len(echo) and np.array_equal(tracks[1][: found[1].lag], echo[: found[1].lag])
+    half = slice(rate * 12, None)
+    assert (tracks[1][half] ** 2).mean() < 0.1 * (echo[half] ** 2).mean()
+
+
+def test_double_talk_and_restart(spark):
+    rng = np.random.default_rng(4)
+    far, near = _speech(rng, 16000 * 6), _speech(rng, 16000 * 6)
+    echo = np.convolve(far, [0.15, 0.0, 0.05])[: len(far)]
+    clean = spectral.cancel(near + echo, far)
+    assert np.corrcoef(clean, near)[0, 1] > 0.95 and np.abs(clean).max() <= 1.01 * np.abs(near + echo).max()
+    whole, parts = (spectral.cancel(near + echo, far, chunk=k) for k in (1024, 3))
+    assert np.allclose(whole, parts, atol=1e-6)
+
+
+def test_summaries_with_prompts(spark, tmp_path):
+    asked = lambda body: F.concat(F.lit("<"), F.substring(body, 1, 9), F.lit(">"))
+    lines = spark.createDataFrame([(1, k, f"w{k} " * 10) for k in range(6)] + [(1, 9, " \t")], "session_id long, line_no long, line string")
+    out = summaries.summarize(lines, 60, complete=asked, prompts={"final": "FINAL {transcript}", "map": "MAP {transcript}", "merge": "MERGE {transcript}"})
+    (r,) = out.collect()
+    assert r.summary.startswith("<FINAL ") and r.levels >= 1
+
+    def fails(text):
+        if "b" in text:
+            raise RuntimeError("no model")
+        return text.upper()
+
+    noted = spark.createDataFrame([("x", "aa"), ("y", "bb")], "name string, text string").withColumn("summary", summaries.guarded(fails)(F.col("text")))
+    summaries.write_notes(noted, "name", str(tmp_path / "notes"))
+    assert {r.name: r.value.strip() for r in spark.read.option("wholetext", True).text(str(tmp_path / "notes")).collect()} == {"x": "AA"}
+    assert [(r.name, r.summary) for r in noted.orderBy("name").collect()] == [("x", "AA"), ("y", None)]
+
+
+def test_missing_diarizer_and_zip(spark):
+    plain = spark.range(1)
+    assert recordings.optional(lambda: 1 / 0, plain, "diarizing") is plain
+    rows = spark.createDataFrame([([1, 2], ["a"])], "a array<int>, b array<string>")
+    with pytest.raises(Exception, match="unequal size"):
+        rows.select(signal.zipped(F.col("a"), F.col("b"))).collect()

@@ -63,7 +63,7 @@ def session_dir(started: Column, name: Column, default: str = "meeting") -> Colu
 
 def status_line(mic_rms: Column, system_rms: Column, state: Column) -> Column:
     """A recording's status as text; a missing system channel shows as a dash."""
-    four = lambda c: F.format_number(c, "0.0000")
+    four = lambda c: F.when(c.isNotNull(), F.format_string("%.4f", c))
     return F.concat(F.lit("mic_rms="), four(mic_rms), F.lit(" sys_rms="), F.coalesce(four(system_rms), F.lit("-")), F.lit(" state="), state)
 
 

@@ -101,7 +101,7 @@ def fir_decimate(track: DataFrame, factor: int, kernel: list[float] | None = Non
     dealt = track.select("session_id", "idx", "x", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))).alias("_block"))
     size = track.groupBy("session_id").agg(F.max("idx").alias("last"))
 
-    def convolve(key, group: pd.DataFrame) -> pd.DataFrame:
+    def convolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         first = key[1] * span - half
         x = np.zeros(span + 2 * half)
         x[group["idx"].to_numpy() - first] = group["x"].to_numpy(float)

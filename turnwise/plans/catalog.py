@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
 from turnwise.operators import intervals, segments, sessions, signal, spectral
-from turnwise.plans import summaries
+from turnwise.plans import recordings, summaries
 from turnwise.sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,7 +241,7 @@ def _(spark, d):
 def _(spark, d):
     c = V.table(spark, d, "conversations").select("conv_id").distinct()
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 28).cast("int"))
-    return c.select("conv_id", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.coalesce(F.when(F.col("conv_id") % 2 == 0, "talk"), F.lit("meeting"))).alias("dir"))
+    return c.select("conv_id", sessions.session_dir(day, F.when(F.col("conv_id") % 2 == 0, "talk")).alias("dir"))
 
 
 def _power(spark, d, kind):
@@ -431,16 +431,169 @@ def _pair_tracks(spark, d):
     return signal.align_common(V.track(spark, d, "click"), V.track(spark, d, "view"))
 
 
-@query("gcc_phat")
+_PAIRS = f"""{_TRACKS}, p as (select m.session_id, m.idx, m.x as mic, s.x as system from tracks m join tracks s on m.session_id = s.session_id and m.idx = s.idx and m.event_type = 'click' and s.event_type = 'view')"""
+
+
+def _bins(n: int, bins: int, taper: str = "1e0") -> str:
+    """Real and imaginary parts of the spectra of lists a and b, a row a bin k."""
+    part = lambda x, f: f"list_sum(list_transform(range(4), lambda j: {x}[j + 1] * {taper} * {f}(2 * pi() * j * k / {n})))"
+    return f"k, {part('a', 'cos')} as ar, -{part('a', 'sin')} as ai, {part('b', 'cos')} as br, -{part('b', 'sin')} as bi from l, (select unnest(range({bins})) as k)"
+
+
+#: Windows of 4 samples in segments of 32, spectra of 8, lags of 2 at most.
+_CURVE = f"""{_PAIRS}, w as (select session_id, (idx // 32)::bigint as segment, idx % 32 // 4 as w, list(mic order by idx) as a, list(system order by idx) as b, avg(system * system) as pw from p group by all having count(*) = 4),
+m as (select session_id, segment, greatest(median(pw), 1e-12) as lim, count(*) as n from w group by all), l as (select w.* from w join m using (session_id, segment) where pw > lim and n >= 2),
+f as (select session_id, segment, w, {_bins(8, 5)}), c as (select session_id, segment, w, k, ar * br + ai * bi as re, ai * br - ar * bi as im from f),
+z as (select *, sqrt(re * re + im * im) as sz, avg(sqrt(re * re + im * im)) over (partition by session_id, segment, w) as ms from c),
+h as (select session_id, segment, k, avg(re / (sz + 0.2e0 * ms + 1e-12)) as re, avg(im / (sz + 0.2e0 * ms + 1e-12)) as im from z group by all having count(*) >= 2),
+r as (select session_id, segment, lag, sum(case k when 0 then re when 4 then re * cos(pi() * lag) else 2 * (re * cos(2 * pi() * k * lag / 8) - im * sin(2 * pi() * k * lag / 8)) end) / 8 as r from h, (select unnest(range(-2, 3)) as lag) group by all),
+d as (select session_id, segment, arg_max(lag, (r, -lag))::int as lag, max(r) / (median(abs(r)) + 1e-30) as sharpness from r group by all)"""
+_KNOBS = {"rate": 4, "window_s": 1.0, "segment_s": 8.0, "max_lag_s": 0.5, "band": None}
+
+
+@query("gcc_phat", f"with {_CURVE} select session_id, segment, lag, round(sharpness, 4) as sharpness from d")
+def _(spark, d):
+    return spectral.segment_delays(_pair_tracks(spark, d), **_KNOBS).withColumn("sharpness", _r(F.col("sharpness"), 4))
+
+
+@query("gcc_curve", f"with {_CURVE} select session_id, segment, lag::int as lag, round(r, 9) as r from r")
 def _(spark, d):
-    return spectral.segment_delays(_pair_tracks(spark, d), rate=4, window_s=1.0, segment_s=8.0, max_lag_s=0.5, band=None)
+    curve = spectral.correlation_curves(_pair_tracks(spark, d), **_KNOBS).select("session_id", "segment", F.explode(F.arrays_zip("lags", "r")).alias("c"))
+    return curve.select("session_id", "segment", F.col("c.lags").alias("lag"), _r(F.col("c.r"), 9).alias("r"))
 
 
-@query("cross_spectra")
+@query("echo_delay", f"""with {_CURVE}, u as (select *, case when sharpness >= 3 and lag >= 0 then lag end as ok from d)
+select session_id, coalesce(min(ok), 0) as lag, count(ok) as n_usable, count(lag) as n_segments, round(coalesce(median(sharpness), 0), 4) as sharpness, min(ok) as min_lag, max(ok) as max_lag, coalesce(median(sharpness), 0) >= 3 as cancel
+ from (select distinct session_id from p) left join u using (session_id) group by 1""")
 def _(spark, d):
+    return spectral.echo_delay(_pair_tracks(spark, d), 3.0, **_KNOBS).withColumn("sharpness", _r(F.col("sharpness"), 4))
+
+
+_SPECTRA = f"""{_PAIRS}, w as (select session_id, idx // 4 as w, list(mic order by idx) as a, list(system order by idx) as b, avg(system * system) as pw from p group by all having count(*) = 4),
+m as (select session_id, greatest(median(pw), 1e-12) as lim from w group by 1), l as (select w.* from w join m using (session_id) where pw > lim),
+f as (select session_id, w, {_bins(4, 3, "(case when j in (1, 2) then 0.75e0 else 0e0 end)")}),
+x as (select session_id, k::double as freq, avg(ar * br + ai * bi) as sxy_re, avg(ai * br - ar * bi) as sxy_im, avg(br * br + bi * bi) as sxx, avg(ar * ar + ai * ai) as syy from f group by all having count(*) >= 2)"""
+
+
+def _spectra(spark, d):
     return spectral.cross_spectra(_pair_tracks(spark, d), 4, 4)
 
 
+@query("cross_spectra", f"with {_SPECTRA} select session_id, freq, round(sxy_re, 9) as sxy_re, round(sxy_im, 9) as sxy_im, round(sxx, 9) as sxx, round(syy, 9) as syy from x")
+def _(spark, d):
+    return _spectra(spark, d).select("session_id", "freq", *(_r(F.col(c), 9).alias(c) for c in ("sxy_re", "sxy_im", "sxx", "syy")))
+
+
+@query("coupling", f"with {_SPECTRA} select session_id, round(sum((sxy_re * sxy_re + sxy_im * sxy_im) / (sxx + 1e-20)) / (sum(sxx) + 1e-30), 9) as coupling from x group by 1")
+def _(spark, d):
+    return spectral.coupling(_spectra(spark, d)).select("session_id", _r(F.col("coupling"), 9).alias("coupling"))
+
+
+_RESPONSE = f"""{_SPECTRA}, g as (select *, sxx + 0.01e0 * avg(sxx) over (partition by session_id) + 1e-20 as den from x),
+h as (select session_id, idx, abs(sum(case freq when 0 then sxy_re / den when 2 then sxy_re / den * cos(pi() * idx) else 2 * (sxy_re / den * cos(pi() * idx / 2) - sxy_im / den * sin(pi() * idx / 2)) end) / 4) as h from g, (select unnest(range(2)) as idx) group by session_id, idx)"""
+
+
+@query("impulse_response", f"with {_RESPONSE} select session_id, idx, round(h, 9) as h from h")
+def _(spark, d):
+    return spectral.impulse_response(_spectra(spark, d)).withColumn("h", _r(F.col("h"), 9))
+
+
+@query("echo_envelope", f"with {_RESPONSE}, k as (select session_id, max(h) as peak from h group by 1) select session_id, idx as bucket, round(h, 9) as h, round(peak, 9) as peak from h join k using (session_id) where h > 0.05e0 * peak")
+def _(spark, d):
+    found = spectral.envelope(spectral.impulse_response(_spectra(spark, d)), 1)
+    return found.select("session_id", "bucket", _r(F.col("h"), 9).alias("h"), _r(F.col("peak"), 9).alias("peak"))
+
+
+@query("echo_tail", f"with {_RESPONSE}, k as (select session_id, max(h) as peak from h group by 1) select session_id, max(idx) as tail from h join k using (session_id) where h > 0.1e0 * peak group by 1")
+def _(spark, d):
+    return spectral.tail_length(spectral.impulse_response(_spectra(spark, d)))
+
+
+@query("window_counts", f"with {_PAIRS}, w as (select session_id, idx // 4 as w, avg(system * system) as pw from p group by all having count(*) = 4), m as (select session_id, greatest(median(pw), 1e-12) as lim from w group by 1) select session_id, count(*) filter (pw > lim) as n_active, count(*) as n_windows from w join m using (session_id) group by 1")
+def _(spark, d):
+    return spectral.window_counts(_pair_tracks(spark, d), 4)
+
+
+@query("track_rms", f"with {_TRACKS} select session_id, round(sqrt(avg(x * x)), 9) as rms from tracks where event_type = 'view' group by 1")
+def _(spark, d):
+    return signal.track_rms(V.track(spark, d, "view")).select("session_id", _r(F.col("rms"), 9).alias("rms"))
+
+
+@query("downmix", "select vec_id, round((list_sum(list_transform(embedding, lambda v: v::double)) / len(embedding))::float::double, 6) as x from embeddings")
+def _(spark, d):
+    return V.table(spark, d, "embeddings").select("vec_id", _r(signal.downmix(F.col("embedding")).cast("double")).alias("x"))
+
+
+@query("lag_ms", "select event_id, 1000e0 * event_id / 16000 as ms, trunc(value * 16000 / 1000e0)::bigint as samples from events")
+def _(spark, d):
+    return V.table(spark, d, "events").select("event_id", signal.milliseconds(F.col("event_id"), 16000).alias("ms"), signal.sample_count(F.col("value"), 16000).alias("samples"))
+
+
+@query("positional_zip", r"""with w as (select conv_id, turn::bigint as turn, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as ws from conversations), z as (select conv_id, turn, generate_subscripts(ws, 1) as i, ws from w)
+select conv_id, turn, (i - 1)::int as place, ws[i] as word, length(ws[i])::int as n from z""")
+def _(spark, d):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    pairs = signal.zipped(F.col("ws"), F.transform("ws", F.length))
+    return V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), words.alias("ws")).select("conv_id", "turn", F.posexplode(pairs).alias("place", "z")).select("conv_id", "turn", "place", F.col("z.a").alias("word"), F.col("z.b").alias("n"))
+
+
+@query("order_turns", """with t as (select user_id as session_id, event_id % 50 * 1e0 as start, event_id % 50 + value as "end", (event_id % 3)::int as speaker from events)
+select session_id, start, round("end", 6) as "end", speaker, (row_number() over (partition by session_id order by start, "end", speaker) - 1)::int as turn_idx from t""")
+def _(spark, d):
+    e, place = V.table(spark, d, "events"), F.col("event_id") % 50
+    t = e.select(F.col("user_id").alias("session_id"), (place * 1.0).alias("start"), (place + F.col("value")).alias("end"), (F.col("event_id") % 3).cast("int").alias("speaker"))
+    return sessions.ordered_turns(t).withColumn("end", _r(F.col("end")))
+
+
+@query("drift_steps", f"with {_POINTS}, b as (select *, coalesce((abs(d - lag(d) over (partition by session_id order by t)) > 8)::int, 0) as new from points) select session_id, sum(new)::bigint as n_steps from b group by 1")
+def _(spark, d):
+    return sessions.step_count(_points(spark, d), 8.0)
+
+
+@query("prompt_fits", r"""select conv_id, turn::bigint as turn, 'Sum up: ' || text || '.' as prompt, len(list_filter(regexp_split_to_array('Sum up: ' || text || '.', '\s+'), lambda w: w <> '')) <= 1128 - 1024 - 64 as fits from conversations""")
+def _(spark, d):
+    asked = summaries.prompt("Sum up: {transcript}.", F.col("text"))
+    return V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), asked.alias("prompt"), sessions.fits(T.word_count(asked), F.lit(1128)).alias("fits"))
+
+
+@query("text_lines", r"""with l as (select doc_id, string_split(text, chr(10)) as ls from documents), x as (select doc_id, generate_subscripts(ls, 1) as i, ls from l)
+select doc_id, (i - 1)::bigint as line_no, ls[i] as line from x where not regexp_full_match(ls[i], '[\x09-\x0d\x20\x1c-\x1f]*')""")
+def _(spark, d):
+    return summaries.lines_of(V.table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "line_no", "line")
+
+
+@query("status_line", """select event_id, 'mic_rms=' || printf('%.4f', round(value / 1024, 4)) || ' sys_rms=' || case when event_type = 'view' then printf('%.4f', round(value / 512, 4)) else '-' end || ' state=' || event_type as status from events""")
+def _(spark, d):
+    e = V.table(spark, d, "events")
+    return e.select("event_id", sessions.status_line(F.round(F.col("value") / 1024, 4), F.when(F.col("event_type") == "view", F.round(F.col("value") / 512, 4)), F.col("event_type")).alias("status"))
+
+
+@query("dup_rate_ratio")
+def _(spark, d):
+    """By the ratio of texts of any length, strictly above 0.6; without SQL, which has no such ratio."""
+    return intervals.duplication_rate(_doubled(spark, d, None), lambda a, b: T.text_ratio(a, b) > 0.6).select("session_id", "dup", "total", _r(F.col("pct")).alias("pct"))
+
+
+def loud_frames(track):
+    """A stand-in for a speech model: a segment of a second for each loud frame of 4 samples, its text told by the frame."""
+    frames = signal.active_frames(signal.frame_power(track, 4))
+    start = F.col("frame") * 1.0
+    return frames.select("session_id", F.col("frame").alias("seq"), start.alias("start"), (start + 1).alias("end"), F.concat(F.lit("heard at "), F.conv((F.col("frame") * 2654435761 % 4294967296).cast("string"), 10, 36)).alias("text"), F.lit(0.0).alias("no_speech_prob"), F.lit(1.0).alias("compression_ratio"))
+
+
+@query("process_recording")
+def _(spark, d):
+    """The whole offline pass: measure, gate, shift, cancel, put back, transcribe, filter, label, interleave, render."""
+    turns = V.turns(spark, d).withColumn("session_id", F.col("session_id") + 1)
+    return recordings.process_recordings(*_mic_system(spark, d), 4, loud_frames, lambda track: turns, limit=3.0, measure={k: v for k, v in _KNOBS.items() if k != "rate"}, cancel={"block": 4, "reach": 8, "ratio": 10.0})
+
+
+@query("echo_report")
+def _(spark, d):
+    found = recordings.clean_microphone(*_mic_system(spark, d), 4, 3.0, {k: v for k, v in _KNOBS.items() if k != "rate"}, {"block": 4, "reach": 8, "ratio": 10.0})[1]
+    return found.select("session_id", "lag", "lag_ms", "cancel", _r(F.col("erle_db")).alias("erle_db"), "weak")
+
+
 @query("cancel_echo")
 def _(spark, d):
     return spectral.cancel_echo(_pair_tracks(spark, d), block=4, reach=8, ratio=10.0)

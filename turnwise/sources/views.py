@@ -39,8 +39,11 @@ def track(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the shared folder (spark.checkpoint.dir; a temporary one where none is set)."""
+    """df cut from its lineage by a checkpoint in the shared folder (spark.checkpoint.dir; a temporary one where none is set and the master is local)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnwise-"))
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="turnwise-"))
     return df.checkpoint()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
+from turnwise.operators.signal import sinc_kernel
+
 _DECODED = StructType([StructField("rate", IntegerType()), StructField("channels", IntegerType()), StructField("mic", ArrayType(FloatType())), StructField("system", ArrayType(FloatType()))])
 
 
@@ -36,14 +38,31 @@ def encode_wav(channels: list[np.ndarray], rate: int) -> bytes:
     return to.getvalue()
 
 
-@pandas_udf(_DECODED)
-def _decoded(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_wav(c) for c in content], columns=["rate", "channels", "mic", "system"])
+def decimated(x: np.ndarray | None, factor: int) -> np.ndarray | None:
+    """Every factor-th sample behind a low-pass, zeros beyond the ends."""
+    if x is None or factor == 1 or not len(x):
+        return x
+    kernel = np.array(sinc_kernel(factor))
+    half = len(kernel) // 2
+    return np.convolve(np.pad(x.astype(float), half), kernel, "valid")[::factor].astype(np.float32)
+
+
+def read_recordings(spark: SparkSession, path: str, target_rate: int | None = None) -> DataFrame:
+    """path, rate, channels, mic, system (null for mono) of every WAV file under path, brought down to target_rate if that is given.
 
+    A rate that isn't a multiple of it is an error."""
+    @pandas_udf(_DECODED)
+    def decoded(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            rate, channels, mic, system = decode_wav(c)
+            to = target_rate or rate
+            if rate % to:
+                raise ValueError(f"{rate} Hz can't be brought down to {to} Hz")
+            rows.append((to, channels, decimated(mic, rate // to), decimated(system, rate // to)))
+        return pd.DataFrame(rows, columns=["rate", "channels", "mic", "system"])
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """path, rate, channels, mic, system (null for mono) of every WAV file under path."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", _decoded("content").alias("r")).select("path", "r.*")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", decoded("content").alias("r")).select("path", "r.*")
 
 
 def samples(recordings: DataFrame, key: str, channel: str) -> DataFrame:

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnwise.operators import sessions as S
 from turnwise.operators.signal import sinc_kernel
+from turnwise.sources.wav import wav_bytes
 
 
 def watchdog_stream(blocks: DataFrame, stop: float = S.STOP, poll: float = S.POLL, calibration: float = S.CALIBRATION) -> DataFrame:
@@ -90,3 +92,64 @@ def align_stream(blocks: DataFrame) -> DataFrame:
         yield pd.DataFrame({"session_id": np.full(n, key[0], np.int64), "idx": np.arange(at, at + n), "mic": np.array(pending["mic"][:n], float), "system": np.array(pending["system"][:n], float)})
 
     return blocks.groupBy("session_id").applyInPandasWithState(update, "session_id long, idx long, mic double, system double", "mic array<double>, system array<double>, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def resample_stream(blocks: DataFrame, step: float) -> DataFrame:
+    """session_id, idx, x at positions 0, step, 2 * step, ... of the samples, interpolated as soon as both neighbours have come.
+
+    The phase is carried over blocks: state is the samples from the next position on, where they begin and what is out.
+    blocks: session_id long, block_idx long, samples array<double>."""
+    if step <= 0:
+        raise ValueError("step must be above 0")
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail, begins, done = state.get if state.exists else ([], 0, 0)
+        rows = pd.concat(list(batches)).sort_values("block_idx")
+        x = np.concatenate([np.asarray(tail, float), *(np.asarray(s, float) for s in rows["samples"])])
+        ready = max(0, begins + len(x) - 1)  # positions below this have both neighbours
+        at = np.arange(done, max(done, math.ceil(ready / step)))
+        left = np.floor(at * step).astype(np.int64) - begins
+        share = at * step - np.floor(at * step)
+        found = x[left] * (1 - share) + x[left + 1] * share if len(at) else np.empty(0)
+        done += len(at)
+        keep = min(max(0, math.floor(done * step) - begins), len(x))
+        state.update((x[keep:].tolist(), begins + keep, done))
+        yield pd.DataFrame({"session_id": np.full(len(at), key[0], np.int64), "idx": at, "x": found})
+
+    return blocks.groupBy("session_id").applyInPandasWithState(update, "session_id long, idx long, x double", "tail array<double>, begins long, done long", "append", GroupStateTimeout.NoTimeout)
+
+
+def frames_stream(packets: DataFrame, channels: int) -> DataFrame:
+    """session_id, idx, x: raw packets of interleaved 32-bit floats as mono samples; bytes short of a frame wait for the next packet.
+
+    packets: session_id long, packet_idx long, data binary."""
+    size = 4 * channels
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, at = state.get if state.exists else (b"", 0)
+        data = bytes(rest) + b"".join(bytes(d) for d in pd.concat(list(batches)).sort_values("packet_idx")["data"])
+        n = len(data) // size
+        x = np.frombuffer(data, "<f4", n * channels).reshape(n, channels).mean(1, dtype=np.float64).astype(np.float32)
+        state.update((data[n * size :], at + n))
+        yield pd.DataFrame({"session_id": np.full(n, key[0], np.int64), "idx": np.arange(at, at + n), "x": x})
+
+    return packets.groupBy("session_id").applyInPandasWithState(update, "session_id long, idx long, x float", "rest binary, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def record_stream(aligned: DataFrame, path: str, checkpoint: str):
+    """Starts the recorder: align_stream's samples go to Parquet files by session as they come, each once; recordings() reads them."""
+    silent = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mic", "system")]  # an expression also makes plain rows of Arrow's, which the writer needs
+    return aligned.select("session_id", "idx", *silent).writeStream.format("parquet").partitionBy("session_id").option("checkpointLocation", checkpoint).outputMode("append").start(path)
+
+
+def recordings(spark, path: str, rate: int) -> DataFrame:
+    """session_id and wav, the stereo file of each recorded session."""
+    rows = spark.read.schema("idx long, mic double, system double, session_id long").parquet(path)
+    tracks = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "mic", "system"))).alias("t"))
+    return tracks.select("session_id", wav_bytes(F.col("t.mic"), F.col("t.system"), rate=rate).alias("wav"))
+
+
+def with_status(blocks: DataFrame, name: str = "status") -> DataFrame:
+    """blocks (mic, system: levels), observed: each micro-batch reports its rows, last levels and loudest ones to query listeners."""
+    last = lambda c: F.max_by(c, "i").alias(f"{c}_rms")
+    return blocks.observe(name, F.count(F.lit(1)).alias("blocks"), last("mic"), last("system"), F.max("mic").alias("mic_peak"), F.max("system").alias("system_peak"))
