@@ -557,3 +557,45 @@ def test_op10_score_by_brute_force(spark):
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm_score.op10(df).collect()]
     assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 for a, b in zip(sorted(got), sorted(want), strict=True))
     assert [lm_score.pair_bytes(x) for x in (0, 1 << 29, 1 << 47)] == [6, 6, 8]
+
+
+def test_quality_ablations(spark, docs, empty):
+    c = duckdb.connect()
+    c.sql(f"create view documents as from '{SF}/documents.parquet'")
+    a, b = queries.QUERIES["quality_ablations"](spark, SF).toPandas(), c.sql(queries.SQL["quality_ablations"]).df()
+    key = ["policy", "version", "rule"]
+    a, b = (x[sorted(x.columns)].sort_values(key).reset_index(drop=True) for x in (a, b))
+    assert len(a) > 2 and (a.to_numpy() == b.to_numpy()).all()
+    kept = {(r.policy, r.n_kept) for r in quality_rules.ablations(docs).collect()}
+    assert kept == {(p.name, quality_rules.ledger(docs).where(quality_rules.passes(p)).count()) for p in quality_rules.POLICIES}
+    assert quality_rules.ablations(empty).count() == 0
+
+
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_op5_solver_against_least_squares(spark, tmp_path, most):
+    """Against coordinate descent, which is exact in the limit; targets within reach and out of it."""
+    rng = np.random.default_rng(9)
+    for k, weights in enumerate(([0.5, 0.3, 0.2], [0.2, 0.1, 0.7], [0.9, 0.1, 0.0])):
+        n, p = rng.integers(1, 200, 30).astype(float), rng.dirichlet([1.0, 1.0, 0.5], 30)
+        spark.createDataFrame([(float(x), y.tolist()) for x, y in zip(n, p, strict=True)], "n double, p array<double>").write.parquet(str(tmp_path / str(k)))
+        members = spark.read.parquet(str(tmp_path / str(k)))
+        target = np.array(weights) * n.sum() * (0.5 if most else 1.0)
+        a, r = (p * n[:, None]).T, np.ones(30)
+        for _ in range(4000):
+            for i in range(30):
+                r[i] = np.clip(r[i] - a[:, i] @ (a @ r - target) / (a[:, i] @ a[:, i]), 0, most)
+        exact = np.linalg.norm(a @ r - target) / target.sum()
+        steps = mixing.solve(members, target, most)
+        got = members.withColumn("rate", mixing._rate(steps, most)).toPandas()
+        assert (got.rate >= 0).all() and (most is None or (got.rate <= most).all())
+        far = np.linalg.norm((np.stack(got.p).T * (got.n * got.rate).to_numpy()).sum(1) - target) / target.sum()
+        assert far <= exact + 2e-3, (weights, far, exact)
+
+
+def test_op5_and_keep_hostile_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (8, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    model = mixing.fit(docs, mixing.labelled(labels), mixing.DOMAINS)
+    twice = docs.union(docs).withColumn("doc_id", F.expr("nullif(doc_id, 3)")).withColumnsRenamed({"fp": "n", "n_chars": "p"})
+    kept = mixing.keep(twice, model, {"good": 1.0})
+    assert kept.columns == twice.columns and all(v == 2 for v in Counter((r.doc_id, r.text) for r in kept.collect()).values())
+    assert mixing.op5(empty, labels).count() == 0 and mixing.keep(empty, model, {"good": 1.0}).count() == 0

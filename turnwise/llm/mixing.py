@@ -3,8 +3,8 @@
 A classifier fitted on labelled rows gives each document's posterior over domains. Nonnegative rates then minimise the
 squared distance between the expected tokens of each domain, sum of rate * tokens * posterior, and the targets, by
 projected gradient from a rate of one. A step moves a document's rate by its posterior times a vector that is the same
-for all (the residual, scaled by the inverse curvature of the documents still free to move), so an iteration is one
-aggregate over (tokens, posterior) and only that vector, as long as the number of domains, passes the driver.
+for all (the residual, scaled by the inverse curvature of the documents still free to move, or plain), so an iteration is
+two aggregates over (tokens, posterior) and only such vectors, as long as the number of domains, pass the driver.
 
 Training takes at most TRAIN_DOCS labelled documents in order of a hash of their id. Inputs are the words (hashed to
 WORDS buckets, those that tell domains apart by |z| >= Z) and the shares of character classes; labels, ids, lang and
@@ -20,7 +20,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from turnwise.llm.common import Words, durable, runs
 
 TRAIN_DOCS, WORDS, Z, EPOCHS = 4000, 1 << 18, 4.0, 200
-ITERATIONS, TOLERANCE, STALL, TRIES = 40, 2e-4, 1e-4, 5
+ITERATIONS, TOLERANCE, STALL, TRIES = 30, 2e-5, 1e-5, 3
+#: Lengths tried of the scaled gradient, and of the plain one.
+LENGTHS = (1.0, 0.5, 0.2, 0.05), (1.0, 4.0, 16.0, 64.0)
 _CLASSES = np.zeros((256, 5))
 _CLASSES[65:91, 0] = 1  # capitals
 _CLASSES[list(b"#*$%&|<>"), 1] = 1
@@ -135,42 +137,59 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return texts.mapInArrow(_posteriors(model), "doc_id bigint, n double, p array<double>")
 
 
+def _moved(r: Column, step: np.ndarray, most: float | None) -> Column:
+    r = F.greatest(r - sum((F.col("p")[k] * float(v) for k, v in enumerate(step)), F.lit(0.0)), F.lit(0.0))
+    return r if most is None else F.least(r, F.lit(most))
+
+
 def _rate(steps: list[np.ndarray], most: float | None) -> Column:
     r = F.lit(1.0)
     for step in steps:
-        r = F.greatest(r - sum((F.col("p")[k] * float(v) for k, v in enumerate(step)), F.lit(0.0)), F.lit(0.0))
-        r = r if most is None else F.least(r, F.lit(most))
+        r = _moved(r, step, most)
     return r
 
 
 def solve(members: DataFrame, targets: np.ndarray, most: float | None = None) -> list[np.ndarray]:
     """The steps of the projected gradient; _rate() makes rates of them. members: n and p, durable.
 
-    A scaled step that doesn't bring the totals nearer is taken back, and the plain gradient's step follows, whose length
-    (one over the largest curvature) can't lead away. It ends at the tolerance, when TRIES steps gain little, or after
-    ITERATIONS; targets out of reach are then approached, not met."""
-    d, taken, best, failures = len(targets), [], np.inf, 0
-    total, steps = max(1.0, float(np.sum(targets))), []
+    An iteration is two aggregates: the curvature of the documents that are free to move (not held at a bound by the
+    residual), then the residual after each of a few lengths of the scaled and of the plain gradient, of which the nearest
+    is taken; the plain gradient's shortest (one over the largest curvature) can't lead away. It ends at the tolerance, when
+    TRIES iterations in a row gain little, or after ITERATIONS; targets out of reach are then approached, not met."""
+    d, steps, failures = len(targets), [], 0
+    total = max(1.0, float(np.sum(targets)))
+
+    def sums(r: DataFrame, named: dict[str, Column]) -> np.ndarray:
+        values = r.agg(*(F.sum(c).alias(name) for name, c in named.items())).first()
+        return np.array([values[name] or 0.0 for name in named])
+
+    n, p = F.col("n"), [F.col("p")[k] for k in range(d)]
+    rated = lambda: members.select("n", "p", _rate(steps, most).alias("r"))
+    residual = sums(rated(), {f"a{k}": n * F.col("r") * p[k] for k in range(d)}) - targets
+    most_curved = None
     for _ in range(ITERATIONS):
-        r = members.select("n", "p", _rate(steps, most).alias("r"))
-        free = (F.col("r") > 0) if most is None else (F.col("r") > 0) & (F.col("r") < most) | F.lit(not steps)
-        sums = r.agg(*(F.sum(F.col("n") * F.col("r") * F.col("p")[k]).alias(f"a{k}") for k in range(d)), *(F.sum(F.when(free, F.col("n") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d))).first()
-        residual = np.array([sums[f"a{k}"] or 0.0 for k in range(d)]) - targets
         far = float(np.linalg.norm(residual))
-        gained = best - far
-        if gained > 0 or not steps:
-            best, taken, nearest = far, steps, residual
-        failures = 0 if gained > STALL * total else failures + 1
-        if not steps or failures == 0:
-            h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-            most_curved = max(float(np.linalg.eigvalsh(h)[-1]), 1e-9) if not steps else most_curved
-            step = np.linalg.solve(h + np.eye(d) * (1e-6 * total + 1e-9), residual)
-        else:
-            step = nearest / most_curved
-        if best <= TOLERANCE * total or failures == TRIES:
+        if far <= TOLERANCE * total or failures == TRIES:
             break
-        steps = [*taken, step]
-    return taken
+        slope = sum((p[k] * float(residual[k]) for k in range(d)), F.lit(0.0))
+        free = (F.col("r") > 0) | (slope < 0)
+        free = free if most is None else free & ((F.col("r") < most) | (slope > 0))
+        names = [(i, j) for i in range(d) for j in range(i, d)]
+        curves = {f"h{i}_{j}": F.when(free, n * p[i] * p[j]).otherwise(0.0) for i, j in names}
+        whole = {f"w{i}_{j}": n * p[i] * p[j] for i, j in names} if most_curved is None else {}
+        found = dict(zip([*curves, *whole], sums(rated(), curves | whole), strict=True))
+        square = lambda letter: np.array([[found[f"{letter}{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+        most_curved = most_curved or max(float(np.linalg.eigvalsh(square("w"))[-1]), 1e-9)
+        scaled = np.linalg.solve(square("h") + np.eye(d) * (1e-6 * total + 1e-9), residual)
+        tries = [scaled * a for a in LENGTHS[0]] + [residual / most_curved * a for a in LENGTHS[1]]
+        moved = {f"{t}_{k}": n * _moved(F.col("r"), step, most) * p[k] for t, step in enumerate(tries) for k in range(d)}
+        after = sums(rated(), moved).reshape(len(tries), d) - targets
+        best = int(np.linalg.norm(after, axis=1).argmin())
+        gained = far - float(np.linalg.norm(after[best]))
+        if gained > 0:
+            steps, residual = [*steps, tries[best]], after[best]
+        failures = 0 if gained > STALL * total else failures + 1
+    return steps
 
 
 def rates(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float = 1.0, most: float | None = None) -> DataFrame:
@@ -210,11 +229,11 @@ def keep(docs: DataFrame, model: Classifier, weights: dict[str, float]) -> DataF
                 doc, bucket, dense, n = document_features(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n.astype(float)), pa.array(list(model.posterior(doc, bucket, dense)), pa.list_(pa.float64()))], names=["row", "n", "p"])
 
-    members = durable(posteriors(docs, model).select("n", "p"), "members")
+    schema = StructType([rows.schema["row"], StructField("n", DoubleType()), StructField("p", ArrayType(DoubleType()))])
+    members = durable(rows.mapInArrow(scored, schema), "members")  # classified once; the solver reads n and p alone
     totals = members.agg(*(F.sum(F.col("n") * F.col("p")[k]).alias(d) for k, d in enumerate(model.domains))).first()
     w = np.array([weights.get(x, 0.0) for x in model.domains])
     budget = sum(totals[d] or 0.0 for d in model.domains if weights.get(d))
-    steps = solve(members, w / w.sum() * budget, 1.0)
+    steps = solve(members.select("n", "p"), w / w.sum() * budget, 1.0)
     draw = F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(1 << 20)) / float(1 << 20)
-    schema = StructType([rows.schema["row"], StructField("n", DoubleType()), StructField("p", ArrayType(DoubleType()))])
-    return rows.mapInArrow(scored, schema).where(_rate(steps, 1.0) > draw).select("row.*")
+    return members.where(_rate(steps, 1.0) > draw).select("row.*")

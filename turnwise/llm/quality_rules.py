@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from turnwise.llm.common import SPACES, whole_text
+from turnwise.llm.common import SPACES, durable, whole_text
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 SCHEMA = "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
@@ -98,6 +98,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return whole_text(docs).mapInArrow(_measured, SCHEMA).withColumn("failed", failures())
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written once; policies and ablations read it and never the texts again."""
+    return durable(ledger(docs), "ledger")
+
+
 def passes(policy: Policy) -> Column:
     return F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0
 
@@ -112,6 +117,20 @@ def ablation(ledger_rows: DataFrame, policy: Policy) -> DataFrame:
     return masks.join(F.broadcast(rules), hit).groupBy("rule").agg(F.sum("n").alias("n_failed"), F.sum(F.when(F.col("m") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"))
 
 
+POLICIES = (BASE, STRICT)
+
+
+def ablations(docs: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """policy, version, n_kept, and for each of its rules: rule, n_failed, n_only; all from one stored ledger."""
+    rows, out = stored(docs), None
+    for policy in policies:
+        kept = rows.agg(F.count_if(passes(policy)).alias("n_kept"))
+        name = [F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version")]
+        part = ablation(rows, policy).select(*name, "rule", "n_failed", "n_only").join(F.broadcast(kept.select(*name, "n_kept")), ["policy", "version"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def op2(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     base = ~passes(BASE)
     return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failed")
@@ -132,7 +151,7 @@ def keep(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     return failed.where(passes(BASE) & passes(policy)).select("row.*")
 
 
-def _sql() -> str:
+def _ledger_sql() -> str:
     failed = " + ".join(f"case when {rule} then {1 << i} else 0 end" for i, (_, rule) in enumerate(RULES))
     return rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -148,10 +167,24 @@ m as (select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\
  length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters,
  coalesce(p.n, 0) as n_repeat_words from w left join p using (doc_id)),
 f as (select *, n_lines - n_distinct as n_dup_lines from m),
-b as (select *, {failed} as failed from f)
-select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+b as (select *, {failed} as failed from f)"""
+
+
+def _sql() -> str:
+    return rf"""{_ledger_sql()}
+ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
  n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, (failed & {BASE.mask}) <> 0 as base_failed,
  (failed & {BASE.mask | STRICT.mask}) = 0 as kept, failed::bigint as failed from b"""
 
 
-SQL = _sql()
+def _ablation_sql() -> str:
+    """Only rules that some document fails have a row."""
+    parts = []
+    for policy in POLICIES:
+        for i, (name, _) in enumerate(RULES):
+            if name in policy.rules:
+                parts.append(f"select '{policy.name}' as policy, {policy.version} as version, '{name}' as rule, count(*) filter ((failed & {1 << i}) <> 0) as n_failed, count(*) filter ((failed & {policy.mask}) = {1 << i}) as n_only, count(*) filter ((failed & {policy.mask}) = 0) as n_kept from b")
+    return f"{_ledger_sql()}, r as ({' union all '.join(parts)}) select policy, version, n_kept, rule, n_failed, n_only from r where n_failed > 0"
+
+
+SQL, ABLATION_SQL = _sql(), _ablation_sql()

@@ -16,6 +16,7 @@ def _of(op, *names):
 QUERIES = {
     "op1_substring_dedup": _of(substring_dedup.op1, "documents"),
     "op2_quality_rules": _of(quality_rules.op2, "documents"),
+    "quality_ablations": _of(quality_rules.ablations, "documents"),
     "op3_html_extraction": _of(html_extract.op3, "pages"),
     "op4_decontamination": _of(decontaminate.op4, "documents", "benchmark"),
     "op5_mixing": _of(mixing.op5, "documents", "labels"),
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_pii": _of(pii.op9, "documents"),
     "op10_lm_scoring": _of(lm_score.op10, "documents"),
 }
-SQL = {"op2_quality_rules": quality_rules.SQL}
+SQL = {"op2_quality_rules": quality_rules.SQL, "quality_ablations": quality_rules.ABLATION_SQL}
