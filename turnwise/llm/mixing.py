@@ -153,8 +153,8 @@ def solve(members: DataFrame, targets: np.ndarray, most: float | None = None) ->
     """The steps of the projected gradient; _rate() makes rates of them. members: n and p, durable.
 
     An iteration is two aggregates: the curvature of the documents that are free to move (not held at a bound by the
-    residual), then the residual after each of a few lengths of the scaled and of the plain gradient, of which the nearest
-    is taken; the plain gradient's shortest (one over the largest curvature) can't lead away. It ends at the tolerance, when
+    residual), then the residual after each of a few lengths of the scaled and of the plain gradient, with and without momentum, of
+    which the nearest is taken; the plain gradient's shortest (one over the largest curvature) can't lead away. It ends at the tolerance, when
     TRIES iterations in a row gain little, or after ITERATIONS; targets out of reach are then approached, not met."""
     d, steps, failures = len(targets), [], 0
     total = max(1.0, float(np.sum(targets)))
@@ -182,6 +182,8 @@ def solve(members: DataFrame, targets: np.ndarray, most: float | None = None) ->
         most_curved = most_curved or max(float(np.linalg.eigvalsh(square("w"))[-1]), 1e-9)
         scaled = np.linalg.solve(square("h") + np.eye(d) * (1e-6 * total + 1e-9), residual)
         tries = [scaled * a for a in LENGTHS[0]] + [residual / most_curved * a for a in LENGTHS[1]]
+        if steps:  # momentum: the last step once more, alone or with a new one
+            tries += [steps[-1], steps[-1] * 0.5, scaled + steps[-1] * 0.5, residual / most_curved * 4 + steps[-1]]
         moved = {f"{t}_{k}": n * _moved(F.col("r"), step, most) * p[k] for t, step in enumerate(tries) for k in range(d)}
         after = sums(rated(), moved).reshape(len(tries), d) - targets
         best = int(np.linalg.norm(after, axis=1).argmin())

@@ -184,7 +184,7 @@ def _ablation_sql() -> str:
         for i, (name, _) in enumerate(RULES):
             if name in policy.rules:
                 parts.append(f"select '{policy.name}' as policy, {policy.version} as version, '{name}' as rule, count(*) filter ((failed & {1 << i}) <> 0) as n_failed, count(*) filter ((failed & {policy.mask}) = {1 << i}) as n_only, count(*) filter ((failed & {policy.mask}) = 0) as n_kept from b")
-    return f"{_ledger_sql()}, r as ({' union all '.join(parts)}) select policy, version, n_kept, rule, n_failed, n_only from r where n_failed > 0"
+    return f"{_ledger_sql()}, a as ({' union all '.join(parts)}) select policy, version, n_kept, rule, n_failed, n_only from a where n_failed > 0"
 
 
 SQL, ABLATION_SQL = _sql(), _ablation_sql()
