@@ -599,3 +599,36 @@ def test_op5_and_keep_hostile_rows(spark, docs, empty):
     kept = mixing.keep(twice, model, {"good": 1.0})
     assert kept.columns == twice.columns and all(v == 2 for v in Counter((r.doc_id, r.text) for r in kept.collect()).values())
     assert mixing.op5(empty, labels).count() == 0 and mixing.keep(empty, model, {"good": 1.0}).count() == 0
+
+
+def test_op9_trees_as_sql(spark):
+    """The SQL of the trees gives what MLlib's own model predicts."""
+    from pyspark.ml.functions import array_to_vector
+
+    model, rng = pii.model(spark), np.random.default_rng(2)
+    rows = [([float(v) for v in rng.integers(-2, 24, pii.N_FEATURES)],) for _ in range(400)]
+    x = spark.createDataFrame(rows, "x array<double>").withColumn("features", array_to_vector("x"))
+    both = model["mllib"].transform(x).select("prediction", F.expr(model["sql"]).alias("s")).collect()
+    assert all(r.prediction == float(r.s > 0) for r in both) and len({r.prediction for r in both}) == 2
+
+
+#: Written by hand, in other words than the snippets': text and the spans a reader would add to the base ones.
+OTHER_TEXTS = [
+    ("Please send it to maria.lopez (at) example (dot) org before noon.", ["maria.lopez (at) example (dot) org"]), ("You can email jo_smith [at] mail.net if unsure", ["jo_smith [at] mail.net"]),
+    ("Her number, (212) 555-0187, was on the door", ["(212) 555-0187"]), ("Phone 415-555-0132 after six", ["415-555-0132"]), ("call 0044 207 946018 today", ["0044 207 946018"]),
+    ("She paid by card 4111.1111.1111.1111 yesterday", ["4111.1111.1111.1111"]),
+    ("The meeting of 2024-03-15 1030 was moved", []), ("Order no. 8812345678 shipped", []), ("We met at (the) station", []), ("version 10.300.21.7 of the tool", []),
+    ("total 123456789 items", []), ("a total of 12 345 678 901 234 567 89 units", []), ("see pages 10-12, 14-18 and 20", []), ("ISBN 9780306406157 is sold out", []),
+]
+
+
+def test_op9_added_spans(spark):
+    """Precision and recall of what the method adds, on texts by another writer than the training's."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OTHER_TEXTS)], "doc_id long, text string")
+    right = added = wanted = 0
+    for r in pii.spans(df, pii.model(spark)).collect():
+        text, want = OTHER_TEXTS[r.doc_id]
+        got = [text[s.start : s.end] for k in pii.KINDS for s in r[f"more_{k}"]]
+        right, added, wanted = right + len(set(got) & set(want)), added + len(got), wanted + len(want)
+    print("added spans:", right, added, wanted)
+    assert right >= 0.6 * wanted and right >= 0.6 * added, (right, added, wanted)

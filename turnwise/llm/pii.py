@@ -192,7 +192,7 @@ def fit(spark: SparkSession, n: int = SNIPPETS) -> dict:
             good, total = good + p, total + k
             if good >= PRECISION * total:
                 limits[kind] = max(s - 0.005, 0.3)
-    return {"sql": sql, "limits": limits}
+    return {"sql": sql, "limits": limits, "mllib": model}
 
 
 def _stands(kind: str):
@@ -252,7 +252,17 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
     return spans(docs, model).select("doc_id", F.array_sort(F.concat(*tagged)).alias("spans"))
 
 
+_fitted: dict[int, dict] = {}
+
+
+def model(spark: SparkSession, n: int = SNIPPETS) -> dict:
+    """fit(), once a Python process for each n: the snippets are the same every time."""
+    if n not in _fitted:
+        _fitted[n] = fit(spark, n)
+    return _fitted[n]
+
+
 def op9(docs: DataFrame) -> DataFrame:
-    found = spans(docs, fit(docs.sparkSession))
+    found = spans(docs, model(docs.sparkSession))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed(("base",)).cast("binary"), 256).alias("base_sha256"), _listed(("base", "more")).alias("spans"))
