@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import Words, durable, mix, runs, whole_text
 
 FOLDS, HELD_OUT, FOLD = 10, 0, 1
-UNIT, BUCKET = 1 << 20, 3 << 20
+UNIT, BUCKET = 1 << 20, 2 << 20
 ALPHA = 0.1
 _END = np.uint64(0x5EED0FE27D)
 _CONTEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -73,7 +73,8 @@ def _stored(rows: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _restored(raw: bytes) -> pa.RecordBatch:
+def _restored(raw: bytes | pa.Buffer) -> pa.RecordBatch:
+    pa.default_memory_pool().release_unused()  # a worker meets many units; none should leave its memory behind
     return pa.ipc.open_stream(raw).read_next_batch()
 
 
@@ -114,8 +115,8 @@ def _steps(ascending: np.ndarray) -> np.ndarray:
 
 def _units(batches):
     for batch in batches:
-        for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield number, _restored(raw)
+        for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield number, _restored(raw.as_buffer())
 
 
 def _questions(buckets: int, width: int):
