@@ -562,10 +562,10 @@ def _(spark, d):
     return summaries.lines_of(V.table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "line_no", "line")
 
 
-@query("status_line", """select event_id, 'mic_rms=' || printf('%.4f', round(value / 1024, 4)) || ' sys_rms=' || case when event_type = 'view' then printf('%.4f', round(value / 512, 4)) else '-' end || ' state=' || event_type as status from events""")
+@query("status_line", """select event_id, 'mic_rms=' || printf('%.4f', event_id % 1000 / 1000e0) || ' sys_rms=' || case when event_type = 'view' then printf('%.4f', event_id % 700 / 700e0) else '-' end || ' state=' || event_type as status from events""")
 def _(spark, d):
     e = V.table(spark, d, "events")
-    return e.select("event_id", sessions.status_line(F.round(F.col("value") / 1024, 4), F.when(F.col("event_type") == "view", F.round(F.col("value") / 512, 4)), F.col("event_type")).alias("status"))
+    return e.select("event_id", sessions.status_line(F.col("event_id") % 1000 / 1000.0, F.when(F.col("event_type") == "view", F.col("event_id") % 700 / 700.0), F.col("event_type")).alias("status"))
 
 
 @query("dup_rate_ratio")
