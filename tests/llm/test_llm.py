@@ -18,6 +18,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import html_pages
 from turnwise.llm import common, crf_quality, decontaminate, html_extract, lm_score, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_files
 
 RNG = random.Random(4)
@@ -216,7 +217,7 @@ def test_op9(spark, docs, empty):
 
 def test_op3(spark):
     model, rng = html_extract.fit(), random.Random(77)
-    pages = [html_extract.written_page(rng) for _ in range(60)]
+    pages = [html_pages.written_page(rng) for _ in range(60)]
     for page, got in zip(pages, html_extract.extract(pages, model), strict=True):
         leaves = (html_extract.text_of(n) for n in html_extract.nodes_of(html_extract.parse(page)) if n.tag == "#")
         assert got == " ".join(t for t in leaves if re.search(r"\bq", t))

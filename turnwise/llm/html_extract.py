@@ -1,19 +1,24 @@
 """Main text of web pages by boosted trees over DOM nodes, decoded along the tree.
 
 A tolerant scanner makes the tree of a page's block elements. Each node has features of its subtree (text, links and
-punctuation density, paragraphs), of its attribute tokens, its depth and its siblings. Boosted trees give the odds that
-a node holds main text. The decoding picks, for each node, the likelier of dropping its whole subtree and keeping the
-node with the best choice for each child, so a kept node never hangs under a dropped one.
+punctuation density, paragraphs), of its attribute tokens, its depth and its siblings. Attribute tokens count by learned
+weights of their hashes (the tag, whole words and their pieces of three letters), so words that training never saw weigh
+by their pieces. Boosted trees give the odds that a node holds main text. The decoding picks, for each node, the likelier
+of dropping its whole subtree and keeping the node with the best choice for each child, so a kept node never hangs under
+a dropped one.
 
-The trees are trained here on PAGES pages that a rule writes, with varied layouts and known main text.
+Weights and trees are trained here on PAGES pages that a rule writes, with varied layouts, names and known main text.
 
-Null html counts as empty: empty text, 0 characters. Repeated rows give repeated results. A page without markup is one
-block. Documents are handled alone, in one pass; only page_id, url and html are read."""
+Null html counts as empty: empty text, 0 characters. A null page_id or url stays. Repeated rows give repeated results,
+an empty table gives none. A page without markup is one block. Pages are handled alone, whole, in one pass whose time
+grows with their length; only page_id, url and html are read, so further columns don't matter."""
 
 import functools
 import html as entities
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm import boosting
 
-PAGES = 500
+PAGES = 600
 #: HTML's elements by how they are treated.
 _RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "object", "title", "head")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,31 +37,37 @@ _BLOCK = frozenset(
 _ENDS_P = _BLOCK - {"option", "caption", "legend", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 _TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "body")
 _BAD_TAGS = frozenset(("nav", "footer", "aside", "form", "header", "menu", "dialog", "fieldset", "search"))
-_GOOD_WORDS = frozenset("article articles main content contents body story post entry text prose copy page".split())
-_BAD_WORDS = frozenset(
-    "nav navbar navigation menu menubar header head masthead topbar footer foot bottom sidebar side aside rail widget widgets ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal form forms search login signup subscribe newsletter share social related recommended breadcrumb breadcrumbs comment comments reply replies disqus pagination pager tags meta copyright legal skip toolbar".split()
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<>]*\Z|[^<]+|<", re.S)
+_SECTIONS = _BAD_TAGS | {"article", "main"}
+SLOTS, KNOWN = 8192, 1 << 16
+_REST = r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|"
+_END = r"|</?[A-Za-z][^<>]*\Z|[^<]+|<"
+#: A tag may hold ">" in quotes. Where a quote or tag stays open to the page's end, the rest of the page is read by _PLAIN.
+_TOKEN = re.compile(_REST + r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>" + _END, re.S)
+_PLAIN = re.compile(_REST + r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>" + _END, re.S)
+_OPENED = re.compile(r"</?[A-Za-z]")
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "pieces", "words", "hidden", "order", "chars", "link", "stops", "paragraphs", "count", "link_open", "x")
+    __slots__ = ("tag", "parent", "kids", "pieces", "words", "hidden", "order", "chars", "link", "stops", "paragraphs", "count", "heads", "top")
 
     def __init__(self, tag, parent, words=frozenset(), hidden=False):
         self.tag, self.parent, self.kids, self.pieces, self.words, self.hidden = tag, parent, [], [], words, hidden
-        self.chars = self.link = self.stops = self.paragraphs = self.count = 0
+        self.chars = self.link = self.stops = self.paragraphs = self.count = self.heads = self.top = 0
 
 
 def parse(page: str) -> Node:
     """The tree of block elements. Text runs straight inside a block become leaves (tag "#"), in page order."""
     root = Node("#root", None)
     at, links, run, end, k = root, 0, None, len(page), 0
-    find = _TOKEN.match
+    find, nested, unclosed = _TOKEN.match, Counter(), set()
     while k < end:
         m = find(page, k)
+        if m.end() == k + 1 and m.group() == "<" and find != _PLAIN.match and _OPENED.match(page, k):
+            find = _PLAIN.match
+            m = find(page, k)
         k = m.end()
         tag = m.group(2)
         if tag is None:
@@ -72,7 +83,9 @@ def parse(page: str) -> Node:
         if tag in _RAW:
             if tag == "head" or m.group(1):
                 continue
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, k)
+            close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, k)
+            if close is None:  # none further on either
+                unclosed.add(tag)
             k = close.end() if close else (end if tag in ("script", "style", "textarea", "template") else k)
             continue
         if tag == "a":
@@ -86,17 +99,18 @@ def parse(page: str) -> Node:
             continue
         run = None
         if m.group(1):
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+            if nested[tag]:
+                up = at
+                while up.tag != tag:
+                    nested[up.tag] -= 1
+                    up = up.parent
+                nested[tag] -= 1
                 at, links = up.parent, 0
             continue
         if tag == "hr":
             continue
-        if at.tag == "p" and tag in _ENDS_P:
-            at = at.parent
-        elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and at.tag == tag:
+        if (at.tag == "p" and tag in _ENDS_P) or (tag in ("li", "td", "th", "tr", "dt", "dd", "option") and at.tag == tag):
+            nested[at.tag] -= 1
             at = at.parent
         words, hidden = frozenset(), False
         if m.group(3):
@@ -105,8 +119,8 @@ def parse(page: str) -> Node:
             words = frozenset(_WORD.findall(" ".join(found.values())))
         node = Node(tag, at, words, hidden)
         at.kids.append(node)
-        if not m.group(3).rstrip().endswith("/") or tag not in _VOID:
-            at = node
+        nested[tag] += 1
+        at = node
     return root
 
 
@@ -130,30 +144,85 @@ def nodes_of(root: Node) -> list[Node]:
                 node.link += n * linked
                 node.stops += s.count(".") + s.count(",") + s.count("!") + s.count("?")
         node.paragraphs += node.tag == "p"
+        node.heads += node.tag in ("h1", "h2", "h3")
         node.count += 1
         if node.parent is not None:
-            for name in ("chars", "link", "stops", "paragraphs", "count"):
-                setattr(node.parent, name, getattr(node.parent, name) + getattr(node, name))
+            up = node.parent
+            for name in ("chars", "link", "stops", "paragraphs", "count", "heads"):
+                setattr(up, name, getattr(up, name) + getattr(node, name))
+            up.top = max(up.top, node.chars)
     return out
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+@functools.lru_cache(KNOWN)
+def _slots(word: str) -> tuple[int, ...]:
+    """A word's hashes: itself, and its pieces of three letters, ends marked."""
+    marked = f"^{word}$"
+    return tuple(zlib.crc32(x.encode()) % SLOTS for x in (word, *(marked[i : i + 3] for i in range(len(marked) - 2))))
+
+
+def _hashes(tag: str, words: frozenset) -> list[int]:
+    own = {x for w in words for x in _slots(w)}
+    if tag in _SECTIONS:
+        own.add(zlib.crc32(f"<{tag}>".encode()) % SLOTS)
+    return sorted(own)
+
+
+class Tokens:
+    """The log-odds that a section's tag and attribute words give by themselves: weights of their hashes, over the root of their
+    number; 0 where there are none."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.known = weights, {}
+
+    def __call__(self, tag: str, words: frozenset) -> float:
+        key = (tag, words)
+        score = self.known.get(key)
+        if score is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            own = _hashes(tag, words)
+            score = self.known[key] = float(self.weights[own].sum()) / max(1, len(own)) ** 0.5
+        return score
+
+
+def fit_tokens(keys: list[tuple[str, frozenset]], y: np.ndarray, steps: int = 150, decay: float = 1e-3) -> Tokens:
+    """Logistic regression over the hashes, by scaled gradient steps; without a constant, so that unknown words weigh nothing."""
+    own = [_hashes(*k) for k in keys]
+    y, own = y[[len(o) > 0 for o in own]], [o for o in own if o]
+    size = np.array([len(o) for o in own])
+    row, slot, value = np.repeat(np.arange(len(own)), size), np.concatenate(own), np.repeat(size**-0.5, size)
+    w, seen = np.zeros(SLOTS), np.full(SLOTS, 1e-8)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.bincount(row, w[slot] * value, len(own))))
+        g = np.bincount(slot, (p - y)[row] * value, SLOTS) / len(own) + decay * w
+        seen += g * g
+        w -= 0.3 * g / np.sqrt(seen)
+    return Tokens(w)
+
+
+def features(nodes: list[Node], tokens: Tokens) -> np.ndarray:
     total = max(1, nodes[0].chars)
-    depth, bad_above, good_above, rows = {}, {}, {}, []
+    depth, worst, best, sums, last, rows = {}, {}, {}, {}, {}, []
+    named = max((tokens(n.tag, n.words) for n in nodes[1:] if n.tag not in ("#", "body")), default=0.0)
     for node in nodes:
         up = node.parent
+        if node.tag == "#" and len(up.kids) == 1:  # a text run alone in its block is judged as the block is
+            rows.append(rows[up.order])
+            continue
         d = depth[node.order] = depth[up.order] + 1 if up else 0
-        own_bad = bool(node.words & _BAD_WORDS) or node.tag in _BAD_TAGS or node.hidden
-        own_good = bool(node.words & _GOOD_WORDS) or node.tag in ("article", "main")
-        b = bad_above[node.order] = own_bad or (bad_above[up.order] if up else False)
-        g = good_above[node.order] = own_good or (good_above[up.order] if up else False)
+        own = tokens(node.tag, node.words) if up and node.tag not in ("#", "body") else 0.0  # a body's classes name the page's kind
+        lo = worst[node.order] = min(own, worst[up.order]) if up else 0.0
+        hi = best[node.order] = max(own, best[up.order]) if up else 0.0
+        along = sums[node.order] = own + (sums[up.order] if up else 0.0)
+        near = last[node.order] = own or (last[up.order] if up else 0.0)
         kin = up.kids if up else [node]
         chars = max(1, node.chars)
         tag = node.tag if node.tag != "#" else up.tag
         rows.append((
-            _TAGS.index(tag) if tag in _TAGS else -1, node.tag == "#", own_bad, own_good, b, g, len(node.words & _BAD_WORDS), d, node.chars, node.chars / total, node.link / chars,
+            _TAGS.index(tag) if tag in _TAGS else -1, node.tag == "#", own, lo, hi, along, near, named, node.heads, up.heads if up else 0, node.chars / max(1, up.top) if up else 1.0, len(node.words), d, node.chars, node.chars / total, node.link / chars,
             node.stops / chars, node.paragraphs, node.count, node.chars / node.count, len(kin), up.chars / total if up else 1.0, node.chars / max(1, up.chars) if up else 1.0,
-            up.link / max(1, up.chars) if up else 0.0, sum(k.tag == node.tag for k in kin) if len(kin) < 64 else 64, tag in _BAD_TAGS,
+            up.link / max(1, up.chars) if up else 0.0, sum(k.tag == node.tag for k in kin) if len(kin) < 64 else 64,
         ))
     return np.array(rows, np.float64)
 
@@ -176,11 +245,12 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return kept
 
 
-def extract(pages: list[str], model: list) -> list[str]:
+def extract(pages: list[str], model: tuple[Tokens, list]) -> list[str]:
     trees = [nodes_of(parse(p)) for p in pages]
     if not trees:
         return []
-    odds = np.split(boosting.log_odds(model, np.vstack([features(t) for t in trees])), np.cumsum([len(t) for t in trees])[:-1])
+    tokens, boosted = model
+    odds = np.split(boosting.log_odds(boosted, np.vstack([features(t, tokens) for t in trees])), np.cumsum([len(t) for t in trees])[:-1])
     out = []
     for nodes, o in zip(trees, odds, strict=True):
         kept = decode(nodes, o)
@@ -189,6 +259,25 @@ def extract(pages: list[str], model: list) -> list[str]:
     return out
 
 
+#: The names that the writer gives to blocks of each kind; any may carry one of the _AROUND before or behind it, or be a word of chance.
+_NAMES = {
+    "nav": "nav navbar navigation menu menubar topnav toolbar breadcrumb breadcrumbs pagination pager tabs skip", "header": "header head masthead topbar banner branding logo hero",
+    "ad": "ad ads advert adverts advertisement promo promotion sponsor sponsored banner", "side": "sidebar side aside rail widget widgets related recommended trending popular",
+    "notice": "cookie cookies consent notice notices alert popup modal privacy gdpr", "form": "form forms search login signup subscribe newsletter register",
+    "comments": "comment comments reply replies disqus discussion responses thread", "footer": "footer foot bottom copyright legal colophon meta", "share": "share social sharing follow tags",
+    "main": "article articles main content contents body story post entry text prose copy page document doc hentry", "around": "wrapper container page site row col column layout outer inner grid content main primary center wrap",
+}
+_AROUND = "site page top main box wrap wrapper container inner list block area left right js c u item section".split()
+
+
+def _name(rng: random.Random, kind: str) -> str:
+    if rng.random() < (0.3 if kind in ("main", "around") else 0.1):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    name, extra, join = rng.choice(_NAMES[kind].split()), rng.choice(_AROUND), rng.choice("-_ ")
+    form = rng.random()
+    return name if form < 0.5 else f"{name}{join}{extra}" if form < 0.75 else f"{extra}{join}{name}"
+
+
 def written_page(rng: random.Random) -> str:
     """A page of a random layout. Main text is marked by words starting with "q", all else has none."""
     def prose(main, lo, hi):
@@ -199,20 +288,21 @@ def written_page(rng: random.Random) -> str:
     def links(n):
         return "".join(f'<li><a href="/{k}">{prose(False, 1, 2)}</a></li>' for k in range(n))
 
-    def wrap(names, inner, tags):
-        tag, name = rng.choice(tags), rng.choice(names)
+    def wrap(kind, inner, tags):
+        tag, name = rng.choice(tags), _name(rng, kind)
         attribute = "" if tag in _BAD_TAGS and rng.random() < 0.7 else f' {rng.choice(("class", "id"))}="{name}"'
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
     boilerplate = {
-        "nav": lambda: wrap(("nav", "menu", "navbar", "site-navigation"), f"<ul>{links(rng.randint(2, 9))}</ul>", ("nav", "div", "nav")),
-        "header": lambda: wrap(("header", "masthead", "site-header"), f"<h1>{prose(False, 1, 4)}</h1><p>{prose(False, 2, 8)}</p>", ("header", "div")),
-        "ad": lambda: wrap(("ad", "ads", "advert", "promo-box", "sponsored", "banner"), rng.choice(("{}", "<p>{}</p>")).format(prose(False, 3, 40)), ("div", "aside", "section")),
-        "side": lambda: wrap(("sidebar", "side-rail", "widget", "related"), f"<h2>{prose(False, 1, 3)}</h2>" + rng.choice((f"<ul>{links(rng.randint(2, 6))}</ul>", f"<p>{prose(False, 10, 40)}</p>")), ("aside", "div")),
-        "notice": lambda: wrap(("notice", "cookie-consent", "alert", "popup"), f"<p>{prose(False, 6, 30)}</p><button>ok</button>", ("div", "section")),
-        "form": lambda: wrap(("form", "subscribe", "login", "search-form"), f"<label>{prose(False, 1, 3)}</label><input type=text><p>{prose(False, 3, 10)}</p>", ("form",)),
-        "comments": lambda: wrap(("comments", "comment-list", "replies"), "".join(f'<div class="comment"><p>{prose(False, 5, 60)}</p></div>' for _ in range(rng.randint(1, 5))), ("div", "section")),
-        "footer": lambda: wrap(("footer", "site-footer", "copyright"), f"&copy; {prose(False, 3, 20)}", ("footer", "footer", "div")),
+        "nav": lambda: wrap("nav", f"<ul>{links(rng.randint(2, 9))}</ul>", ("nav", "div", "nav", "header")) if rng.random() < 0.7 else rng.choice((f"<ul{named(('nav',))}>{links(rng.randint(2, 9))}</ul>", f"<div{named(('nav',))}>" + " ".join(f"<a href=x>{prose(False, 1, 2)}</a>" for _ in range(rng.randint(2, 8))) + "</div>")),
+        "header": lambda: wrap("header", rng.choice((f"<h1>{prose(False, 1, 4)}</h1><p>{prose(False, 2, 8)}</p>", f"<a href=x>{prose(False, 1, 4)}</a>", f"<p{named(('header',))}><a href=x>{prose(False, 1, 4)}</a></p>", f"<h1>{prose(False, 1, 3)}</h1>")), ("header", "div")),
+        "ad": lambda: wrap("ad", rng.choice(("{}", "<p>{}</p>")).format(prose(False, 3, 40)), ("div", "aside", "section")),
+        "side": lambda: wrap("side", f"<h2>{prose(False, 1, 3)}</h2>" + rng.choice((f"<ul>{links(rng.randint(2, 6))}</ul>", f"<p>{prose(False, 10, 40)}</p>")), ("aside", "div")),
+        "notice": lambda: wrap("notice", f"<p>{prose(False, 6, 30)}</p><button>ok</button>", ("div", "section")),
+        "form": lambda: wrap("form", rng.choice(("{}", "<form>{}</form>")).format(f"<label>{prose(False, 1, 3)}</label><input type=text><p>{prose(False, 3, 10)}</p>"), ("form", "div")),
+        "comments": lambda: wrap("comments", rng.choice(("", f"<h2>{prose(False, 1, 3)}</h2>", f"<h3>{prose(False, 1, 3)}</h3>")) + rng.choice(("{}", "<ol>{}</ol>")).format("".join(f"<{t}{named(('comments',), 0.8)}><p>{prose(False, 5, 60)}</p></{t}>" for t in [rng.choice(("div", "li"))] * rng.randint(1, 5))), ("div", "section")),
+        "share": lambda: wrap("share", f"<ul>{links(rng.randint(2, 5))}</ul>", ("div", "ul", "section")),
+        "footer": lambda: wrap("footer", rng.choice((f"&copy; {prose(False, 3, 20)}", f"<p>{prose(False, 2, 12)}</p>", f"<ul>{links(rng.randint(1, 5))}</ul>")), ("footer", "footer", "div")),
     }
 
     def paragraph():
@@ -221,47 +311,83 @@ def written_page(rng: random.Random) -> str:
         if kind > 0.9:
             return f"<h2>{prose(True, 1, 5)}</h2>"
         if kind > 0.84:
-            return "<ul>" + "".join(f"<li>{prose(True, 2, 15)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+            tag = rng.choice(("ul", "ol"))
+            return f"<{tag}>" + "".join(f"<li>{prose(True, 2, 15)}</li>" for _ in range(rng.randint(2, 7))) + f"</{tag}>"
         if kind > 0.8:
-            return f"<blockquote>{body}</blockquote>"
+            return rng.choice((f"<blockquote>{body}</blockquote>", f"<dl><dt>{prose(True, 1, 3)}</dt><dd>{prose(True, 3, 20)}</dd></dl>"))
         if kind > 0.77:
             return f"<table><tr><td>{prose(True, 1, 4)}<td>{prose(True, 1, 4)}</table>"
+        if kind > 0.74:
+            return rng.choice((f"<pre>{body}</pre>", f"<div>{body}</div>", f"<figure><img src=x><figcaption>{prose(True, 2, 12)}</figcaption></figure>", f"<section><h3>{prose(True, 1, 4)}</h3><p>{body}</p></section>"))
         return f"<p>{body}" if kind > 0.7 else f"<p><b>{body}<br>" if kind > 0.6 else f"<p>{body} <a href=x>{prose(True, 1, 3)}</a></p>" if kind > 0.55 else f"<p>{body}</p>"
 
-    parts = [f"<h1>{prose(True, 1, 10)}</h1>"] * (rng.random() < 0.8) + [paragraph() for _ in range(rng.choice((1, 1, 2, 4, 8, 16)))]
-    for name in ("ad", "notice", "form", "side"):
-        if rng.random() < 0.15:
+    def named(kinds, some=1.0):
+        """Attributes: one or two of class, id and role, a class of up to three names."""
+        if rng.random() > some:
+            return ""
+        names = " ".join(_name(rng, rng.choice(kinds)) for _ in range(rng.choice((1, 1, 1, 2, 3))))
+        return f' class="{names}"' if rng.random() < 0.7 else f' id="{_name(rng, rng.choice(kinds))}"' + f' class="{names}"' * (rng.random() < 0.5)
+
+    def some_of(names, odds):
+        return [boilerplate[n]() for n in names if rng.random() < odds]
+
+    title = [f"<{h}{named(('main',), 0.3)}>{prose(True, 1, 10)}</{h}>" for h in ("h1", "h1", "h2")[rng.randrange(3) :][:1]] * (rng.random() < 0.85)
+    parts = [paragraph() for _ in range(rng.choice((1, 1, 2, 3, 4, 8, 16)))]
+    for name in ("ad", "notice", "form", "side", "share"):
+        if rng.random() < 0.12:
             parts.insert(rng.randrange(len(parts) + 1), boilerplate[name]())
-    tag = rng.choice(("article", "article", "article", "main", "div", "section"))
-    attribute = f' class="{rng.choice(("content", "post", "article-body", "entry", "story", "main"))}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
-    article = f"<{tag}{attribute}>{''.join(parts)}" + f"</{tag}>" * (rng.random() < 0.95)
-    before = [boilerplate[n]() for n in ("header", "nav", "notice", "ad", "side", "form") if rng.random() < 0.45]
-    after = [boilerplate[n]() for n in ("comments", "side", "ad", "form", "footer") if rng.random() < 0.45]
+    if rng.random() < 0.4:  # the text in a block of its own, under the title
+        tag = rng.choice(("div", "div", "section"))
+        parts = [f"<{tag}{named(('main',), 0.85)}>{''.join(parts)}</{tag}>"]
+    parts = title + parts + (some_of(("share", "form", "side", "comments"), 0.15))
+    tag = rng.choice(("article", "article", "article", "main", "div", "div", "section"))
+    attribute = " role=main" if rng.random() < 0.05 else named(("main",), 0.95 if tag in ("div", "section") else 0.5)
+    inner = f"<{tag}{attribute}>{''.join(parts)}" + f"</{tag}>" * (rng.random() < 0.95)
+    if rng.random() < 0.12:  # a table that lays the page out
+        beside = rng.choice(("nav", "side", "ad"))
+        cells = [f"<td{named((beside,), 0.7)}>{boilerplate[beside]()}</td>", f"<td{named(('main', 'around'), 0.3)}>{rng.choice((inner, ''.join(parts)))}</td>"]
+        rows = [f"<tr><td colspan=2>{boilerplate['header']()}</td></tr>"] * (rng.random() < 0.5) + [f"<tr>{''.join(cells if rng.random() < 0.7 else cells[::-1])}</tr>"]
+        inner = f"<table>{''.join(rows)}</table>"
+    # Blocks around the article, with more and more of the page's other parts in them.
+    for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+        before, after = some_of(("nav", "side", "notice", "ad"), 0.15), some_of(("share", "comments", "side", "ad", "form"), 0.2)
+        tag = rng.choice(("div", "div", "div", "main", "section"))
+        inner = f"<{tag}{named(('around', 'around', 'main'), 0.9)}>{''.join(before)}{inner}{''.join(after)}</{tag}>"
+    before, after = some_of(("header", "nav", "notice", "ad", "side", "form"), 0.4), some_of(("comments", "side", "ad", "form", "notice", "footer"), 0.35)
     rng.shuffle(before)
-    inner = "".join(before) + article + "".join(after)
-    if rng.random() < 0.4:
-        inner = f'<div class="{rng.choice(("wrapper", "container", "page"))}">{inner}</div>'
-    return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{prose(False, 2, 5)}</title><style>p{{}}</style><script>var t=\"</p>\";</script></head><body>{inner}" + "</body></html>" * (rng.random() < 0.9)
+    inner = "".join(before) + inner + "".join(after)
+    if rng.random() < 0.3:
+        inner = f'<div{named(("around",))}>{inner}</div>'
+    body = named(tuple(_NAMES), 0.3)
+    return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{prose(False, 2, 5)}</title><style>p{{}}</style><script>var t=\"</p>\";</script></head><body{body}>{inner}" + "</body></html>" * (rng.random() < 0.9)
 
 
 @functools.cache
-def fit(pages: int = PAGES, seed: int = 5) -> list:
-    """Trees from pages written by rule. A node is main if its subtree's text holds marked words."""
-    rng, x, y = random.Random(seed), [], []
+def fit(pages: int = PAGES, seed: int = 5) -> tuple[Tokens, list]:
+    """Token weights and trees from pages written by rule. A node is main if its subtree's text holds marked words.
+    Trees learn from token scores by weights of the other half of the pages."""
+    rng, written, y = random.Random(seed), [], []
     for _ in range(pages):
         nodes = nodes_of(parse(written_page(rng)))
+        written.append(nodes)
         main = np.zeros(len(nodes), bool)
         for node in reversed(nodes):
             if node.tag == "#":
                 main[node.order] = bool(re.search(r"\bq", text_of(node)))
             if node.parent is not None and main[node.order]:
                 main[node.parent.order] = True
-        x.append(features(nodes))
         y.append(main)
-    return boosting.fit(np.vstack(x), np.concatenate(y).astype(float))
+
+    def weights(part):
+        pairs = [((n.tag, n.words), y[i][n.order]) for i in part for n in written[i][1:] if n.tag not in ("#", "body")]
+        return fit_tokens([k for k, _ in pairs], np.array([m for _, m in pairs], float))
+
+    halves = [weights(range(half, pages, 2)) for half in (1, 0)]
+    x = [features(nodes, halves[i % 2]) for i, nodes in enumerate(written)]
+    return weights(range(pages)), boosting.fit(np.vstack(x), np.concatenate(y).astype(float), trees=60)
 
 
-def op3(pages: DataFrame, model: list | None = None) -> DataFrame:
+def op3(pages: DataFrame, model: tuple[Tokens, list] | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     model = model or fit()
 
