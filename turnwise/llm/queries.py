@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import crf_quality, decontaminate, html_extract, lm_score, mixing, pii, quality_rules, simhash_dedup, substring_dedup, token_files
+from turnwise.llm import conversation_repair, crf_quality, decontaminate, html_extract, lm_score, mixing, nearest, periodic_runs, pii, quality_rules, simhash_dedup, substring_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,8 @@ QUERIES = {
     "op8_quality_classifier": _of(crf_quality.op8, "documents", "labels"),
     "op9_pii": _of(pii.op9, "documents"),
     "op10_lm_scoring": _of(lm_score.op10, "documents"),
+    "op11_nearest": _of(nearest.op11, "embeddings"),
+    "op12_periodic_runs": _of(periodic_runs.op12, "documents"),
+    "op13_conversation_repair": _of(conversation_repair.op13, "conversations"),
 }
-SQL = {"op2_quality_rules": quality_rules.SQL, "quality_ablations": quality_rules.ABLATION_SQL}
+SQL = {"op2_quality_rules": quality_rules.SQL, "quality_ablations": quality_rules.ABLATION_SQL, "op11_nearest": nearest.SQL}
