@@ -107,3 +107,40 @@ def test_tables(spark):
     text = "Some words that are the text of this page."
     assert [(r.page_id, r.text) for r in sorted(got, key=lambda r: (r.page_id or 0, r.text))] == [(None, text), (7, text), (7, text), (8, "")]
     assert html_extract.op3(pages.where("false")).count() == 0
+
+
+_TEXT = "Rain fell on the hills all night, and by the morning the river stood higher than anyone could remember, so the ferry stayed on its side."
+_PAGE = "<html><body><div class=menu><a href=/>Home</a> <a href=/x>More</a></div><article{}><h1>The river</h1><p>{}</p><p>{}</p></article><footer>Imprint</footer></body></html>"
+
+
+@pytest.mark.parametrize("attribute", [
+    'aria-hidden="false"', 'data-hidden="0"', 'title="the hidden truth"', 'data-style="display:none"', "title='style=\"display:none\"'", "data-x=hidden", "width=5", 'data-class="footer nav"', 'data-id="comments"', "title=\"it's hidden\"",
+    'style="color:red;--display:none"', 'style="display:none;display:block"', "xhidden", "hidden-x", "hidden_=1", 'alt="a > b hidden"', '"hidden"', "=hidden=", "aria-hidden", "data-role=navigation", 'x:style="display:none"', "onclick=\"hide('hidden')\"",
+])
+def test_attributes_that_merely_contain_a_name(attribute):
+    model, body = html_extract.fit(), (_TEXT, _TEXT.replace("Rain", "Snow"))
+    assert html_extract.extract([_PAGE.format(" " + attribute, *body)], model) == html_extract.extract([_PAGE.format("", *body)], model) == ["The river " + " ".join(body)]
+
+
+def test_attributes_are_read_one_by_one():
+    rng = random.Random(8)
+    names = ["class", "id", "hidden", "style", "data-class", "aria-hidden", "idx", "x-style", "HIDDEN"]
+    for _ in range(2000):
+        want, source = {}, ""
+        for _ in range(rng.randint(0, 5)):
+            name, value = rng.choice(names), rng.choice(["", "a", "hidden", "id=3", "class='x'", "style=display:none", "a b", "x>y"])
+            form = rng.random()
+            if form < 0.2:
+                source, value = f"{source} {name}", ""
+            elif form < 0.4 and value and not set(value) & set(" '=>"):
+                source += f"{rng.choice([' ', chr(10)])}{name}{rng.choice(['', ' '])}={value}"
+            else:
+                source += f' {name}={rng.choice(["", " "])}"{value}"'
+            want.setdefault(name.lower(), value)
+        assert html_extract.attributes(source) == want
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "HIDDEN='until-found'", 'class="x" hidden', 'style="display: none"', "style='color:red; DISPLAY:none !important'"])
+def test_hidden_blocks_stay_out(attribute):
+    page = _PAGE.format("", _TEXT, _TEXT).replace("</article>", f"<div {attribute}><p>{_TEXT.upper()}</p></div></article>")
+    assert _TEXT.upper() not in html_extract.extract([page], html_extract.fit())[0]

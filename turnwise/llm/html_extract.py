@@ -45,7 +45,9 @@ _END = r"|</?[A-Za-z][^<>]*\Z|[^<]+|<"
 _TOKEN = re.compile(_REST + r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>" + _END, re.S)
 _PLAIN = re.compile(_REST + r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>" + _END, re.S)
 _OPENED = re.compile(r"</?[A-Za-z]")
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: A name and perhaps its value, as browsers part them; what stands between attributes is skipped.
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|[\s/>=]""")
+_NAMING = ("class", "id", "role", "aria-label", "itemprop")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -58,6 +60,21 @@ class Node:
         self.chars = self.link = self.stops = self.paragraphs = self.count = self.heads = self.top = 0
 
 
+def attributes(source: str) -> dict[str, str]:
+    """A start tag's attributes, lower-cased, read one after another; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        if m.group(1):
+            found.setdefault(m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower())
+    return found
+
+
+def _styled_away(style: str) -> bool:
+    """Whether a style's last word on display is none."""
+    shown = [v.replace("!important", "").strip() for k, _, v in (rule.partition(":") for rule in style.split(";")) if k.strip() == "display"]
+    return bool(shown) and shown[-1] == "none"
+
+
 def parse(page: str) -> Node:
     """The tree of block elements. Text runs straight inside a block become leaves (tag "#"), in page order."""
     root = Node("#root", None)
@@ -114,9 +131,9 @@ def parse(page: str) -> Node:
             at = at.parent
         words, hidden = frozenset(), False
         if m.group(3):
-            found = {a.lower(): v.strip("\"'").lower() for a, v in _ATTRIBUTE.findall(m.group(3))}
-            hidden = "hidden" in found or "display:none" in found.pop("style", "").replace(" ", "")
-            words = frozenset(_WORD.findall(" ".join(found.values())))
+            found = attributes(m.group(3))
+            hidden = "hidden" in found or _styled_away(found.get("style", ""))
+            words = frozenset(_WORD.findall(" ".join(found.get(name, "") for name in _NAMING)))
         node = Node(tag, at, words, hidden)
         at.kids.append(node)
         nested[tag] += 1
