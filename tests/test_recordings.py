@@ -1,0 +1,201 @@
+"""The WAV data source: any cut of a file reads alike, headers, and a sink that writes each sample once."""
+
+import io
+import os
+import struct
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from turnwise.sources import recordings as R
+from turnwise.sources import wav
+
+SAMPLES = "session_id long, idx long, mic double, system double"
+
+
+def _read(path):
+    with wave.open(str(path)) as w:
+        return np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()), w.getframerate()
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("target", [None, 16000])
+def test_any_cut_reads_alike(spark, tmp_path, split, target):
+    rng = np.random.default_rng(1)
+    left, right = rng.uniform(-1, 1, 211), rng.uniform(-1, 1, 200)
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "a.wav").write_bytes(wav.encode_wav([left, right], 48000))
+    (tmp_path / "deep" / "er" / "b.WAV").write_bytes(wav.encode_wav([left[:50]], 48000))
+    (tmp_path / "deep" / "no.txt").write_bytes(b"x")
+    rows = R.read_tracks(spark, str(tmp_path / "deep"), target, split=split).orderBy("path", "idx").collect()
+    factor = 3 if target else 1
+    for name, channels in (("a.wav", (left, np.pad(right, (0, 11)))), ("b.WAV", (left[:50],))):
+        own = [r for r in rows if r.path.endswith(name)]
+        assert [r.idx for r in own] == list(range(-(-len(channels[0]) // factor))) and {(r.rate, r.channels) for r in own} == {(target or 48000, len(channels))}
+        for k, c in enumerate(("mic", "system")):
+            if k >= len(channels):
+                assert {r[c] for r in own} == {None}
+                continue
+            exact = (channels[k] * 32767).astype("<i2") / np.float32(32768)
+            assert np.allclose([r[c] for r in own], wav.decimated(exact.astype(np.float32), factor), atol=0 if factor == 1 else 1e-6)
+
+
+def test_channels_and_places_are_pruned(spark, tmp_path):
+    x = np.arange(1000) / 2000
+    (tmp_path / "a.wav").write_bytes(wav.encode_wav([x, -x], 16000))
+    mic = R.read_tracks(spark, str(tmp_path), channel="mic", split=100)
+    assert "system" not in mic.columns and mic.count() == 1000
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = R.read_tracks(spark, str(tmp_path), split=100).where("idx >= 250 and idx < 340")
+        assert sorted(r.idx for r in some.collect()) == list(range(250, 340)) and some.rdd.getNumPartitions() == 1
+        assert R.read_tracks(spark, str(tmp_path)).where("idx > 5000").collect() == []
+        assert [r.idx for r in R.read_tracks(spark, str(tmp_path)).where("idx = 7").collect()] == [7]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    (tmp_path / "none").mkdir()
+    assert R.read_tracks(spark, str(tmp_path / "none")).collect() == []
+    with pytest.raises(Exception, match="absent"):
+        R.read_tracks(spark, str(tmp_path / "absent")).collect()
+
+
+def _chunk(kind, body):
+    return struct.pack("<4sI", kind, len(body)) + body + b"\0" * (len(body) % 2)
+
+
+def _form(tag=1, channels=2, rate=8000, bits=16, more=b""):
+    return _chunk(b"fmt ", struct.pack("<HHIIHH", tag, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits) + more)
+
+
+_DATA = np.arange(8, dtype="<i2").tobytes()
+
+
+def _riff(*chunks, head=b"RIFF"):
+    return head + struct.pack("<I", 4 + sum(map(len, chunks))) + b"WAVE" + b"".join(chunks)
+
+
+@pytest.mark.parametrize(("content", "frames"), [
+    (_riff(_form(), _chunk(b"data", _DATA)), 4),
+    (_riff(_chunk(b"LIST", b"odd"), _form(), _chunk(b"fact", b"1234"), _chunk(b"data", _DATA), _chunk(b"tail", b"xx")), 4),
+    (_riff(_form(channels=1), _chunk(b"data", _DATA)), 8),
+    (_riff(_form(0xFFFE, more=struct.pack("<HHIH", 22, 16, 3, 1) + b"\0" * 14), _chunk(b"data", _DATA)), 4),
+    (_riff(_form(), struct.pack("<4sI", b"data", 0) + _DATA), 4),  # never finished
+    (_riff(_form(), struct.pack("<4sI", b"data", 1000) + _DATA), 4),  # cut off
+    (_riff(_form(), _chunk(b"data", _DATA[:-1])), 3),
+    (_riff(_chunk(b"ds64", struct.pack("<QQQI", 0, 12, 3, 0)), _form(), struct.pack("<4sI", b"data", 2**32 - 1) + _DATA, head=b"RF64"), 3),
+])
+def test_headers(content, frames):
+    h = R.read_header(pa_file(content))
+    assert h.frames == frames and h.rate == 8000
+
+
+def pa_file(content):
+    import pyarrow as pa
+
+    return pa.BufferReader(content)
+
+
+@pytest.mark.parametrize("content", [b"", b"RIFF", b"RIFX" + b"\0" * 40, _riff(_form()), _riff(_chunk(b"data", _DATA)), _riff(_form(3), _chunk(b"data", _DATA)), _riff(_form(bits=8), _chunk(b"data", _DATA)), _riff(_form(channels=3), _chunk(b"data", _DATA)), _riff(_form(rate=0), _chunk(b"data", _DATA)), _riff(_chunk(b"fmt ", b"short"), _chunk(b"data", _DATA))])
+def test_broken_headers(content):
+    with pytest.raises(ValueError):
+        R.read_header(pa_file(content), "x.wav")
+
+
+def test_rates_that_do_not_divide(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav.encode_wav([np.zeros(9)], 44100))
+    with pytest.raises(Exception, match="44100 Hz can't be brought down to 16000 Hz"):
+        R.read_tracks(spark, str(tmp_path), 16000).collect()
+
+
+def test_header_of_more_than_4_gb():
+    h = R.read_header(pa_file(R.header_bytes(16000, 2, 2**31)[: R.HEADER] + b"\0" * 8))
+    assert h == (16000, 2, R.HEADER, 2)  # what is there of it
+    assert R.header_bytes(16000, 2, 2**31)[:4] == b"RF64" and len(R.header_bytes(8, 1, 0)) == R.HEADER
+
+
+def test_a_long_recording_is_read_by_many_tasks(spark, tmp_path):
+    n = 3_000_000
+    with wave.open(str(tmp_path / "long.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(16000)
+        w.writeframes((np.arange(2 * n) % 1000).astype("<i2").tobytes())
+    rows = R.read_tracks(spark, str(tmp_path), split=250_000)
+    assert rows.rdd.getNumPartitions() == 12
+    got = rows.agg(F.count("*"), F.sum(F.col("mic").cast("double")), F.count_distinct("idx")).first()
+    assert got[0] == got[2] == n and abs(got[1] - (np.arange(0, 2 * n, 2) % 1000).sum() / 32768) < 1e-3
+
+
+def test_sink_deals_a_session_to_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = {s: rng.uniform(-1.5, 1.5, (n, 2)) for s, n in ((1, 5000), (2, 3))}
+    rows = [(s, i, float(a), float(b)) for s, t in x.items() for i, (a, b) in enumerate(t)] + [(3, None, None, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(r) for r in rows], SAMPLES)
+    R.write_tracks(df, str(tmp_path / "out"), 16000)
+    assert sorted(os.listdir(tmp_path / "out")) == ["1.wav", "2.wav", "3.wav"]
+    for s, t in x.items():
+        got, rate = _read(tmp_path / "out" / f"{s}.wav")
+        assert rate == 16000 and np.array_equal(got, (np.clip(t, -1, 1) * 32767).astype("<i2"))
+    assert len(_read(tmp_path / "out" / "3.wav")[0]) == 0
+    back = R.read_tracks(spark, str(tmp_path / "out"), split=100)
+    assert back.count() == 5003
+    with pytest.raises(Exception, match="FileExists|exists|1.wav"):
+        R.write_tracks(df, str(tmp_path / "out"), 16000)
+    R.write_tracks(df.where("session_id = 2").withColumn("mic", F.lit(0.5)), str(tmp_path / "out"), 8000, overwrite=True)
+    got, rate = _read(tmp_path / "out" / "2.wav")
+    assert rate == 8000 and (got[:, 0] == 16383).all() and not [n for n in os.listdir(tmp_path / "out") if n[0] == "."]
+
+
+def test_sink_pads_gaps_and_rejects_repeats(spark, tmp_path):
+    df = spark.createDataFrame([(1, 3, 1.0), (1, 0, None), (1, 5, float("nan"))], "session_id long, idx long, mic double")
+    R.write_tracks(df, str(tmp_path), 16000)
+    assert _read(tmp_path / "1.wav")[0].ravel().tolist() == [0, 0, 0, 32767, 0, 0]
+    for rows, why in (([(2, 0, 0.1), (2, 0, 0.2)], "more than one"), ([(2, -1, 0.1)], "below 0")):
+        with pytest.raises(Exception, match=why):
+            R.write_tracks(spark.createDataFrame(rows, "session_id long, idx long, mic double"), str(tmp_path), 16000)
+    with pytest.raises(Exception, match="can't name"):
+        R.write_tracks(spark.createDataFrame([("../x", 0, 0.1)], "session_id string, idx long, mic double"), str(tmp_path), 16000)
+    with pytest.raises(Exception, match="expected"):
+        df.select("idx").write.format("wav").option("rate", 1).mode("append").save(str(tmp_path))
+    assert os.listdir(tmp_path) == ["1.wav"]
+
+
+def test_recorder_survives_restarts(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (90, 2))
+    for k in range(3):
+        rows = [(7, 30 * k + i, float(a), float(b)) for i, (a, b) in enumerate(x[30 * k : 30 * k + 30])]
+        spark.createDataFrame(rows, SAMPLES).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        stream = spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        R.record_wav(stream, str(tmp_path / "out"), str(tmp_path / "state"), 16000, {"availableNow": True}).awaitTermination(120)
+        got, _ = _read(tmp_path / "out" / "7.wav")
+        assert np.array_equal(got, (x[: 30 * k + 30] * 32767).astype("<i2"))
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"))
+    commits[-1].unlink()  # as if the process had died before it noted the batch: it is run again
+    crc = commits[-1].with_name(f".{commits[-1].name}.crc")
+    crc.exists() and crc.unlink()
+    stream = spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    R.record_wav(stream, str(tmp_path / "out"), str(tmp_path / "state"), 16000, {"availableNow": True}).awaitTermination(120)
+    got, _ = _read(tmp_path / "out" / "7.wav")
+    assert np.array_equal(got, (x * 32767).astype("<i2")) and os.listdir(tmp_path / "out") == ["7.wav"]
+
+
+def test_a_crash_between_write_and_commit_leaves_a_recording(tmp_path):
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    schema = StructType([StructField("session_id", LongType()), StructField("idx", LongType()), StructField("mic", DoubleType())])
+    sink = R.WavStreamWriter({"path": str(tmp_path), "rate": "16000"}, schema)
+    batch = lambda lo, hi: pa.RecordBatch.from_pydict({"session_id": [1] * (hi - lo), "idx": list(range(lo, hi)), "mic": [0.5] * (hi - lo)})
+    first = sink.write(iter([batch(0, 10)]))
+    assert not (tmp_path / "1.wav").exists()
+    sink.commit([first, None], 0)
+    sink.write(iter([batch(10, 30)]))  # and no commit
+    with pa.OSFile(str(tmp_path / "1.wav")) as f:
+        assert R.read_header(f).frames == 10
+    assert _read(tmp_path / "1.wav")[0].shape == (10, 1)
+    sink.commit([sink.write(iter([batch(10, 20), batch(20, 30)]))], 1)
+    sink.commit([sink.write(iter([batch(0, 10)]))], 1)  # an earlier batch again
+    assert (_read(tmp_path / "1.wav")[0].ravel() == 16383).all() and len(_read(tmp_path / "1.wav")[0]) == 30
+    assert io.BytesIO((tmp_path / "1.wav").read_bytes()).read(4) == b"RIFF"
