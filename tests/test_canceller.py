@@ -1,0 +1,138 @@
+"""The echo canceller in any cut, its invariants at 16 kHz, and delays that move or can't be measured."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from turnwise.operators import signal, spectral
+
+RATE = 16000
+TRACKS = "session_id long, idx long, mic double, system double"
+
+
+def speech(n, seed, smooth=4):
+    """Noise in bursts of uneven length with pauses, smoothed."""
+    rng, level = np.random.default_rng(seed), np.zeros(n)
+    at = 0
+    while at < n:
+        on, off = rng.integers(RATE // 4, RATE), rng.integers(RATE // 4, RATE)
+        level[at : at + on] = rng.uniform(0.3, 1)
+        at += on + off
+    return np.convolve(rng.standard_normal(n) * level, np.hanning(smooth + 2)[1:-1] / smooth, "same") * 0.3
+
+
+def echo_of(far, delay, gain=0.15):
+    path = gain * np.array([1, 0, 0.4, 0, 0, 0.2])
+    return np.concatenate([np.zeros(delay), np.convolve(far, path)])[: len(far)]
+
+
+def erle(spark, near, cleaned, far, ratio=signal.DTD):
+    n = min(map(len, (near, cleaned, far)))
+    tracks = [spark.createDataFrame(list(zip([1] * n, range(n), map(float, x[:n]), strict=True)), "session_id long, idx long, x double") for x in (near, far, cleaned)]
+    found = signal.erle(*tracks, ratio=ratio).collect()
+    return found[0].erle_db if found else 0.0
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1024])
+def test_any_cut_gives_the_same(chunk):
+    far, near = speech(RATE * 2, 1), speech(RATE * 2, 2)
+    near = near * 0.2 + echo_of(far, 300)
+    whole = spectral.cancel(near, far, block=64, reach=256, chunk=chunk)
+    rng = np.random.default_rng(chunk)
+    for cuts in ([], [1], [63, 64, 65], np.sort(rng.integers(0, len(far), 50)).tolist()):
+        c, out = spectral.Canceller(float((far**2).mean()), block=64, reach=256, chunk=chunk), []
+        for a, b in zip(np.split(near, cuts), np.split(far, cuts), strict=True):
+            out.append(c.push(a, b))
+        out.append(c.finish())
+        assert np.array_equal(np.concatenate(out), whole) and c.finish().size == 0
+    assert np.allclose(whole, spectral.cancel(near, far, block=64, reach=256), atol=1e-6)
+
+
+def test_memory_does_not_grow():
+    c = spectral.Canceller(0.01, block=64, reach=256, chunk=8)
+    for k in range(200):
+        c.push(np.full(1000, 0.01), np.full(1000, 0.1))
+        assert c.waiting < 8 * 64 and sum(map(len, c.heard)) == c.waiting and len(c.history) == 3 and k >= 0
+
+
+def test_sessions_flow_by_in_batches(spark):
+    """Sessions of many lengths, rows in any order, batches of a few rows."""
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for s, n in enumerate((0, 1, 63, 64, 65, 5000, 700)):
+        far, near = rng.standard_normal(n) * 0.2, rng.standard_normal(n) * 0.02
+        near = near + 0.3 * far
+        rows += [(s, 2 * i + 5, float(a), float(b)) for i, (a, b) in enumerate(zip(near, far, strict=True))]
+        want[s] = spectral.cancel(near, far, block=16, reach=64, ratio=0.5, chunk=4)
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(s), int(i), a, b) for s, i, a, b in rows], TRACKS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = spectral.cancel_echo(df, block=16, reach=64, ratio=0.5, chunk=4).orderBy("session_id", "idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spectral.cancel_echo(df.limit(0)).collect() == []
+    for s, x in want.items():
+        own = [r for r in got if r.session_id == s]
+        assert [r.idx for r in own] == [2 * i + 5 for i in range(len(x))] and np.allclose([r.x for r in own], x, atol=1e-6)
+
+
+def test_quieter_echo_is_cancelled_harder(spark):
+    far = speech(RATE * 8, 0)
+    loud, quiet = (echo_of(far, 400, g) for g in (0.15, 0.08))
+    a, b = (erle(spark, x, spectral.cancel(x, far, reach=1024), far) for x in (loud, quiet))
+    assert b > a > 15
+
+
+def test_echo_beyond_the_ratio_is_not_learnt(spark):
+    """Above the detector's ratio nothing adapts, which shows as 0 dB; a higher ratio mends it."""
+    far = speech(RATE * 8, 0)
+    near = echo_of(far, 400, 0.35)
+    starved, learnt = (spectral.cancel(near, far, reach=1024, ratio=r) for r in (0.05, 0.5))
+    assert erle(spark, near, starved, far, 0.5) < 1 < 15 < erle(spark, near, learnt, far, 0.5) and erle(spark, near, starved, far) == 0.0
+
+
+def test_own_voice_survives():
+    n = RATE * 16
+    far, mine = speech(n, 1), np.where(np.arange(n) < n // 2, 0, speech(n, 2) * 0.8)
+    near = echo_of(far, 400) + mine
+    clean, half = spectral.cancel(near, far, reach=1024), slice(n // 2, n)
+    fit = lambda x: np.corrcoef(x[half], mine[half])[0, 1]
+    assert fit(clean) > max(0.95, fit(near)) and ((clean[half] - mine[half]) ** 2).mean() < ((near[half] - mine[half]) ** 2).mean()
+
+
+def test_silence_lengths_and_no_echo():
+    mine = speech(RATE * 4, 3)
+    assert np.allclose(spectral.cancel(mine, np.zeros_like(mine), reach=1024), mine, atol=1e-6)
+    far = speech(RATE * 3, 4)
+    assert len(spectral.cancel(echo_of(far, 200)[: RATE * 2], far, reach=1024)) == RATE * 2 and len(spectral.cancel(np.zeros(0), far)) == 0
+    far, mine = speech(RATE * 30, 10), speech(RATE * 30, 11)
+    clean = spectral.cancel(mine, far, reach=1024)
+    assert np.sqrt((clean**2).mean()) <= 1.01 * np.sqrt((mine**2).mean()) and np.abs(clean).max() <= 1.01 * np.abs(mine).max()
+
+
+def _delay(spark, near, far):
+    n = min(len(near), len(far))
+    df = spark.createDataFrame(list(zip([1] * n, range(n), map(float, near[:n]), map(float, far[:n]), strict=True)), TRACKS)
+    return spectral.echo_delay(df).first()
+
+
+def test_delay_is_measured_and_gated(spark):
+    far = speech(RATE * 20, 7)
+    found = _delay(spark, echo_of(far, 2000), far)
+    assert abs(found.lag - 2000) < 16 and found.cancel
+    for near, other in ((speech(RATE * 20, 8), far), (echo_of(far, 2000), far[::-1])):
+        assert not _delay(spark, near, other).cancel
+    silent = _delay(spark, speech(RATE * 4, 9), np.zeros(RATE * 4))
+    assert (silent.lag, silent.sharpness, silent.cancel) == (0, 0.0, False)
+
+
+def test_band_without_a_frequency_measures_nothing(spark):
+    x = speech(RATE, 5)
+    with np.errstate(all="raise"):
+        assert spectral.phase_correlation(x, x, RATE, 2000, 100, (301.0, 302.0)) is None
+    df = spark.createDataFrame([(1, i, float(v), float(v)) for i, v in enumerate(x[:4000])], TRACKS)
+    knobs = {"window_s": 0.05, "segment_s": 0.2, "max_lag_s": 0.01}
+    assert spectral.segment_delays(df, band=(301.0, 302.0), **knobs).collect() == []
+    found = spectral.echo_delay(df, band=(301.0, 302.0), **knobs).first()
+    assert (found.lag, found.n_segments, found.cancel) == (0, 0, False)
+    assert spectral.segment_delays(df, band=(300.0, 3400.0), **knobs).agg(F.max("lag")).first()[0] == 0

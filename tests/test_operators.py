@@ -237,7 +237,7 @@ def test_clean_microphone(spark):
     rows = [(s, i, float(m), float(f)) for s, mic in ((1, echo), (2, quiet)) for i, (m, f) in enumerate(zip(mic, far, strict=True))]
     both = spark.createDataFrame(rows, "session_id long, idx long, mic double, system double")
     mic, system = (both.select("session_id", "idx", F.col(c).alias("x")) for c in ("mic", "system"))
-    clean, report = recordings.clean_microphone(mic, system, rate, 15.0, {"window_s": 0.5, "segment_s": 8.0, "max_lag_s": 0.1, "band": None}, {"block": 64, "reach": 128})
+    clean, report = recordings.clean_microphone(mic, system, rate, 15.0, {"window_s": 0.5, "segment_s": 8.0, "max_lag_s": 0.1, "band": None}, {"block": 64, "reach": 128}, 64)
     found = {r.session_id: r for r in report.collect()}
     assert found[1].cancel and abs(found[1].lag - lag) < 4 and found[1].erle_db > 6 and not found[1].weak and not found[2].cancel and found[2].erle_db is None
     tracks = {s: np.array([r.x for r in clean.where(f"session_id = {s}").orderBy("idx").collect()]) for s in (1, 2)}

@@ -1,0 +1,135 @@
+"""Streams that end by the clock, against the batch forms."""
+
+import itertools
+import time
+
+import numpy as np
+import pytest
+
+from turnwise.operators import signal
+from turnwise.sources import recordings as R
+from turnwise.sources import wav
+from turnwise.streaming import timed
+
+MONO = "session_id long, block_idx long, samples array<double>"
+STEREO = "session_id long, block_idx long, channel string, samples array<double>"
+
+
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", timed.STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a state store and a worker for each take long to start
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def batch_form(x, factor):
+    return wav.decimated(np.asarray(x, float), factor)
+
+
+@pytest.mark.parametrize("factor", [1, 2, 3])
+def test_decimator_of_any_blocks(factor):
+    rng = np.random.default_rng(factor)
+    for n in (0, 1, 5, 96, 97, 98, 400):
+        x = rng.standard_normal(n)
+        cuts = np.sort(rng.integers(0, n + 1, 6))
+        d, out = timed.Decimator(factor), []
+        for part in np.split(x, cuts):
+            out.append(d.push(part))
+            d = timed.Decimator(factor, *d.state())  # as from the state store
+            assert len(d.tail) <= len(d.taps) + factor
+        out.append(d.push(np.empty(0), True))
+        assert np.allclose(np.concatenate(out), batch_form(x, factor) if n else [], atol=1e-6)
+    with pytest.raises(ValueError):
+        timed.Decimator(0)
+
+
+def _run(spark, plan, table, n, seconds=90):
+    """Rows of a query that is stopped when n have come (with timers it never ends by itself)."""
+    query, end = plan.writeStream.format("memory").queryName(table).outputMode("append").trigger(processingTime="500 milliseconds").start(), time.time() + seconds
+    try:
+        while time.time() < end and spark.table(table).count() < n:
+            time.sleep(0.5)
+        time.sleep(2)  # for rows too many
+    finally:
+        query.stop()
+    return spark.table(table).orderBy("session_id", "idx").collect()
+
+
+def _feed(spark, folder, k, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{k}")
+
+
+def _stream(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_silence_flushes_a_decimator(rocks, tmp_path):
+    x = np.random.default_rng(1).standard_normal(500)
+    for k, (a, b) in enumerate(itertools.pairwise([0, 3, 100, 101, 500])):
+        _feed(rocks, tmp_path / "in", k, [(s, k, x[a:b].tolist()) for s in (1, 2)], MONO)
+    plan = timed.decimate(_stream(rocks, tmp_path / "in", MONO), 3, 4000)
+    rows = _run(rocks, plan, "timed_dec", 2 * 167)
+    for s in (1, 2):
+        own = [r for r in rows if r.session_id == s]
+        assert [r.idx for r in own] == list(range(167)) and np.allclose([r.x for r in own], batch_form(x, 3), atol=1e-6)
+
+
+def test_recorder_stalls_catches_up_and_ends(rocks, tmp_path):
+    """One channel stalls and catches up; one ends early; one never comes: all is flushed by the clock, equal to the batch form, and recorded."""
+    rng = np.random.default_rng(2)
+    mic, system = rng.uniform(-0.5, 0.5, 480), rng.uniform(-0.5, 0.5, 300)
+    cut = lambda x, k: x[k * len(x) // 3 : (k + 1) * len(x) // 3].tolist()
+    for k in range(3):
+        rows = [(1, k, "mic", cut(mic, k)), (2, k, "mic", cut(mic, k)), (3, k, "system", cut(system, k))]
+        rows += [(1, k, "system", [])] if k < 2 else [(1, k, "system", system.tolist())]  # the backlog of a stall
+        rows += [(2, k, "system", cut(system, k))]
+        _feed(rocks, tmp_path / "in", k, rows, STEREO)
+    plan = timed.record(_stream(rocks, tmp_path / "in", STEREO), 3, 5000)
+    query = R.record_wav(plan, str(tmp_path / "out"), str(tmp_path / "state"), 16000, {"processingTime": "500 milliseconds"})
+    try:
+        end, seen = time.time() + 120, {}
+        while time.time() < end:
+            seen = {s: R.read_header(R.pa.OSFile(str(tmp_path / "out" / f"{s}.wav"))).frames for s in (1, 2, 3) if (tmp_path / "out" / f"{s}.wav").exists()}
+            if seen == {1: 160, 2: 160, 3: 100}:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert seen == {1: 160, 2: 160, 3: 100}
+    want = {1: (mic, system), 2: (mic, system), 3: (np.zeros(300), system)}
+    for s, tracks in want.items():
+        a, b = (batch_form(t, 3) for t in tracks)
+        n = max(len(a), len(b))
+        _, _, left, right = wav.decode_wav((tmp_path / "out" / f"{s}.wav").read_bytes())
+        assert np.allclose(left, np.pad(a, (0, n - len(a))), atol=2e-4) and np.allclose(right, np.pad(b, (0, n - len(b))), atol=2e-4)
+
+
+def test_last_row_ends_at_once_and_later_rows_are_dropped(rocks, tmp_path):
+    schema = STEREO + ", last boolean"
+    _feed(rocks, tmp_path / "in", 0, [(1, 0, "mic", [0.1, 0.2, 0.3], None), (1, 1, "system", [0.5], True)], schema)
+    _feed(rocks, tmp_path / "in", 1, [(1, 2, "mic", [0.9], None), (4, 0, "mic", [0.7], True)], schema)
+    plan = timed.record(_stream(rocks, tmp_path / "in", schema), 1, 3_600_000)
+    assert [tuple(r) for r in _run(rocks, plan, "timed_last", 4)] == [(1, 0, 0.1, 0.5), (1, 1, 0.2, 0.0), (1, 2, 0.3, 0.0), (4, 0, 0.7, 0.0)]
+
+
+def test_equal_to_the_batch_alignment(rocks, tmp_path):
+    """Ragged blocks of both channels, by a last row, against signal.align_padded."""
+    rng = np.random.default_rng(4)
+    tracks = {c: rng.standard_normal(n) for c, n in (("mic", 83), ("system", 121))}
+    schema = STEREO + ", last boolean"
+    cuts = {c: [0, *np.sort(rng.integers(0, len(x) + 1, 4)).tolist(), len(x)] for c, x in tracks.items()}
+    for k in range(5):
+        rows = [(9, k, c, x[cuts[c][k] : cuts[c][k + 1]].tolist(), k == 4) for c, x in tracks.items()]
+        _feed(rocks, tmp_path / "in", k, rows, schema)
+    plan = timed.record(_stream(rocks, tmp_path / "in", schema), 1, 3_600_000)
+    long = [rocks.createDataFrame([(9, i, float(v)) for i, v in enumerate(x)], "session_id long, idx long, x double") for x in tracks.values()]
+    want = [tuple(r) for r in signal.align_padded(*long).orderBy("idx").collect()]
+    assert [tuple(r) for r in _run(rocks, plan, "timed_align", len(want))] == want
+
+
+def test_store_is_asked_for(spark):
+    with pytest.raises(ValueError, match="providerClass"):
+        timed.record(spark.createDataFrame([], STEREO))

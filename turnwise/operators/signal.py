@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BAND, SHARPNESS, DTD = (300.0, 3400.0), 15.0, 0.05
+BAND, SHARPNESS, DTD, ERLE_FRAME = (300.0, 3400.0), 15.0, 0.05, 2048
 
 
 def array_rms(x: Column) -> Column:
@@ -35,7 +35,7 @@ def echo_only(near: DataFrame, far: DataFrame, ratio: float = DTD) -> DataFrame:
     return both.where(F.col("near") < ratio * F.col("far"))
 
 
-def erle(near: DataFrame, far: DataFrame, cleaned: DataFrame, frame: int, ratio: float = DTD) -> DataFrame:
+def erle(near: DataFrame, far: DataFrame, cleaned: DataFrame, frame: int = ERLE_FRAME, ratio: float = DTD) -> DataFrame:
     """session_id and erle_db: how far the echo fell, over frames with a loud far side, no near speech and measurable power; 0 if none."""
     parts = [frame_power(t, frame).withColumnRenamed("power", n) for t, n in ((near, "before"), (far, "far_p"), (cleaned, "after"))]
     frames = parts[0].join(parts[1], ["session_id", "frame"]).join(parts[2], ["session_id", "frame"])

@@ -585,12 +585,12 @@ def loud_frames(track):
 def _(spark, d):
     """The whole offline pass: measure, gate, shift, cancel, put back, transcribe, filter, label, interleave, render."""
     turns = V.turns(spark, d).withColumn("session_id", F.col("session_id") + 1)
-    return recordings.process_recordings(*_mic_system(spark, d), 4, loud_frames, lambda track: turns, limit=3.0, measure={k: v for k, v in _KNOBS.items() if k != "rate"}, cancel={"block": 4, "reach": 8, "ratio": 10.0})
+    return recordings.process_recordings(*_mic_system(spark, d), 4, loud_frames, lambda track: turns, limit=3.0, measure={k: v for k, v in _KNOBS.items() if k != "rate"}, cancel={"block": 4, "reach": 8, "ratio": 10.0}, frame=4)
 
 
 @query("echo_report")
 def _(spark, d):
-    found = recordings.clean_microphone(*_mic_system(spark, d), 4, 3.0, {k: v for k, v in _KNOBS.items() if k != "rate"}, {"block": 4, "reach": 8, "ratio": 10.0})[1]
+    found = recordings.clean_microphone(*_mic_system(spark, d), 4, 3.0, {k: v for k, v in _KNOBS.items() if k != "rate"}, {"block": 4, "reach": 8, "ratio": 10.0}, 4)[1]
     return found.select("session_id", "lag", "lag_ms", "cancel", _r(F.col("erle_db")).alias("erle_db"), "weak")
 
 

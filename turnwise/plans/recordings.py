@@ -13,12 +13,12 @@ from turnwise.sources.views import durable
 log = logging.getLogger(__name__)
 
 
-def clean_microphone(mic: DataFrame, system: DataFrame, rate: int, limit: float = signal.SHARPNESS, measure: dict | None = None, cancel: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def clean_microphone(mic: DataFrame, system: DataFrame, rate: int, limit: float = signal.SHARPNESS, measure: dict | None = None, cancel: dict | None = None, frame: int = signal.ERLE_FRAME) -> tuple[DataFrame, DataFrame]:
     """The microphone's track without echo, on its own timeline, and a report a session.
 
     The microphone trails the system channel by a lag that is measured; sessions in which no echo path stands out are left as
-    they are. The report has spectral.echo_delay's columns, lag_ms, erle_db (null where nothing was cancelled) and `weak`,
-    whether cancelling removed nothing measurable."""
+    they are. The report has spectral.echo_delay's columns, lag_ms, erle_db (over frames of `frame` samples; null where nothing was cancelled) and
+    `weak`, whether cancelling removed nothing measurable."""
     knobs = cancel or {}
     both = signal.align_common(mic, system)
     delays = durable(spectral.echo_delay(both, limit, rate=rate, **(measure or {})))
@@ -28,7 +28,7 @@ def clean_microphone(mic: DataFrame, system: DataFrame, rate: int, limit: float
     cleaned = durable(spectral.cancel_echo(aligned.select("session_id", "idx", "mic", "system"), **knobs))
     place = (F.col("idx") - F.col("lag")).alias("idx")
     tracks = [aligned.select("session_id", place, F.col(c).alias("x")) for c in ("mic", "system")]
-    erle = signal.erle(*tracks, cleaned.join(lags, "session_id").select("session_id", place, "x"), knobs.get("block", 512), knobs.get("ratio", signal.DTD))
+    erle = signal.erle(*tracks, cleaned.join(lags, "session_id").select("session_id", place, "x"), frame, knobs.get("ratio", signal.DTD))
     report = delays.withColumn("lag_ms", signal.milliseconds(F.col("lag"), rate)).join(erle, "session_id", "left").withColumn("weak", F.coalesce(F.col("erle_db") <= 0, F.lit(False)))
     return signal.reassembled(mic, cleaned), report
 
