@@ -79,6 +79,31 @@ def text_similarity(mic: Column, system: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(mic, system) / longer)
 
 
+def characters(text: Column) -> Column:
+    """How often a text holds each of its characters."""
+    all_of = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.map_from_entries(F.transform(F.array_distinct(all_of), lambda c: F.struct(c, F.size(F.filter(all_of, lambda x: x == c)))))
+
+
+def ratio_bound(a: Column, b: Column, own: Column, other: Column) -> Column:
+    """What text_ratio(a, b) can't exceed: matching characters are no more than those that both texts hold, by their characters()."""
+    both = F.aggregate(F.map_entries(own), F.lit(0), lambda n, e: n + F.least(e["value"], F.coalesce(F.try_element_at(other, e["key"]), F.lit(0))))
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2 * both / (F.length(a) + F.length(b)))
+
+
+def length_bound(a: Column, b: Column) -> Column:
+    """As ratio_bound, by the lengths alone."""
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)))
+
+
+def json_fields(line: Column, schema: str) -> Column:
+    """A JSON object's fields as a struct; a line that is no object of these types, or lacks one of them, is an error."""
+    found = F.from_json(line, schema, {"mode": "FAILFAST"})
+    names = [part.split()[0] for part in schema.split(",")]
+    lacking = F.filter(F.array(*(F.when(found[n].isNull(), F.lit(n)) for n in names)), lambda n: n.isNotNull())
+    return F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("no "), F.array_join(lacking, ", "), F.lit(" in "), F.coalesce(line, F.lit("null"))))).otherwise(found)
+
+
 @pandas_udf(DoubleType())
 def text_ratio(mic: pd.Series, system: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; it is not symmetric, so the microphone's text comes first."""

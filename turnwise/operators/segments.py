@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
+from turnwise.operators import scan
 
 NO_SPEECH, COMPRESSION = 0.6, 2.4
 
@@ -31,9 +32,7 @@ def add_segments(mic: DataFrame, system: DataFrame) -> DataFrame:
 
 def interleave(segments: DataFrame) -> DataFrame:
     """With pos, a session's order by start, channel, seq; seq decides ties."""
-    from pyspark.sql import Window
-
-    return segments.withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("start", "channel", "seq")).cast("long"))
+    return scan.numbered(segments, ["session_id"], ["start", "channel", "seq"], "pos")
 
 
 def transcript_line(labeled: bool = True) -> Column:

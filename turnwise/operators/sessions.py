@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from turnwise.operators import scan
+
 CALIBRATION, FACTOR, MIC_FLOOR, SYSTEM_LIMIT, STOP, POLL = 3.0, 4.0, 1e-3, 5e-4, 45.0, 0.25
 
 
@@ -21,16 +23,19 @@ def watchdog_thresholds(blocks: DataFrame, poll: float = POLL, calibration: floa
     return blocks.where(F.col("i") < n).groupBy("session_id").agg(F.count("*").alias("n"), F.greatest(upper_median(F.col("mic")) * FACTOR, F.lit(MIC_FLOOR)).alias("thr")).where(F.col("n") == n).select("session_id", "thr")
 
 
-def silence_runs(blocks: DataFrame, poll: float = POLL, calibration: float = CALIBRATION) -> DataFrame:
+def silence_runs(blocks: DataFrame, poll: float = POLL, calibration: float = CALIBRATION, span: int | None = None) -> DataFrame:
     """session_id, i, act, silence: seconds since the last activity once a session is armed; 0 before and while active.
 
-    blocks: session_id, i from 0, mic, system (null if there is none)."""
-    n = math.ceil(calibration / poll)
-    order = Window.partitionBy("session_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    blocks: session_id, i from 0, mic, system (null if there is none). A cell's summary is its last activity."""
+    n, keys = math.ceil(calibration / poll), ["session_id"]
     live = blocks.join(watchdog_thresholds(blocks, poll, calibration), "session_id").where(F.col("i") >= n)
     act = (F.col("mic") > F.col("thr")) | F.coalesce(F.col("system") > SYSTEM_LIMIT, F.lit(False))
-    last = F.max(F.when(F.col("act"), F.col("i"))).over(order)
-    return live.withColumn("act", act).withColumn("last", last).select("session_id", "i", "act", F.coalesce((F.col("i") - F.col("last")) * poll, F.lit(0.0)).alias("silence"))
+    rows = live.select("session_id", "i", act.alias("act"), F.floor(F.col("i") / (span or scan.SPAN)).alias("_cell"))
+    active = F.when(F.col("act"), F.col("i"))
+    lasts = rows.groupBy("session_id", "_cell").agg(F.max(active).alias("_last"))
+    known = scan.carried(rows, keys, lasts.select("session_id", "_cell", F.max("_last").over(scan.before(keys)).alias("_carry")))
+    last = F.coalesce(F.max(active).over(scan.order(keys, "i").rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
+    return known.select("session_id", "i", "act", F.coalesce((F.col("i") - last) * poll, F.lit(0.0)).alias("silence"))
 
 
 def watchdog_stops(blocks: DataFrame, stop: float = STOP, poll: float = POLL) -> DataFrame:
@@ -38,11 +43,19 @@ def watchdog_stops(blocks: DataFrame, stop: float = STOP, poll: float = POLL) ->
     return silence_runs(blocks, poll).where((F.col("silence") >= stop) & (F.col("silence") > 0)).groupBy("session_id").agg(F.min("i").alias("stop_i"))
 
 
-def islands(points: DataFrame, jump: float) -> DataFrame:
-    """points (session_id, t, d) with island: a new one begins where d changes by more than jump."""
-    order = Window.partitionBy("session_id").orderBy("t")
-    broken = F.coalesce((F.abs(F.col("d") - F.lag("d").over(order)) > jump).cast("int"), F.lit(0))
-    return points.withColumn("_new", broken).withColumn("island", F.sum("_new").over(order).cast("long")).drop("_new")
+def islands(points: DataFrame, jump: float, span: int | None = None) -> DataFrame:
+    """points (session_id, t, d) with island: a new one begins where d changes by more than jump.
+
+    A cell's summary is its first and last d and how often d jumps between; the scan adds the jumps from cell to cell."""
+    keys, broken = ["session_id"], lambda a, b: F.coalesce((F.abs(a - b) > jump).cast("int"), F.lit(0))
+    rows = scan.in_cells(points, keys, "t", span)
+    rows = rows.withColumn("_new", broken(F.col("d"), F.lag("d").over(scan.order(keys, "t"))))
+    cells = rows.groupBy("session_id", "_cell").agg(F.sum("_new").alias("_jumps"), F.min_by("d", "t").alias("_first"), F.max_by("d", "t").alias("_end"))
+    along = Window.partitionBy("session_id").orderBy("_cell")
+    edges = cells.withColumn("_edge", broken(F.col("_first"), F.lag("_end").over(along)))
+    ahead = edges.select("session_id", "_cell", (F.sum(F.col("_jumps") + F.col("_edge")).over(along) - F.col("_jumps")).alias("_ahead"))
+    own = F.sum("_new").over(scan.order(keys, "t"))
+    return scan.carried(rows, keys, ahead).withColumn("island", (own + F.col("_ahead")).cast("long")).drop("_new", "_cell", "_ahead")
 
 
 def step_count(points: DataFrame, jump: float) -> DataFrame:
@@ -52,8 +65,7 @@ def step_count(points: DataFrame, jump: float) -> DataFrame:
 
 def ordered_turns(turns: DataFrame) -> DataFrame:
     """turns with turn_idx, their place in the session by start; ties by end, then speaker."""
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("start", "end", "speaker"))
-    return turns.withColumn("turn_idx", place - 1)
+    return scan.numbered(turns, ["session_id"], ["start", "end", "speaker"], "turn_idx", 0).withColumn("turn_idx", F.col("turn_idx").cast("int"))
 
 
 def session_dir(started: Column, name: Column, default: str = "meeting") -> Column:
@@ -79,9 +91,15 @@ def argmax(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
 
 def top_peaks(rows: DataFrame, key: str, at: str, value: str, apart: int, most: int = 6) -> DataFrame:
-    """key, rank, at, value: the largest values, each `apart` places or more from those before it."""
-    sorted_rows = F.transform(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(at).alias("p")))), lambda r: F.struct(r["p"].alias("p"), (-r["v"]).alias("v")))
-    listed = rows.groupBy(key).agg(sorted_rows.alias("l"))
+    """key, rank, at, value: the largest values, each `apart` places or more from those before it; places are whole numbers.
+
+    A peak shuts out 2 * apart - 1 places at most, so the k-th peak is among the first (k - 1) * (2 * apart - 1) + 1 places by value:
+    only these are gathered, whatever the session's length (Spark cuts to them before the shuffle too)."""
+    best = rows.groupBy(key, at).agg(F.max(value).alias(value))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(value).desc(), at))
+    near_top = best.withColumn("_r", place).where(F.col("_r") <= (most - 1) * (2 * apart - 1) + 1)
+    sorted_rows = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(at).alias("p"), F.col(value).alias("v")))), lambda r: F.struct(r["p"].alias("p"), r["v"].alias("v")))
+    listed = near_top.groupBy(key).agg(sorted_rows.alias("l"))
 
     def take(taken, r):
         near = F.exists(taken, lambda t: F.abs(t["p"] - r["p"]) < apart)

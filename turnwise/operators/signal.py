@@ -1,9 +1,10 @@
 """Sampled signals in long form (session_id, idx, x): frames, alignment, resampling, levels and delays."""
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,10 +88,12 @@ def sinc_kernel(factor: int, taps_per_phase: int = 8) -> list[float]:
 
 
 def fir_decimate(track: DataFrame, factor: int, kernel: list[float] | None = None, block: int = 4096) -> DataFrame:
-    """session_id, idx, x: every factor-th sample of the track convolved with a centred kernel, zeros beyond the ends.
+    """session_id, idx, x: every factor-th sample of the track convolved with a centred kernel, zeros beyond the ends and in gaps;
+    places that no sample reaches are left out.
 
     Samples are dealt to blocks of `block` outputs, those within half a kernel of a border to both sides, so long tracks
-    spread over all tasks and a sample is sent little more than once; a block is convolved as one array."""
+    spread over all tasks and a sample is sent little more than once. A task takes its blocks one after another from sorted rows and
+    holds one of them; a block is convolved as one array."""
     if factor < 1:
         raise ValueError("factor must be 1 or more")
     if factor == 1 and kernel is None:
@@ -98,19 +101,44 @@ def fir_decimate(track: DataFrame, factor: int, kernel: list[float] | None = Non
     kernel = kernel or sinc_kernel(factor)
     taps, half, span = np.array(kernel)[::-1], len(kernel) // 2, block * factor
     low, high = F.floor((F.col("idx") - half) / span), F.floor((F.col("idx") + half) / span)
-    dealt = track.select("session_id", "idx", "x", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))).alias("_block"))
+    dealt = track.select(F.col("session_id").cast("long").alias("session_id"), F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))).alias("_block"), F.col("idx").cast("long").alias("idx"), F.col("x").cast("double").alias("x"))
     size = track.groupBy("session_id").agg(F.max("idx").alias("last"))
 
-    def convolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        first = key[1] * span - half
-        x = np.zeros(span + 2 * half)
-        x[group["idx"].to_numpy() - first] = group["x"].to_numpy(float)
-        seen = np.lib.stride_tricks.sliding_window_view(x, len(taps))[::factor][:block]
-        at = key[1] * block + np.arange(len(seen))
-        return pd.DataFrame({"session_id": key[0], "idx": at, "x": seen @ taps})
-
-    done = dealt.groupBy("session_id", "_block").applyInPandas(convolve, "session_id long, idx long, x double")
-    return done.join(size, "session_id").where(F.col("idx") <= F.floor(F.col("last") / factor)).drop("last")
+    def convolve(batches):
+        held, open_at = [], None
+
+        def done():
+            at, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            first = open_at[1] * span - half
+            n = min(block, (int(at[-1]) - first) // factor + 1)
+            line = np.zeros((n - 1) * factor + len(taps))
+            use = at - first < len(line)
+            line[at[use] - first] = x[use]
+            return open_at[0], open_at[1] * block + np.arange(n), np.lib.stride_tricks.sliding_window_view(line, len(taps))[::factor] @ taps
+
+        def given(found):
+            ids = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.concatenate([f[k] for f in found])) for k in (1, 2))], names=["session_id", "idx", "x"])
+
+        for batch in batches:
+            session, cell, at, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero((session[1:] != session[:-1]) | (cell[1:] != cell[:-1])) + 1
+            found = []
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(at)]):
+                if hi == lo:
+                    continue
+                if open_at != (session[lo], cell[lo]):
+                    if held:
+                        found.append(done())
+                    held, open_at = [], (session[lo], cell[lo])
+                held.append((at[lo:hi], x[lo:hi]))
+            if found:
+                yield given(found)
+        if held:
+            yield given([done()])
+
+    rows = dealt.repartition("session_id", "_block").sortWithinPartitions("session_id", "_block", "idx")
+    return rows.mapInArrow(convolve, "session_id long, idx long, x double").join(size, "session_id").where(F.col("idx") <= F.floor(F.col("last") / factor)).drop("last")
 
 
 def linear_resample(track: DataFrame, step: float) -> DataFrame:

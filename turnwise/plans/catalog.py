@@ -1,5 +1,6 @@
 """The engine's queries over the driver's tables, each beside the SQL that checks it."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import text as T
 from turnwise.operators import intervals, segments, sessions, signal, spectral
 from turnwise.plans import recordings, summaries
+from turnwise.sources import recordings as files
 from turnwise.sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,12 +88,9 @@ def _(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), T.normalize(F.col("text")).alias("norm"))
 
 
-@query("cjk_junk", r"""with t as (select conv_id, turn::bigint as turn, case turn % 4 when 0 then chr(24213) when 1 then chr(24213) || 'a' when 2 then chr(65313) else left(text, 20) end as text from conversations)
-select conv_id, turn, regexp_matches(text, '[\x{3000}-\x{9fff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]') and not regexp_matches(text, '[a-zA-Z]') as junk from t""")
+@query("cjk_junk", r"select doc_id, regexp_matches(text, '[\x{3000}-\x{9fff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]') and not regexp_matches(text, '[a-zA-Z]') as junk from documents")
 def _(spark, d):
-    k = F.col("turn") % 4
-    text = F.when(k == 0, "底").when(k == 1, "底a").when(k == 2, "Ａ").otherwise(F.left("text", F.lit(20)))
-    return V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), T.is_cjk_junk(text).alias("junk"))
+    return V.table(spark, d, "documents").select("doc_id", T.is_cjk_junk(F.col("text")).alias("junk"))
 
 
 @query("cjk_junk_whole", r"select conv_id, turn::bigint as turn, regexp_matches(text, '[\x{3000}-\x{9fff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]') and not regexp_matches(text, '[a-zA-Z]') as junk from conversations")
@@ -146,14 +145,13 @@ def _(spark, d):
 
 
 _DOUBLED = f"""{_SEGMENTS}, doubled as (select session_id, seq, channel, start, "end", text from segments union all
- select session_id, seq + 1000, 'system', start + 1e0, "end" + 1e0, text || '!' from segments where channel = 'mic' and seq % 4 = 0 and length(text) < 200)"""
+ select session_id, seq + 1000, 'system', start + 1e0, "end" + 1e0, text || '!' from segments where channel = 'mic' and seq % 4 = 0)"""
 
 
-def _doubled(spark, d, longest=200):
-    """Segments and echoes of some; the queries with SQL echo texts under 200 characters, as the SQL does."""
+def _doubled(spark, d):
+    """Segments and echoes of some."""
     s = V.segments(spark, d).select("session_id", "seq", "channel", "start", "end", "text")
-    echo = s.where("channel = 'mic' and seq % 4 = 0")
-    echo = (echo if longest is None else echo.where(F.length("text") < longest)).select("session_id", (F.col("seq") + 1000).alias("seq"), F.lit("system").alias("channel"), (F.col("start") + 1.0).alias("start"), (F.col("end") + 1.0).alias("end"), F.concat("text", F.lit("!")).alias("text"))
+    echo = s.where("channel = 'mic' and seq % 4 = 0").select("session_id", (F.col("seq") + 1000).alias("seq"), F.lit("system").alias("channel"), (F.col("start") + 1.0).alias("start"), (F.col("end") + 1.0).alias("end"), F.concat("text", F.lit("!")).alias("text"))
     return s.unionByName(echo)
 
 
@@ -166,23 +164,22 @@ def _(spark, d):
     return intervals.drop_bleed(_doubled(spark, d), lambda a, b: a == b).select("session_id", "seq", "channel")
 
 
-@query("bleed_dedup_levenshtein", f"""with {_DOUBLED}, n as (select *, {_norm('text')} as norm from doubled where regexp_full_match(text, '[\\x00-\\x7f]*') and length(text) < 200)
-select session_id, seq, channel from n m where not (channel = 'mic' and norm <> '' and exists (select 1 from n s where s.channel = 'system' and {_OVER}
- and case when greatest(length(m.norm), length(s.norm)) = 0 then 1 else 1 - levenshtein(m.norm, s.norm) / greatest(length(m.norm), length(s.norm))::double end >= 0.6e0))""")
+@query("bleed_dedup_ratio")
 def _(spark, d):
-    ascii_only = _doubled(spark, d).where(F.col("text").rlike(r"^[\x00-\x7f]*$") & (F.length("text") < 200))
-    return intervals.drop_bleed(ascii_only, lambda a, b: T.text_similarity(a, b) >= 0.6).select("session_id", "seq", "channel")
+    return intervals.drop_bleed(_doubled(spark, d), lambda a, b: T.text_ratio(a, b) >= 0.6, least=0.6).select("session_id", "seq", "channel")
 
 
-@query("bleed_dedup_ratio")
-def _(spark, d):
-    return intervals.drop_bleed(_doubled(spark, d, None), lambda a, b: T.text_ratio(a, b) >= 0.6).select("session_id", "seq", "channel")
+#: Characters that no normalised text holds. DuckDB's levenshtein counts bytes, so its SQL first puts one of these for each character beyond ASCII (there are fewer in the tables).
+_SPARE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^{|}~"
 
 
-@query("bleed_dedup_levenshtein_whole")
+@query("bleed_dedup_levenshtein_whole", f"""with {_DOUBLED}, r as (select *, {_norm('text')} as raw from doubled), c as (select unnest(string_split(raw, '')) as ch from r),
+w as (select coalesce(string_agg(ch, '' order by ch), '') as wide from (select distinct ch from c where unicode(ch) > 127)), n as (select r.*, translate(raw, wide, '{_SPARE}') as norm from r, w)
+select session_id, seq, channel from n m where not (channel = 'mic' and norm <> '' and exists (select 1 from n s where s.channel = 'system' and {_OVER}
+ and case when greatest(length(m.norm), length(s.norm)) = 0 then 1 else 1 - levenshtein(m.norm, s.norm) / greatest(length(m.norm), length(s.norm))::double end >= 0.6e0))""")
 def _(spark, d):
-    """Texts of any length and script; without SQL, as DuckDB's levenshtein counts bytes."""
-    return intervals.drop_bleed(_doubled(spark, d, None), lambda a, b: T.text_similarity(a, b) >= 0.6).select("session_id", "seq", "channel")
+    """Texts of any length and script."""
+    return intervals.drop_bleed(_doubled(spark, d), lambda a, b: T.text_similarity(a, b) >= 0.6).select("session_id", "seq", "channel")
 
 
 @query("dup_rate", rf"""with {_DOUBLED}, n as (select *, regexp_replace(lower(regexp_replace(text, '!$', '')), '^\s+|\s+$', '', 'g') as plain from doubled),
@@ -215,7 +212,7 @@ def _(spark, d):
 @query("render_transcript_deduped")
 def _(spark, d):
     """With bleed removed, as the reference renders; without SQL, which has no such ratio."""
-    return _transcripts(spark, d, lambda s: intervals.drop_bleed(s, lambda a, b: T.text_ratio(a, b) >= 0.6))
+    return _transcripts(spark, d, lambda s: intervals.drop_bleed(s, lambda a, b: T.text_ratio(a, b) >= 0.6, least=0.6))
 
 
 @query("session_header", f"""with t as (select user_id, date_trunc('second', min(ts)) as a, date_trunc('second', max(ts)) as b from events group by 1)
@@ -351,6 +348,17 @@ def _(spark, d):
     return V.table(spark, d, "events").select("event_id", _r(signal.dequantize(signal.quantize(F.col("value") / 10 - 2)), 9).alias("x"))
 
 
+@query("wav_round_trip", f"""{_MS}, j as (select coalesce(m.session_id, s.session_id) as session_id, coalesce(m.idx, s.idx) as idx, coalesce(m.x, 0) as mic, coalesce(s.x, 0) as system from m full join s on m.session_id = s.session_id and m.idx = s.idx)
+select session_id, idx, trunc(least(1e0, mic * 4) * 32767) / 32768 as mic, trunc(least(1e0, system * 4) * 32767) / 32768 as system from j""")
+def _(spark, d):
+    """A stereo WAV file for each session, written by the sink and read back by ranges of 8 frames."""
+    both = signal.align_padded(*_mic_system(spark, d)).select("session_id", "idx", (F.col("mic") * 4).alias("mic"), (F.col("system") * 4).alias("system"))
+    at = f"{V.shared_dir(spark)}/wav-{uuid.uuid4().hex}"
+    files.write_tracks(both, at, 16000)
+    back = files.read_tracks(spark, at, split=8)
+    return back.select(F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("session_id"), "idx", F.col("mic").cast("double").alias("mic"), F.col("system").cast("double").alias("system"))
+
+
 @query("ascii_bar", "select event_id, repeat('#', round_even(40 * greatest(value, 0) / 50, 0)::int) as bar from events")
 def _(spark, d):
     return V.table(spark, d, "events").select("event_id", signal.ascii_bar(F.col("value"), F.lit(50.0)).alias("bar"))
@@ -417,6 +425,12 @@ def _(spark, d):
     return sessions.top_peaks(r, "session_id", "pos", "v", 5)
 
 
+@query("first_match", "select user_id, event_id, value from events where event_type = 'view' and value > 20 qualify row_number() over (partition by user_id order by event_id) = 1")
+def _(spark, d):
+    loud = V.table(spark, d, "events").where("event_type = 'view' and value > 20")
+    return intervals.first_match(loud, ["user_id"], "event_id").select("user_id", "event_id", "value")
+
+
 @query("argmax_lag", "select user_id, arg_max(event_id, (value, -event_id)) as event_id, max(value) as value from events group by 1")
 def _(spark, d):
     return sessions.argmax(V.table(spark, d, "events"), "user_id", "event_id", "value")
@@ -424,7 +438,7 @@ def _(spark, d):
 
 @query("header_json", "select event_id, (props->>'k')::int as k from events")
 def _(spark, d):
-    return V.table(spark, d, "events").select("event_id", F.from_json("props", "k int", {"mode": "FAILFAST"})["k"].alias("k"))
+    return V.table(spark, d, "events").select("event_id", T.json_fields(F.col("props"), "k int")["k"].alias("k"))
 
 
 def _pair_tracks(spark, d):
@@ -440,14 +454,18 @@ def _bins(n: int, bins: int, taper: str = "1e0") -> str:
     return f"k, {part('a', 'cos')} as ar, -{part('a', 'sin')} as ai, {part('b', 'cos')} as br, -{part('b', 'sin')} as bi from l, (select unnest(range({bins})) as k)"
 
 
-#: Windows of 4 samples in segments of 32, spectra of 8, lags of 2 at most.
-_CURVE = f"""{_PAIRS}, w as (select session_id, (idx // 32)::bigint as segment, idx % 32 // 4 as w, list(mic order by idx) as a, list(system order by idx) as b, avg(system * system) as pw from p group by all having count(*) = 4),
+def _curve(bins: str) -> str:
+    """Windows of 4 samples in segments of 32, spectra of 8 by the bins of a condition on k, lags of 2 at most."""
+    return f"""{_PAIRS}, w as (select session_id, (idx // 32)::bigint as segment, idx % 32 // 4 as w, list(mic order by idx) as a, list(system order by idx) as b, avg(system * system) as pw from p group by all having count(*) = 4),
 m as (select session_id, segment, greatest(median(pw), 1e-12) as lim, count(*) as n from w group by all), l as (select w.* from w join m using (session_id, segment) where pw > lim and n >= 2),
-f as (select session_id, segment, w, {_bins(8, 5)}), c as (select session_id, segment, w, k, ar * br + ai * bi as re, ai * br - ar * bi as im from f),
+f as (select session_id, segment, w, {_bins(8, 5)}), c as (select session_id, segment, w, k, ar * br + ai * bi as re, ai * br - ar * bi as im from f where {bins}),
 z as (select *, sqrt(re * re + im * im) as sz, avg(sqrt(re * re + im * im)) over (partition by session_id, segment, w) as ms from c),
 h as (select session_id, segment, k, avg(re / (sz + 0.2e0 * ms + 1e-12)) as re, avg(im / (sz + 0.2e0 * ms + 1e-12)) as im from z group by all having count(*) >= 2),
 r as (select session_id, segment, lag, sum(case k when 0 then re when 4 then re * cos(pi() * lag) else 2 * (re * cos(2 * pi() * k * lag / 8) - im * sin(2 * pi() * k * lag / 8)) end) / 8 as r from h, (select unnest(range(-2, 3)) as lag) group by all),
 d as (select session_id, segment, arg_max(lag, (r, -lag))::int as lag, max(r) / (median(abs(r)) + 1e-30) as sharpness from r group by all)"""
+
+
+_CURVE = _curve("true")
 _KNOBS = {"rate": 4, "window_s": 1.0, "segment_s": 8.0, "max_lag_s": 0.5, "band": None}
 
 
@@ -462,6 +480,13 @@ def _(spark, d):
     return curve.select("session_id", "segment", F.col("c.lags").alias("lag"), _r(F.col("c.r"), 9).alias("r"))
 
 
+@query("gcc_band", f"with {_curve('k in (1, 2)')} select session_id, segment, lag::int as lag, round(r, 9) as r from r")
+def _(spark, d):
+    """Bins at 0.5 and 1 Hz alone."""
+    curve = spectral.correlation_curves(_pair_tracks(spark, d), **(_KNOBS | {"band": (0.5, 1.5)})).select("session_id", "segment", F.explode(F.arrays_zip("lags", "r")).alias("c"))
+    return curve.select("session_id", "segment", F.col("c.lags").alias("lag"), _r(F.col("c.r"), 9).alias("r"))
+
+
 @query("echo_delay", f"""with {_CURVE}, u as (select *, case when sharpness >= 3 and lag >= 0 then lag end as ok from d)
 select session_id, coalesce(min(ok), 0) as lag, count(ok) as n_usable, count(lag) as n_segments, round(coalesce(median(sharpness), 0), 4) as sharpness, min(ok) as min_lag, max(ok) as max_lag, coalesce(median(sharpness), 0) >= 3 as cancel
  from (select distinct session_id from p) left join u using (session_id) group by 1""")
@@ -571,7 +596,7 @@ def _(spark, d):
 @query("dup_rate_ratio")
 def _(spark, d):
     """By the ratio of texts of any length, strictly above 0.6; without SQL, which has no such ratio."""
-    return intervals.duplication_rate(_doubled(spark, d, None), lambda a, b: T.text_ratio(a, b) > 0.6).select("session_id", "dup", "total", _r(F.col("pct")).alias("pct"))
+    return intervals.duplication_rate(_doubled(spark, d), lambda a, b: T.text_ratio(a, b) > 0.6, least=0.6).select("session_id", "dup", "total", _r(F.col("pct")).alias("pct"))
 
 
 def loud_frames(track):

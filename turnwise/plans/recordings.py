@@ -55,5 +55,5 @@ def process_recordings(mic: DataFrame, system: DataFrame, rate: int, transcribe:
         named = lambda: intervals.assign_speakers(other, diarize(system)).withColumn("speaker", F.when(F.col("speaker").isNotNull(), T.speaker_label(F.col("speaker"))))
         plain = optional(named, plain, "diarizing")
     spoken = durable(segments.add_segments(own.withColumn("speaker", F.lit(None).cast("string")), plain))
-    kept = intervals.drop_bleed(spoken, lambda a, b: T.text_ratio(a, b) >= 0.6)
+    kept = intervals.drop_bleed(spoken, lambda a, b: T.text_ratio(a, b) >= 0.6, least=0.6)
     return segments.render(kept, mic.select("session_id").union(system.select("session_id")), labeled)

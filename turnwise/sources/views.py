@@ -38,12 +38,18 @@ def track(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     return e.select(F.col("user_id").alias("session_id"), idx.alias("idx"), (F.col("value") / 100.0).alias("x"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the shared folder (spark.checkpoint.dir; a temporary one where none is set and the master is local)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir; a temporary one where none is set and the master is local)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         at = sc.getConf().get("spark.checkpoint.dir")
         if not at and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="turnwise-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
