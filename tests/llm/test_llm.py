@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
@@ -633,3 +635,51 @@ def test_op9_added_spans(spark):
         right, added, wanted = right + len(set(got) & set(want)), added + len(got), wanted + len(want)
     print("added spans:", right, added, wanted)
     assert right >= 0.6 * wanted and right >= 0.6 * added, (right, added, wanted)
+
+
+def _resolved(text):
+    """All spans of a model that takes every proposal at one score, in plain Python."""
+    found = {}
+    for kind in pii.KINDS:
+        base = [m for m in re.finditer(pii.BASE[kind].replace(r"(?:\G|", "(?:").replace("[A-Za-z0-9._%+-]++@", "[A-Za-z0-9._%+-]+@"), text)]
+        if kind == "ip":
+            base = [m for m in base if all(int(x) <= 255 for x in m.group().split("."))]
+        if kind in ("card", "phone"):
+            digits = lambda m: re.sub("[^0-9]", "", m.group())
+            base = [m for m in base if (16 <= len(digits(m)) <= 19 and sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits(m)))) % 10 == 0 if kind == "card" else 8 <= len(digits(m)) <= 15)]
+        found[kind] = [m.span() for m in base]
+    taken = sorted(x for v in found.values() for x in v)
+    tried = [(m.start(), m.end(), i) for i, kind in enumerate(pii.KINDS) for m in regex.finditer(pii.PROPOSALS[kind], text)]
+    free = [c for c in tried if not any(b[0] < c[1] and c[0] < b[1] for b in taken)]
+    more = [c for c in free if not any(d[2] < c[2] and d[0] < c[1] and c[0] < d[1] for d in free)]
+    return {k: (found[k], sorted(c[:2] for c in more if c[2] == i)) for i, k in enumerate(pii.KINDS)}
+
+
+def test_op9_spans_of_dense_texts(spark):
+    """Base spans, proposals and their conflicts against plain Python, in texts full of them."""
+    rng, texts = random.Random(12), ["", "x"]
+    parts = ["ann@a.com", "10.0.0.1", "256.1.1.1", "1.2.3.4.5.6", "4111 1111 1111 1111", "4111111111111112", "+1 (509) 555-6973", "0049 221 123456", "joe (at) b [dot] org", "im", ", ", " ", ".", "-", "1", "a@", "(555) 123-4567", "é", "\U0001d54f", "\n", "12-34-56-78-90-12-34"]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.spans(df, {"sql": "1.0D", "limits": dict.fromkeys(pii.KINDS, 0.5)}).collect():
+        for kind, (base, more) in _resolved(texts[r.doc_id]).items():
+            assert [tuple(x) for x in r[f"base_{kind}"]] == base, (kind, texts[r.doc_id])
+            assert sorted(tuple(x) for x in r[f"more_{kind}"]) == more, (kind, texts[r.doc_id])
+
+
+def test_op9_time_grows_with_the_matches(spark):
+    """100,000 addresses in one text, and as many that are only proposed beside three other kinds."""
+    plain = "".join(f"user{k}@mail{k % 7}.example.com, " for k in range(100_000))
+    hidden = "".join(f"user{k} (at) mail{k % 7} (dot) com, 10.{k % 256}.3.4 and 0049 221 {k + 100000} " for k in range(20_000))
+    df = spark.createDataFrame([(1, plain), (2, hidden)], "doc_id long, text string").repartition(2)
+    began = time.time()
+    sizes = {r[0]: r[1:] for r in pii.spans(df, {"sql": "1.0D", "limits": dict.fromkeys(pii.KINDS, 0.5)}).select("doc_id", *(F.size(f"{w}_{k}") for k in ("email", "ip") for w in ("base", "more"))).collect()}
+    assert sizes == {1: (100_000, 0, 0, 0), 2: (0, 20_000, 20_000, 0)} and time.time() - began < 90
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
+def test_op9_running_folds(spark, n):
+    rows = [random.Random(n).randint(-5, 50) for _ in range(n)]
+    df = spark.createDataFrame([(rows,)], "v array<int>")
+    sums, tops = df.select(pii.running(F.col("v"), lambda a, x: a + x), pii.running(F.col("v"), F.greatest)).first()
+    assert sums == list(itertools.accumulate(rows)) and tops == list(itertools.accumulate([max(0, x) for x in rows], max))

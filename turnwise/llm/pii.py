@@ -11,7 +11,6 @@ Null text counts as empty: no spans. Repeated rows give repeated results, a null
 end exclusive."""
 
 import re
-from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +21,8 @@ from turnwise.llm.common import whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 SNIPPETS, TREES, DEPTH, PRECISION, NEAR = 6000, 12, 3, 0.98, 24
+#: Values that are folded at once. Proposals on either side among which those are that can overlap one: none is longer than 720 characters, shorter than 7, or overlaps another of its kind.
+RUN, AROUND = 128, 512
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Possessive forms match what the plain ones do without deep recursion; an address starts where its run of characters does.
@@ -69,19 +70,46 @@ def valid(kind: str, value: Column) -> Column:
     }[kind]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body has it, within functions of arrays too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, fold, zero: int = 0) -> Column:
+    """The running fold (a sum or a maximum) of an array of int, RUN values at a time, so that arrays aren't copied for each value."""
+    empty, at = F.from_json(F.lit("[]"), "array<int>"), lambda x: x.cast("int").alias("at")
+
+    def along(part, first):
+        """The fold after each value of a short array."""
+        step = lambda s, x: let(fold(s["at"], x), lambda y: F.struct(F.concat(s["out"], F.array(y)).alias("out"), at(y)))
+        return F.aggregate(part, F.struct(empty.alias("out"), at(first)), step)["out"]
+
+    def whole(v):
+        starts = F.sequence(F.lit(0), F.size(v) - 1, F.lit(RUN))
+        sums = F.transform(starts, lambda b: F.aggregate(F.slice(v, b + 1, F.lit(RUN)), F.lit(zero), lambda s, x: fold(s, x).cast("int")))
+        carry = let(sums, lambda t: F.concat(F.array(F.lit(zero)), along(t, F.lit(zero))))
+        return let(carry, lambda c: F.flatten(F.transform(starts, lambda b, i: along(F.slice(v, b + 1, F.lit(RUN)), F.get(c, i)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(empty))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost matches that don't overlap: array of (start, end, value). Gaps and matches alternate, so lengths give places."""
+    """Leftmost matches that don't overlap: array of (start, end, value, before, after). Gaps and matches alternate, so running sums of
+    their lengths give places. before has up to NEAR characters, back to the match before at most; after has 4, up to the match
+    behind. The time grows with the text and its matches, not with their product."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), v.alias("value")))
-    none = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(state, p):
-        start = state["at"] + p["gap"]
-        end = start + F.length(p["value"])
-        return F.struct(F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("out"), end.alias("at"))
+    def placed(s, ends):
+        def one(v, i):
+            # coalesce: the first match has none before it
+            back = F.concat(F.coalesce(F.get(s["found"], i - 1), F.lit("")), F.get(s["gaps"], i))
+            ahead = F.concat(F.get(s["gaps"], i + 1), F.coalesce(F.get(s["found"], i + 1), F.lit("")))
+            return F.struct(F.get(ends, 2 * i).alias("start"), F.get(ends, 2 * i + 1).alias("end"), v.alias("value"), F.right(back, F.lit(NEAR)).alias("before"), F.left(ahead, F.lit(4)).alias("after"))
+
+        return F.transform(s["found"], one)
 
-    zero = F.struct(F.coalesce(none, F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")).alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(pairs, zero, step)["out"]
+    lengths = lambda s: F.flatten(F.transform(s["found"], lambda v, i: F.array(F.length(F.get(s["gaps"], i)), F.length(v))))
+    return let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda s: let(running(lengths(s), lambda a, x: a + x), lambda ends: placed(s, ends)))
 
 
 def features(kind: str, value: Column, before: Column, after: Column) -> list[Column]:
@@ -103,11 +131,6 @@ def features(kind: str, value: Column, before: Column, after: Column) -> list[Co
 N_FEATURES = 17
 
 
-def _context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    lo = F.greatest(start - NEAR, F.lit(0))
-    return F.substring(text, lo + 1, start - lo), F.substring(text, end + 1, F.lit(4))
-
-
 def snippets(spark: SparkSession, n: int = SNIPPETS) -> DataFrame:
     """(id, kind, text, y): written by rule from hashes of the id, half of them look-alikes."""
     h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**12))
@@ -147,7 +170,7 @@ def snippets(spark: SparkSession, n: int = SNIPPETS) -> DataFrame:
 def _proposed(kind: str, text: Column) -> Column:
     """Proposals of a kind with their features: array of (start, end, x)."""
     def one(m):
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array(*features(kind, m["value"], *_context(text, m["start"], m["end"]))).alias("x"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array(*features(kind, m["value"], m["before"], m["after"])).alias("x"))
 
     return F.transform(matches(text, PROPOSALS[kind]), one)
 
@@ -199,12 +222,30 @@ def _stands(kind: str):
     return lambda m: valid(kind, m["value"])
 
 
-def _beats(c: Column, first: bool):
-    """Whether another kind's proposal overlaps c and scores higher (or as high, and its kind is listed first)."""
-    def test(b):
-        return (b["start"] < c["end"]) & (c["start"] < b["end"]) & ((b["s"] > c["s"]) | ((b["s"] == c["s"]) & F.lit(first)))
+def _free(taken: Column, scored: Column) -> Column:
+    """Proposals that meet no taken span: of all spans that begin before a proposal ends, none ends after it begins."""
+    whole = lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("taken"), b["end"].alias("reach"), F.lit(0.0).alias("s"), F.lit(0).alias("kind"), b["start"].alias("start"))
+    tried = lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("taken"), F.lit(0).alias("reach"), c["s"].alias("s"), c["kind"].alias("kind"), c["start"].alias("start"))
+    events = F.array_sort(F.concat(F.transform(taken, whole), F.transform(scored, tried)))
+
+    def clear(e):
+        marked = lambda reach: F.transform(e, lambda x, i: F.struct(x["start"].alias("start"), x["at"].alias("end"), x["s"].alias("s"), x["kind"].alias("kind"), ((x["taken"] == 0) & (F.get(reach, i) <= x["start"])).alias("free")))
+        return F.filter(let(running(F.transform(e, lambda x: x["reach"]), F.greatest), marked), lambda x: x["free"])
 
-    return test
+    return let(events, clear)
+
+
+def _unbeaten(free: Column) -> Column:
+    """Proposals that overlap none of another kind that scores higher (or as high, and its kind is listed first)."""
+    def best(m):
+        def beaten(c, i):
+            near = F.slice(m, F.greatest(i + 1 - AROUND, F.lit(1)), F.lit(2 * AROUND + 1))
+            better = lambda d: (d["kind"] != c["kind"]) & (d["start"] < c["end"]) & (c["start"] < d["end"]) & ((d["s"] > c["s"]) | ((d["s"] == c["s"]) & (d["kind"] < c["kind"])))
+            return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.exists(near, better).alias("beaten"))
+
+        return F.filter(F.transform(m, beaten), lambda c: ~c["beaten"])
+
+    return let(F.array_sort(free), best)
 
 
 def spans(docs: DataFrame, model: dict) -> DataFrame:
@@ -223,13 +264,20 @@ def spans(docs: DataFrame, model: dict) -> DataFrame:
         scored = F.expr(f"filter(transform(try_{kind}, c -> named_struct('start', c.start, 'end', c.end, 's', transform(array(c.x), x -> {model['sql']})[0])), c -> c.s > {model['limits'][kind]}D)")
         out = out.withColumn(f"scored_{kind}", scored)
     # What meets a base span of any kind is not added again, nor what meets a better proposal of another kind.
-    out = out.withColumn("taken", F.concat(*(F.col(f"base_{k}") for k in KINDS)))
-    meets = lambda c: lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    def of(i):
+        return lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["s"].alias("s"), F.lit(i).alias("kind"))
+
+    def of_kind(i):
+        return lambda c: c["kind"] == i
+
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,s:double,kind:int>>")
+    tried = F.concat(*(F.coalesce(F.transform(F.col(f"scored_{k}"), of(i)), none) for i, k in enumerate(KINDS)))
+    taken = F.concat(*(F.col(f"base_{k}") for k in KINDS))
+    added = let(tried, lambda t: F.when(F.size(t) > 0, _unbeaten(_free(taken, t))))
+    out = out.withColumn("added", added)
     for i, kind in enumerate(KINDS):
-        others = [k for k in KINDS if k != kind]
-        better = lambda c, i=i, others=others: [F.coalesce(F.exists(f"scored_{k}", _beats(c, KINDS.index(k) < i)), F.lit(False)) for k in others]
-        clear = F.filter(f"scored_{kind}", lambda c: ~F.exists("taken", meets(c)) & ~reduce(Column.__or__, better(c)))
-        out = out.withColumn(f"more_{kind}", F.coalesce(F.transform(clear, pair), nothing))
+        own = F.transform(F.filter("added", of_kind(i)), pair)
+        out = out.withColumn(f"more_{kind}", F.coalesce(own, nothing))
     return out.select("doc_id", *(f"{w}_{k}" for k in KINDS for w in ("base", "more")))
 
 
@@ -237,21 +285,11 @@ def _named(kind: str):
     return lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string"))
 
 
-def _tagged(kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))
-
-
 def _listed(prefixes: tuple[str, ...]) -> Column:
     parts = [F.transform(F.array_sort(F.concat(*(F.col(f"{p}_{k}") for p in prefixes))), _named(k)) for k in KINDS]
     return F.array_join(F.concat(*parts), ",")
 
 
-def redact(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and spans as one array of (start, end, kind), by start, for masking."""
-    tagged = [F.transform(F.col(f"{w}_{k}"), _tagged(k)) for k in KINDS for w in ("base", "more")]
-    return spans(docs, model).select("doc_id", F.array_sort(F.concat(*tagged)).alias("spans"))
-
-
 _fitted: dict[int, dict] = {}
 
 
