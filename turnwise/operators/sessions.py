@@ -12,15 +12,13 @@ from turnwise.operators import scan
 CALIBRATION, FACTOR, MIC_FLOOR, SYSTEM_LIMIT, STOP, POLL = 3.0, 4.0, 1e-3, 5e-4, 45.0, 0.25
 
 
-def upper_median(x: Column) -> Column:
-    """The upper of the middle two for even counts, unlike median() and percentile_disc(0.5)."""
-    return F.get(F.sort_array(F.collect_list(x)), F.floor(F.count(x) / 2).cast("int"))
-
-
 def watchdog_thresholds(blocks: DataFrame, poll: float = POLL, calibration: float = CALIBRATION) -> DataFrame:
     """session_id and thr from the first blocks of each session; sessions shorter than the calibration have none."""
     n = math.ceil(calibration / poll)
-    return blocks.where(F.col("i") < n).groupBy("session_id").agg(F.count("*").alias("n"), F.greatest(upper_median(F.col("mic")) * FACTOR, F.lit(MIC_FLOOR)).alias("thr")).where(F.col("n") == n).select("session_id", "thr")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("mic"))
+    first = blocks.where(F.col("i") < n).withColumn("_r", place)  # n rows a session
+    upper = F.max(F.when(F.col("_r") == n // 2 + 1, F.col("mic")))
+    return first.groupBy("session_id").agg(F.count("*").alias("n"), F.greatest(upper * FACTOR, F.lit(MIC_FLOOR)).alias("thr")).where(F.col("n") == n).select("session_id", "thr")
 
 
 def silence_runs(blocks: DataFrame, poll: float = POLL, calibration: float = CALIBRATION, span: int | None = None) -> DataFrame:

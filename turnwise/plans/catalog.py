@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
-from turnwise.operators import intervals, segments, sessions, signal, spectral
-from turnwise.plans import recordings, summaries
+from turnwise.operators import intervals, segments, selection, sessions, signal, spectral
+from turnwise.plans import models, recordings, summaries
 from turnwise.sources import recordings as files
 from turnwise.sources import views as V
 
@@ -570,6 +570,23 @@ def _(spark, d):
     return sessions.ordered_turns(t).withColumn("end", _r(F.col("end")))
 
 
+@query("smooth_turns", """with t as (select user_id as session_id, event_id % 50 * 1e0 as start, event_id % 50 + value / 20 as "end", (event_id % 3)::int as speaker from events),
+g as (select *, coalesce((start - max("end") over (partition by session_id, speaker order by start, "end" rows between unbounded preceding and 1 preceding) >= 0.5e0)::int, 0) as new from t where "end" >= start),
+p as (select *, sum(new) over (partition by session_id, speaker order by start, "end" rows between unbounded preceding and current row) as part from g),
+m as (select session_id, speaker, min(start) as start, max("end") as "end" from p group by session_id, speaker, part having max("end") - min(start) >= 0.7e0)
+select session_id, (row_number() over (partition by session_id order by start, "end", speaker) - 1)::int as turn_idx, start, round("end", 6) as "end", speaker from m""")
+def _(spark, d):
+    e, place = V.table(spark, d, "events"), F.col("event_id") % 50
+    t = e.select(F.col("user_id").alias("session_id"), (place * 1.0).alias("start"), (place + F.col("value") / 20).alias("end"), (F.col("event_id") % 3).cast("int").alias("speaker"))
+    return models.smooth_turns(t, 0.7, 0.5).withColumn("end", _r(F.col("end")))
+
+
+@query("session_medians", "select user_id, median(value) as median, list_sort(list(value))[(count(*) // 2 + 1)::int] as upper_median from events group by 1")
+def _(spark, d):
+    e = V.table(spark, d, "events")
+    return selection.median(e, "user_id", "value").join(selection.upper_median(e, "user_id", "value"), "user_id")
+
+
 @query("drift_steps", f"with {_POINTS}, b as (select *, coalesce((abs(d - lag(d) over (partition by session_id order by t)) > 8)::int, 0) as new from points) select session_id, sum(new)::bigint as n_steps from b group by 1")
 def _(spark, d):
     return sessions.step_count(_points(spark, d), 8.0)

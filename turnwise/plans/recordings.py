@@ -35,7 +35,7 @@ def clean_microphone(mic: DataFrame, system: DataFrame, rate: int, limit: float
 
 def optional(stage: Callable[[], DataFrame], otherwise: DataFrame, name: str) -> DataFrame:
     """What stage() plans, or otherwise, with the error logged, if it can't be planned (a model that is missing, say). Errors
-    of running tasks aren't seen here; functions over texts have summaries.guarded for those."""
+    of running tasks aren't seen here: models.table_function and, for texts, summaries.guarded keep those by session or text."""
     try:
         return stage()
     except Exception:
@@ -43,16 +43,22 @@ def optional(stage: Callable[[], DataFrame], otherwise: DataFrame, name: str) ->
         return otherwise
 
 
-def process_recordings(mic: DataFrame, system: DataFrame, rate: int, transcribe: Callable[[DataFrame], DataFrame], diarize: Callable[[DataFrame], DataFrame] | None = None, use_aec: bool = True, labeled: bool = True, **knobs) -> DataFrame:
+def process_recordings(mic: DataFrame, system: DataFrame, rate: int, transcribe: Callable[[DataFrame], DataFrame], diarize: Callable | None = None, use_aec: bool = True, labeled: bool = True, **knobs) -> DataFrame:
     """session_id and transcript of every session of the two tracks (session_id, idx, x).
 
-    transcribe makes segments (session_id, seq, start, end, text, no_speech_prob, compression_ratio) of a track, diarize turns
-    (session_id, turn_idx, start, end, speaker) of the system's; if that can't be had, its segments stay unlabelled."""
+    transcribe makes segments (session_id, seq, start, end, text, no_speech_prob, compression_ratio) of a track; diarize makes turns
+    (session_id, turn_idx, start, end, speaker) of the system's, or a pair of turns and failed sessions, as models.diarizer does.
+    Segments of sessions that it fails on, or all if it can't be had, stay unlabelled. A session without samples in one track is
+    neither cancelled nor left out."""
     clean = clean_microphone(mic, system, rate, **knobs)[0] if use_aec else mic
     own, other = (segments.drop_hallucinations(transcribe(track)) for track in (clean, system))
     plain = other.withColumn("speaker", F.lit(None).cast("string"))
     if diarize:
-        named = lambda: intervals.assign_speakers(other, diarize(system)).withColumn("speaker", F.when(F.col("speaker").isNotNull(), T.speaker_label(F.col("speaker"))))
+        def named():
+            found = diarize(system)
+            turns = found[0] if isinstance(found, tuple) else found
+            return intervals.assign_speakers(other, turns).withColumn("speaker", F.when(F.col("speaker").isNotNull(), T.speaker_label(F.col("speaker"))))
+
         plain = optional(named, plain, "diarizing")
     spoken = durable(segments.add_segments(own.withColumn("speaker", F.lit(None).cast("string")), plain))
     kept = intervals.drop_bleed(spoken, lambda a, b: T.text_ratio(a, b) >= 0.6, least=0.6)

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from turnwise.operators import sessions as S
 from turnwise.operators.signal import sinc_kernel
 from turnwise.sources.wav import wav_bytes
+from turnwise.streaming.status import Watchdog
 
 
 def watchdog_stream(blocks: DataFrame, stop: float = S.STOP, poll: float = S.POLL, calibration: float = S.CALIBRATION) -> DataFrame:
@@ -24,21 +25,14 @@ def watchdog_stream(blocks: DataFrame, stop: float = S.STOP, poll: float = S.POL
     need = math.ceil(calibration / poll)
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        heard, thr, silence, armed, fired = state.get if state.exists else ([], -1.0, 0.0, False, False)
-        heard, out = list(heard), []
+        *kept, fired = state.get if state.exists else (None, False)
+        dog, out = Watchdog(need, poll, tuple(kept) if state.exists else None), []
         for row in pd.concat(list(batches)).sort_values("i").itertuples():
-            if thr < 0:
-                heard.append(float(row.mic))
-                if len(heard) == need:
-                    thr, heard = max(sorted(heard)[need // 2] * S.FACTOR, S.MIC_FLOOR), []
-                continue
-            active = row.mic > thr or (row.system is not None and row.system > S.SYSTEM_LIMIT)
-            armed = armed or active
-            silence = 0.0 if active or not armed else silence + poll
-            if not fired and silence >= stop > 0:
+            dog.update(row.mic, None if pd.isna(row.system) else row.system)
+            if not fired and dog.silence >= stop > 0:
                 fired = True
                 out.append((key[0], int(row.i)))
-        state.update((heard, thr, silence, armed, fired))
+        state.update((*dog.state(), fired))
         yield pd.DataFrame(out, columns=["session_id", "stop_i"])
 
     return blocks.groupBy("session_id").applyInPandasWithState(update, "session_id long, stop_i long", "heard array<double>, thr double, silence double, armed boolean, fired boolean", "append", GroupStateTimeout.NoTimeout)
@@ -150,6 +144,8 @@ def recordings(spark, path: str, rate: int) -> DataFrame:
 
 
 def with_status(blocks: DataFrame, name: str = "status") -> DataFrame:
-    """blocks (mic, system: levels), observed: each micro-batch reports its rows, last levels and loudest ones to query listeners."""
-    last = lambda c: F.max_by(c, "i").alias(f"{c}_rms")
-    return blocks.observe(name, F.count(F.lit(1)).alias("blocks"), last("mic"), last("system"), F.max("mic").alias("mic_peak"), F.max("system").alias("system_peak"))
+    """blocks (mic, system: levels; perhaps state and silence, as states_stream gives them), observed: each micro-batch reports its
+    rows, last levels and loudest ones to query listeners."""
+    last = lambda c, to: F.max_by(c, "i").alias(to)
+    more = [last(c, c) for c in ("state", "silence") if c in blocks.columns]
+    return blocks.observe(name, F.count(F.lit(1)).alias("blocks"), last("mic", "mic_rms"), last("system", "system_rms"), F.max("mic").alias("mic_peak"), F.max("system").alias("system_peak"), *more)
