@@ -460,23 +460,59 @@ def test_op6_keep_judges_rows(spark):
     assert simhash_dedup.keep(df.limit(0)).count() == 0
 
 
-def test_op4_recall_of_the_blocks():
-    """Of items and windows whose similarity is 0.8 to 0.86, the blocks find 99 %; of unrelated ones they pass 1 in 5."""
-    rng, hit, total, passed, pairs = np.random.default_rng(3), 0, 0, 0, 0
+def _near(rng, item):
+    """A window that shares 0.89 of an item's shingles: 0.8 of the union or little more."""
+    window, changed = item.copy(), int(len(item) * 0.11)
+    window[rng.choice(len(item), changed, replace=False)] = rng.integers(0, 2**63, changed, dtype=np.uint64)
+    return window
+
+
+def test_op4_recall_of_the_radius():
+    """Of items and windows whose similarity is 0.8 to 0.86, 99 % lie within the radius, and all of these are found through the blocks."""
+    rng, hit, total = np.random.default_rng(3), 0, 0
     for n in (12, 20, 40, 80, 200):
-        for _ in range(400):
-            item = rng.integers(0, 2**63, n, dtype=np.uint64)
-            window = item.copy()
-            changed = int(n * 0.11)  # both share 0.89 n: 0.8 of the union
-            window[rng.choice(n, changed, replace=False)] = rng.integers(0, 2**63, changed, dtype=np.uint64)
-            assert 0.8 <= decontaminate.similarity(Counter(item.tolist()), Counter(window.tolist())) < 0.87
-            a, b, c = (decontaminate.simhash(x, np.array([0]), n) for x in (item, window, rng.integers(0, 2**63, n, dtype=np.uint64)))
-            size = {"prints": a, "blocks": a.view(np.uint16).reshape(-1, 4), "near": np.zeros((4, 1 << 16), bool)}
-            for k in range(4):
-                size["near"][k, size["blocks"][0, k] ^ decontaminate._FLIPS] = True
-            total, hit = total + 1, hit + len(decontaminate.Index.candidates(size, b)[0])
-            pairs, passed = pairs + 1, passed + size["near"][np.arange(4), c.view(np.uint16)].any()
-    assert hit >= 0.99 * total and passed < 0.2 * pairs, (hit, passed, total)
+        items = [rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(400)]
+        windows = [_near(rng, x) for x in items]
+        assert all(0.8 <= decontaminate.similarity(Counter(x.tolist()), Counter(y.tolist())) < 0.87 for x, y in zip(items, windows, strict=True))
+        a, b = (np.concatenate([decontaminate.simhash(x, np.array([0]), n) for x in xs]) for xs in (items, windows))
+        far = np.bitwise_count(a ^ b).sum(1)
+        found = [set(zip(*(c.tolist() for c in decontaminate.Index.candidates({"prints": a, "lists": lists}, b)[:2]), strict=True)) for lists in (None, decontaminate.posting_lists(a))]
+        assert found[0] == found[1] == {(w, i) for w in range(400) for i in np.flatnonzero(np.bitwise_count(a ^ b[w]).sum(1) <= decontaminate.RADIUS).tolist()}
+        total, hit = total + 400, hit + sum((k, k) in found[1] for k in range(400))
+        assert ((far <= decontaminate.RADIUS) == [(k, k) in found[1] for k in range(400)]).all()
+    assert hit >= 0.99 * total and sum(r + 1 for r in decontaminate.REACH) == decontaminate.RADIUS + 1, (hit, total)
+
+
+@pytest.mark.parametrize("n", [1000, 10_000])
+def test_op4_prunes_among_many_items(n):
+    """Unrelated windows against n items of one length: few are compared by their shingles, and posting lists read one item in seven."""
+    rng = np.random.default_rng(n)
+    items, windows = (rng.integers(0, 2**64, (k, 2), dtype=np.uint64) for k in (n, 2000))
+    windows[:200] = items[:200] ^ np.uint64(0x10100F0)
+    size = {"prints": items, "lists": decontaminate.posting_lists(items)}
+    win, item, _ = decontaminate.Index.candidates(size, windows)
+    assert {(w, i) for w, i in zip(win.tolist(), item.tolist(), strict=True)} >= {(k, k) for k in range(200)}
+    assert len(set(win[win >= 200].tolist())) < 0.01 * 1800
+    read = len(decontaminate.looked_up(size["lists"], windows[200:400], n)[0]) / (200 * n)
+    assert read < 1 / 6, read
+
+
+def test_op4_items_of_one_length_through_the_lists(spark, monkeypatch):
+    """Many items of one length that share their first words: the same matches with and without posting lists."""
+    rng = random.Random(6)
+    head = [rng.choice(VOCAB) for _ in range(6)]
+    items = [(k, " ".join(head + [rng.choice(VOCAB) for _ in range(24)])) for k in range(300)]
+    texts = [" ".join([rng.choice(VOCAB) for _ in range(40)] + items[k][1].split() + [rng.choice(VOCAB)]) for k in range(0, 300, 10)] + [" ".join(head + [rng.choice(VOCAB) for _ in range(60)]) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most in (10**9, 1):
+        index = (monkeypatch.setattr(decontaminate, "LONG", most), decontaminate.Index(items))[1]
+        assert (index.sizes[30]["lists"] is None) == (most > 1)
+        found.append(sorted(index.matches(pa.array(texts))))
+    assert found[0] == found[1] and {(d, i) for d, i, *_ in found[0]} == {(d, 10 * d) for d in range(30)}
+    monkeypatch.undo()
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, benchmark).collect()} == {(d, 10 * d) for d in range(30)}
 
 
 def test_op1_families(spark):

@@ -4,10 +4,14 @@ Words are lower-cased runs of letters and digits; punctuation parts them. An ite
 of L words (a shorter document is one window). Both are multisets of shingles of WIDTH words (of L, where an item is
 shorter), and their weighted similarity is the sum of the smaller counts over the sum of the larger; THRESHOLD or more
 is a match. A window that shares no shingle with an item has similarity 0, so only windows over a shared shingle are
-fingerprinted. Fingerprints meet the items' through BLOCKS blocks of 16 bits: within RADIUS bits at least one block differs
-by NEAR = RADIUS // BLOCKS or less. Each block has an index of the values that lie so near to an item's, so a window is
-looked up once a block, and of unrelated windows 1 in 5 passes an item. RADIUS is three and a quarter standard deviations
-beyond the distance expected at THRESHOLD; the recall at THRESHOLD is tested.
+fingerprinted, with BITS bits. Fingerprints meet the items' through 8 blocks of 16 bits: of two within RADIUS bits, some block
+differs by no more than its share of REACH (these are chosen so that more than RADIUS bits differ if every block exceeds
+its own). A length with many items has posting lists: for each block value the items that have it. A window looks up all
+values within a block's reach, which reads one item in seven, and what it finds is measured by all bits. Lists of fewer than
+LONG items are measured as they are, which is cheaper than the look-ups; either way all items within RADIUS are found and
+no other, and only these are compared by their shingles: of unrelated windows fewer than one in a thousand, with a thousand
+items of one length. RADIUS is three and a quarter standard deviations beyond the distance expected at THRESHOLD; the
+recall at THRESHOLD is tested.
 
 The items come to the tasks in slices of about SLICE bytes, one pass over the documents a slice; a Python worker indexes a
 slice once. The driver holds the items' texts, no more. Null text counts as empty; an item without words matches nothing,
@@ -25,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from turnwise.llm.common import PUNCTUATION, Words, runs, shingles
+from turnwise.llm.common import PUNCTUATION, Words, mix, runs, shingles
 
-WIDTH, THRESHOLD, BLOCKS, RADIUS, SLICE = 5, 0.8, 4, 19, 4 << 20
-NEAR = RADIUS // BLOCKS
+WIDTH, THRESHOLD, BITS, RADIUS, SLICE = 5, 0.8, 128, 33, 4 << 20
+#: Bits by which a block may differ: sum of (reach + 1) is RADIUS + 1, so that one block at least keeps within its own.
+REACH = (4, 4, 3, 3, 3, 3, 3, 3)
+#: Items of one length that are worth posting lists; pairs that are measured at once.
+LONG, PAIRS = 2048, 1 << 20
 _FILTER = 1 << 22
-#: Every 16-bit value with NEAR ones or fewer: a block's neighbours are its value with one of these flipped.
-_FLIPS = np.array([sum(1 << b for b in bits) for k in range(NEAR + 1) for bits in itertools.combinations(range(16), k)], np.uint16)
+#: Every 16-bit value with so many ones or fewer: a block's neighbours are its value with one of these flipped.
+_FLIPS = {r: np.array([sum(1 << b for b in bits) for k in range(r + 1) for bits in itertools.combinations(range(16), k)], np.uint16) for r in set(REACH)}
 #: Words of one stretch that are fingerprinted at once.
 _STRETCH = 1 << 14
 
@@ -41,12 +48,13 @@ def _words(texts: pa.Array) -> Words:
 
 
 def simhash(rows: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """64-bit SimHash of the multisets rows[s : s + size]."""
-    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.zeros((len(rows) + 1, 64), np.int32)
+    """SimHash of the multisets rows[s : s + size], BITS bits as 64-bit numbers."""
+    wide = np.stack([rows, *(mix(rows + np.uint64(k)) for k in range(1, BITS // 64))], 1)
+    bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+    total = np.zeros((len(rows) + 1, BITS), np.int32)
     np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
     ones = total[starts + size] - total[starts]
-    return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.uint64)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -54,8 +62,34 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / max(1, a.total() + b.total() - both)
 
 
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(prints).view(np.uint16).reshape(len(prints), -1)
+
+
+def posting_lists(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block: where each value's items begin, and the items by value."""
+    lists = []
+    for values in _blocks(prints).T:
+        order = np.argsort(values, kind="stable").astype(np.int32)
+        lists.append((np.searchsorted(values[order], np.arange((1 << 16) + 1)).astype(np.int32), order))
+    return lists
+
+
+def looked_up(lists: list[tuple[np.ndarray, np.ndarray]], prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) that agree in some block to within its reach, once each."""
+    keys, blocks = [], _blocks(prints)
+    for (begins, order), reach, values in zip(lists, REACH, blocks.T, strict=True):
+        near = (values[:, None] ^ _FLIPS[reach]).astype(np.int64)
+        size = begins[near + 1] - begins[near]
+        win = np.repeat(np.arange(len(prints)), size.sum(1))
+        flat, count = begins[near].ravel(), size.ravel()
+        at = np.repeat(flat - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        keys.append(win * n + order[at])
+    return np.divmod(np.unique(np.concatenate(keys)), n)
+
+
 class Index:
-    """Items by length: their shingles, fingerprints and blocks; and the places of every shingle."""
+    """Items by length: their shingles, fingerprints and, where there are many, posting lists; and the lengths of the items that hold a shingle."""
 
     def __init__(self, items: list[tuple]):
         items = [i for i in items if i[1]]
@@ -84,23 +118,23 @@ class Index:
             self.widths[width] = keys, seen, {x: sorted(set(v)) for (k, x), v in places.items() if k == width}
         for size in self.sizes.values():
             size["prints"] = np.array(size["prints"], np.uint64)
-            size["blocks"] = size["prints"].view(np.uint16).reshape(-1, BLOCKS)
-            size["near"] = np.zeros((BLOCKS, 1 << 16), bool)
-            for b in range(BLOCKS):
-                size["near"][b, (size["blocks"][:, b, None] ^ _FLIPS).ravel()] = True
+            size["lists"] = posting_lists(size["prints"]) if len(size["prints"]) >= LONG else None
 
     @staticmethod
     def candidates(size: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, differing bits) of the fingerprints within RADIUS, found by way of the blocks."""
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-        win = np.flatnonzero(size["near"][np.arange(BLOCKS), blocks].any(1))
-        near = np.zeros((len(win), len(size["prints"])), bool)
-        for b in range(BLOCKS):
-            near |= np.bitwise_count(blocks[win, b][:, None] ^ size["blocks"][None, :, b]) <= NEAR
-        at, item = np.nonzero(near)
-        far = np.bitwise_count(prints[win[at]] ^ size["prints"][item])
-        use = far <= RADIUS
-        return win[at[use]], item[use], far[use]
+        """(window, item, differing bits) of the fingerprints within RADIUS."""
+        items, lists = size["prints"], size["lists"]
+        step, found = max(1, PAIRS // len(items)), []
+        for lo in range(0, len(prints), step):
+            some = prints[lo : lo + step]
+            if lists is None:
+                win, item = np.divmod(np.arange(len(some) * len(items)), len(items))
+            else:
+                win, item = looked_up(lists, some, len(items))
+            far = np.bitwise_count(some[win] ^ items[item]).sum(1, dtype=np.int64)
+            use = far <= RADIUS
+            found.append((win[use] + lo, item[use], far[use]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
     def matches(self, texts: pa.Array) -> list[tuple[int, object, int, int, int, float]]:
         """(text, item, first word, words, differing bits, similarity): the best window of each item in each text."""
