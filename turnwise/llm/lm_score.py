@@ -9,8 +9,8 @@ the shared folder, a row a unit, so that its number stands for the same document
 unit sends its distinct n-grams (steps of ascending hashes) with their counts to hash buckets, a bucket sums them and
 answers every unit, so each shuffle carries distinct n-grams of a unit rather than tokens, and a common n-gram costs one
 entry a unit. Answers meet the unit's documents by unit. Only N, V and a bounded histogram for the weights reach the
-driver. Words keep 64 bits of their hash; pairs keep as many bytes as hold SPARE bits more than the corpus has bytes, so
-that a pair meets another's count with the same small probability (2^-SPARE at most) at every size.
+driver. Words and pairs are
+known by 64 bits of a hash, at every size.
 
 Null text counts as empty: one end token. A null doc_id counts as held out (crc32 of no text is 0). Repeated rows count
 and score as documents of their own; an empty table gives no rows; other columns are not read."""
@@ -30,7 +30,6 @@ UNIT, BUCKET = 1 << 20, 2 << 20
 ALPHA = 0.1
 _END = np.uint64(0x5EED0FE27D)
 _CONTEXT = np.uint64(0xD6E8FEB86659FD93)
-SPARE = 16
 #: The weights' histogram: steps of a quarter octave, at most LEVELS of them each way, for at most 41 buckets.
 STEPS, LEVELS, BUCKETS, ROUNDS = 4, 160, 41, 60
 
@@ -42,7 +41,7 @@ def remainder(doc_ids) -> np.ndarray:
 class Unit:
     """Tokens of some texts: `words` (distinct hashes, ascending), `pairs` (likewise), each token's place in either, its context's, and its text."""
 
-    def __init__(self, texts: pa.Array, width: int = 8):
+    def __init__(self, texts: pa.Array):
         w = Words(texts, lower=True)
         h = np.insert(w.hashes(), w.first[1:], _END)
         self.lengths = np.diff(w.first) + 1
@@ -51,7 +50,7 @@ class Unit:
         end, self.word = self.word[-1], self.word[:-1]
         self.context = np.concatenate([[end], self.word[:-1]])
         codes, pair = np.unique(self.context * len(self.words) + self.word, return_inverse=True)
-        hashes = mix(self.words[codes // len(self.words)] * _CONTEXT + self.words[codes % len(self.words)]) >> np.uint64(64 - 8 * width)
+        hashes = mix(self.words[codes // len(self.words)] * _CONTEXT + self.words[codes % len(self.words)])
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -61,11 +60,6 @@ class Unit:
         return int((np.bitwise_xor.reduce(self.words) ^ np.bitwise_xor.reduce(self.pairs)).view(np.int64))
 
 
-def pair_bytes(size: int) -> int:
-    """Bytes of a pair's hash in a corpus of `size` bytes."""
-    return min(8, max(6, -(-(max(size, 1).bit_length() + SPARE) // 8)))
-
-
 def _stored(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
@@ -119,15 +113,15 @@ def _units(batches):
             yield number, _restored(raw.as_buffer())
 
 
-def _questions(buckets: int, width: int):
+def _questions(buckets: int):
     def ask(batches):
         for number, rows in _units(batches):
-            unit, fold = Unit(rows.column(1), width), remainder(rows.column(0).to_pylist())
+            unit, fold = Unit(rows.column(1)), remainder(rows.column(0).to_pylist())
             out = {k: [] for k in ("bucket", "unit", "check", "n", "hashes", "train", "fold")}
             sides = []
-            for hashes, place, bits in ((unit.words, unit.word, 64), (unit.pairs, unit.pair, 8 * width)):
+            for hashes, place in ((unit.words, unit.word), (unit.pairs, unit.pair)):
                 counts = [np.bincount(place, (use[unit.text]).astype(float), len(hashes)).astype("<u4") for use in (fold != HELD_OUT, fold == FOLD)]
-                at = ((hashes >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+                at = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 sides.append((hashes, counts, np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))))
             check = unit.check()
             for b in range(buckets):
@@ -137,7 +131,7 @@ def _questions(buckets: int, width: int):
                     out["unit"].append(number)
                     out["check"].append(check)
                     out["n"].append(cut[0].stop - cut[0].start)
-                    out["hashes"].append(_planes(_steps(sides[0][0][cut[0]])) + _planes(_steps(sides[1][0][cut[1]]), width))
+                    out["hashes"].append(_planes(_steps(sides[0][0][cut[0]])) + _planes(_steps(sides[1][0][cut[1]])))
                     for k, name in enumerate(("train", "fold")):
                         out[name].append(_planes(np.concatenate([s[1][k][c] for s, c in zip(sides, cut, strict=True)]), 4))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -149,10 +143,10 @@ def _questions(buckets: int, width: int):
 _ANSWER = "bucket int, unit bigint, check bigint, n int, train binary, fold binary, v bigint, total bigint, fold_total bigint"
 
 
-def _answers(group: pd.DataFrame, width: int) -> pd.DataFrame:
+def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """Sums of a bucket, dealt back to each unit in its own order; a last row has the bucket's statistics."""
     n = group["n"].to_numpy()
-    hashes = [np.concatenate([np.cumsum(_joined(x[: 8 * m], m), dtype=np.uint64), np.cumsum(_joined(x[8 * m :], (len(x) - 8 * m) // width), dtype=np.uint64)]) for x, m in zip(group["hashes"], n, strict=True)]
+    hashes = [np.concatenate([np.cumsum(_joined(x[: 8 * m], m), dtype=np.uint64), np.cumsum(_joined(x[8 * m :], len(x) // 8 - m), dtype=np.uint64)]) for x, m in zip(group["hashes"], n, strict=True)]
     counts = {k: [_joined(x, len(x) // 4) for x in group[k]] for k in ("train", "fold")}
     out, stats = {k: [[None, None] for _ in n] for k in counts}, None
     for side in range(2):
@@ -173,9 +167,9 @@ def _answers(group: pd.DataFrame, width: int) -> pd.DataFrame:
     return pd.concat([rows.astype(object), last.astype(object)], ignore_index=True)
 
 
-def _met(rows: pa.RecordBatch, answers: pd.DataFrame, width: int):
+def _met(rows: pa.RecordBatch, answers: pd.DataFrame):
     """A unit's tokens with its answers: the unit, then (train, fold) counts of words and of pairs."""
-    unit = Unit(rows.column(1), width)
+    unit = Unit(rows.column(1))
     answers = answers.sort_values("bucket")
     if set(answers["check"]) != {unit.check()}:
         raise RuntimeError("a unit's answers belong to other documents")
@@ -219,18 +213,18 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = whole_text(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, width = max(8, -(-size // BUCKET)), pair_bytes(size)
+    buckets = max(8, -(-size // BUCKET))
     # Small row groups: a reader's batch of rows is cut at their ends, and a row here is a whole unit.
     units = durable(texts.mapInArrow(_cut, "unit bigint, fold boolean, rows binary"), "units", {"parquet.block.size": str(8 * UNIT)})
-    asked = units.select("unit", "rows").mapInArrow(_questions(buckets, width), "bucket int, unit bigint, check bigint, n int, hashes binary, train binary, fold binary")
-    answers = durable(asked.groupBy("bucket").applyInPandas(lambda group: _answers(group, width), _ANSWER), "counts")
+    asked = units.select("unit", "rows").mapInArrow(_questions(buckets), "bucket int, unit bigint, check bigint, n int, hashes binary, train binary, fold binary")
+    answers = durable(asked.groupBy("bucket").applyInPandas(_answers, _ANSWER), "counts")
     v, total, fold_total = (x or 0 for x in answers.agg(F.sum("v"), F.sum("total"), F.sum("fold_total")).first())
     replies = answers.where("unit is not null").select("bucket", "unit", "check", "n", "train", "fold")
 
     def spread(docs, answers):
         if not len(docs):
             return pd.DataFrame({k: [] for k in ("b", "k2", "k1", "n", "x2", "x1")})
-        unit, wt, wf, pt, pf = _met(_restored(docs["rows"].iloc[0]), answers, width)
+        unit, wt, wf, pt, pf = _met(_restored(docs["rows"].iloc[0]), answers)
         b, two, one = _ratios(unit, wt - wf, pt - pf, total - fold_total, v)
         level = [np.where(x > 0, np.clip(np.log2(np.maximum(x, 1e-30)) * STEPS + LEVELS / 4, 0, LEVELS), -1).astype(int) for x in (two, one)]
         return pd.DataFrame({"b": b, "k2": level[0], "k1": level[1], "n": 1, "x2": two, "x1": one}).groupby(["b", "k2", "k1"], as_index=False).sum()
@@ -243,7 +237,7 @@ def score(docs: DataFrame) -> DataFrame:
         if not len(docs):
             return pd.DataFrame({k: [] for k in names})
         rows = _restored(docs["rows"].iloc[0])
-        unit, wt, _, pt, _ = _met(rows, answers, width)
+        unit, wt, _, pt, _ = _met(rows, answers)
         b, two, one = _ratios(unit, wt, pt, total, v)
         p = (mixture[b] * np.stack([two, one, np.ones(len(two))], 1)).sum(1) / (v + 1)
         c, n, ids = wt[unit.word], len(rows), rows.column(0).to_pylist()
