@@ -132,7 +132,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """One row of each group stays: that of the smallest doc_id (null only where the group has no other), of its rows the one
-    whose columns hash least; of fully repeated rows one. Rows with a null doc_id are documents like any other."""
+    whose columns hash least; of fully repeated rows one (maps have no hash, so rows that differ in a map alone count as repeated). Rows with a null doc_id are documents like any other."""
     hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(*hashed).alias("h"))
     texts = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "h", F.coalesce("row.text", F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ residuals (16 * width bytes), places u8[], residuals u32[].
 Files are rows of a Parquet table (part, seq, file): Spark's commit protocol makes the write safe against lost
 executors and any store Spark writes to will do. Documents are range-partitioned by doc_id, so that part and seq follow
 ascending doc_id; a file closes at FILE_IDS ids, at a document's end. Ties of doc_id are put in order of a hash of their text, then the text.
-Null text encodes as the end id alone; a null doc_id sorts first and comes back as null; repeated rows are encoded each.
+Null text encodes as the end id alone; a null doc_id sorts first and comes back as null (so does -2^63, which stands for it in a file); repeated rows are encoded each.
 An empty table gives no files; other columns are not read."""
 
 import functools
