@@ -213,9 +213,9 @@ def test_recorder(spark, tmp_path):
     query = stateful.record_stream(stateful.align_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     query.processAllAvailable()
     query.stop()
-    (r,) = stateful.recordings(spark, str(tmp_path / "out"), 16000).collect()
-    rate, channels, a, b = wav.decode_wav(r.wav)
-    assert (r.session_id, rate, channels) == (4, 16000, 2) and np.allclose(a, mic, atol=2e-3) and np.allclose(b, np.pad(system, (0, 6)), atol=2e-3)
+    stateful.recordings(spark, str(tmp_path / "out"), str(tmp_path / "wav"), 16000)
+    rate, channels, a, b = wav.decode_wav((tmp_path / "wav" / "4.wav").read_bytes())
+    assert (rate, channels) == (16000, 2) and np.allclose(a, mic, atol=2e-3) and np.allclose(b, np.pad(system, (0, 6)), atol=2e-3)
 
 
 def test_wav_brought_down(spark, tmp_path):

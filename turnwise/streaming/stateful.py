@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnwise.operators import sessions as S
 from turnwise.operators.signal import sinc_kernel
-from turnwise.sources.wav import wav_bytes
+from turnwise.sources.recordings import write_tracks
 from turnwise.streaming.status import Watchdog
 
 
@@ -131,16 +131,15 @@ def frames_stream(packets: DataFrame, channels: int) -> DataFrame:
 
 
 def record_stream(aligned: DataFrame, path: str, checkpoint: str):
-    """Starts the recorder: align_stream's samples go to Parquet files by session as they come, each once; recordings() reads them."""
+    """Starts the recorder: align_stream's samples go to Parquet files by session as they come, each once; recordings() makes files of them. recordings.record_wav writes files at once, where the folder is mounted."""
     silent = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mic", "system")]  # an expression also makes plain rows of Arrow's, which the writer needs
     return aligned.select("session_id", "idx", *silent).writeStream.format("parquet").partitionBy("session_id").option("checkpointLocation", checkpoint).outputMode("append").start(path)
 
 
-def recordings(spark, path: str, rate: int) -> DataFrame:
-    """session_id and wav, the stereo file of each recorded session."""
+def recordings(spark, path: str, to: str, rate: int) -> None:
+    """Makes a stereo WAV file of each recorded session in the folder `to`; no row or task holds a session."""
     rows = spark.read.schema("idx long, mic double, system double, session_id long").parquet(path)
-    tracks = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "mic", "system"))).alias("t"))
-    return tracks.select("session_id", wav_bytes(F.col("t.mic"), F.col("t.system"), rate=rate).alias("wav"))
+    write_tracks(rows, to, rate)
 
 
 def with_status(blocks: DataFrame, name: str = "status") -> DataFrame:
