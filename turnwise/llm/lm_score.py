@@ -28,6 +28,8 @@ from turnwise.llm.common import Words, durable, mix, runs, whole_text
 FOLDS, HELD_OUT, FOLD = 10, 0, 1
 UNIT, BUCKET = 1 << 20, 2 << 20
 ALPHA = 0.1
+#: How hard units are compressed: they are written once and read twice.
+ZSTD = 6
 _END = np.uint64(0x5EED0FE27D)
 _CONTEXT = np.uint64(0xD6E8FEB86659FD93)
 #: The weights' histogram: steps of a quarter octave, at most LEVELS of them each way, for at most 41 buckets.
@@ -62,7 +64,7 @@ class Unit:
 
 def _stored(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD))) as to:
         to.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
