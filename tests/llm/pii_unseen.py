@@ -1,0 +1,41 @@
+"""Texts written by hand when op9's model was already there, by someone who had read its snippets but not its results on these:
+text and the spans a reader would add to the base ones. Read once for the README's figure; nothing was tuned on them."""
+
+TEXTS = [
+    ("For the keys, write to tom.baker (at) riverside.org or knock twice.", ["tom.baker (at) riverside.org"]),
+    ("Complaints: office at greenhill dot com, attention of the manager.", ["office at greenhill dot com"]),
+    ("Ask Nadia, nadia_k [at] posteo [dot] de, for the slides.", ["nadia_k [at] posteo [dot] de"]),
+    ("Our inbox is hello @ bakery.net and we read it daily.", ["hello @ bakery.net"]),
+    ("Bitte an karl.meier(at)verein.de schicken.", ["karl.meier(at)verein.de"]),
+    ("My cell is 646-555-0119, don't share it.", ["646-555-0119"]),
+    ("Ring the clinic on (020) 555-0144 before noon.", ["(020) 555-0144"]),
+    ("Fax: 0033 144 558812, attention Mme Petit.", ["0033 144 558812"]),
+    ("Appelez le 06 12 34 56 78 ce soir.", ["06 12 34 56 78"]),
+    ("Landlord: 312.555.0170 (evenings only).", ["312.555.0170"]),
+    ("Support line 1-800-555-0199 is open all week.", ["1-800-555-0199"]),
+    ("Reach the desk at 718-555-0102 ext. 44 please.", ["718-555-0102 ext. 44"]),
+    ("He gave the card 5500.0000.0000.0004 over the phone.", ["5500.0000.0000.0004"]),
+    ("American Express 378282246310005 was declined.", ["378282246310005"]),
+    ("Charge it to 3782 822463 10005, thanks.", ["3782 822463 10005"]),
+    ("Malware called home to 185[.]220[.]101[.]4 at night.", ["185[.]220[.]101[.]4"]),
+    ("The printer answers at fe80::1ff:fe23:4567:890a on this floor.", ["fe80::1ff:fe23:4567:890a"]),
+    ("We saw logins from 2001:db8:85a3:0:0:8a2e:370:7334 twice.", ["2001:db8:85a3:0:0:8a2e:370:7334"]),
+    ("Dinner at seven, bring 2 bottles and 12-14 plates.", []),
+    ("The train leaves at 10:45:30 from platform 9.", []),
+    ("Between 2019-04-01 and 2021-09-30 nothing changed.", []),
+    ("Invoice 2023-000-4417 is overdue by 30 days.", []),
+    ("The album sold 12 000 000 copies in 1999.", []),
+    ("Version 4.18.0.372 fixes the crash.", []),
+    ("ISBN 978-0-306-40615-7, second edition.", []),
+    ("Tracking number 9400110200881234567890 was scanned.", []),
+    ("She met him at the dot com party in June.", []),
+    ("Scores were 10-12, 14-16, 11-9 in the final.", []),
+    ("std::deque::begin is not the point here.", []),
+    ("The device 00:1a:2b:3c:4d:5e refused to pair.", []),
+    ("He bought 5 @ 3.50 and 10 @ 2.75 each.", []),
+    ("Order 5512-8843-1200 arrived broken.", []),
+    ("See sections 3.1.4.1 and 3.1.4.2 of the code.", []),
+    ("Population: 1 402 112 000 in that year.", []),
+    ("Part no. 4417 2209 1183 0047 is out of stock.", []),
+    ("It opened on 12/05/2018 and closed on 01/02/2020.", []),
+]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import html_pages
+import pii_unseen
 from turnwise.llm import common, crf_quality, decontaminate, html_extract, lm_score, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_files
 
 RNG = random.Random(4)
@@ -660,18 +661,30 @@ OTHER_TEXTS = [
 ]
 
 
-def test_op9_added_spans(spark):
-    """Precision and recall of what the method adds, on texts by another writer than the training's."""
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OTHER_TEXTS)], "doc_id long, text string")
+def _added(spark, texts):
+    """Spans added rightly, all added, and all wanted."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     right = added = wanted = 0
     for r in pii.spans(df, pii.model(spark)).collect():
-        text, want = OTHER_TEXTS[r.doc_id]
+        text, want = texts[r.doc_id]
         got = [text[s.start : s.end] for k in pii.KINDS for s in r[f"more_{k}"]]
         right, added, wanted = right + len(set(got) & set(want)), added + len(got), wanted + len(want)
     print("added spans:", right, added, wanted)
+    return right, added, wanted
+
+
+def test_op9_added_spans(spark):
+    """Precision and recall of what the method adds, on texts by another writer than the training's."""
+    right, added, wanted = _added(spark, OTHER_TEXTS)
     assert right >= 0.6 * wanted and right >= 0.6 * added, (right, added, wanted)
 
 
+def test_op9_unseen_spans(spark):
+    """On texts read once: 7 of 18 spans found, 1 wrong. The bars were set after that reading and keep it from getting worse."""
+    right, added, wanted = _added(spark, pii_unseen.TEXTS)
+    assert right >= 7 and added - right <= 1 and wanted == 18, (right, added, wanted)
+
+
 def _resolved(text):
     """All spans of a model that takes every proposal at one score, in plain Python."""
     found = {}
