@@ -1,5 +1,5 @@
 """Texts written by hand when op9's model was already there, by someone who had read its snippets but not its results on these:
-text and the spans a reader would add to the base ones. Read once for the README's figure; nothing was tuned on them."""
+text and the spans a reader would add to the base ones. Read once for the README's figure; the model that followed was written with them in view."""
 
 TEXTS = [
     ("For the keys, write to tom.baker (at) riverside.org or knock twice.", ["tom.baker (at) riverside.org"]),
@@ -39,3 +39,47 @@ TEXTS = [
     ("Part no. 4417 2209 1183 0047 is out of stock.", []),
     ("It opened on 12/05/2018 and closed on 01/02/2020.", []),
 ]
+
+#: Written after the model with several generators a kind, for which TEXTS had been seen; read once, nothing was tuned on them.
+LATER = [
+    ("Questions go to the registrar, p.olsen (at) fjordskole (dot) no, until Friday.", ["p.olsen (at) fjordskole (dot) no"]),
+    ("You'll find me under marek77 at skrzynka dot pl most evenings.", ["marek77 at skrzynka dot pl"]),
+    ("Pour le devis : atelier[at]boisclair[dot]fr", ["atelier[at]boisclair[dot]fr"]),
+    ("Our old address was support @ quillbox.io before the merger.", ["support @ quillbox.io"]),
+    ("Escríbeme a lucía.romero (at) correo.es cuando puedas.", ["lucía.romero (at) correo.es"]),
+    ("Dr. Hale picks up at 503 555 0118 on weekdays.", ["503 555 0118"]),
+    ("Whatsapp (303)555-0171 if you are late.", ["(303)555-0171"]),
+    ("Emergency plumber: 0161 496 0832.", ["0161 496 0832"]),
+    ("Sekretariat 030 9018 2044, bitte nur vormittags.", ["030 9018 2044"]),
+    ("Her mobile, 07700 900461, goes straight to voicemail.", ["07700 900461"]),
+    ("Joignez-nous au 01.44.55.66.77 avant midi.", ["01.44.55.66.77"]),
+    ("Toll free 1 888 555 0143, ask for Ruth.", ["1 888 555 0143"]),
+    ("I dictated 6011-0009-9013-9424-1 by mistake, then read 4539.5787.6362.1486 again.", ["4539.5787.6362.1486"]),
+    ("Amex on file: 3714-496353-98431", ["3714-496353-98431"]),
+    ("The stolen Diners number was 3056 930902 5904.", ["3056 930902 5904"]),
+    ("Traffic to 203[.]0[.]113[.]77 was blocked at the edge.", ["203[.]0[.]113[.]77"]),
+    ("Beacon seen at 198.51.100[.]23 after midnight.", ["198.51.100[.]23"]),
+    ("The resolver is 2606:4700:4700::1111 by default.", ["2606:4700:4700::1111"]),
+    ("Set the gateway to fe80::21b:77ff:fe9a:2c1 and restart.", ["fe80::21b:77ff:fe9a:2c1"]),
+    ("Nous étions dix à la fête du 14.07.2019 et du 15.07.2019.", []),
+    ("The recipe needs 250 500 or 750 grams.", []),
+    ("He lives at 1200 5th Avenue, flat 330 4410.", []),
+    ("Flight 4471 departs 06:25:00, gate 12, seat 33.", []),
+    ("Barcode 4006381333931 did not scan.", []),
+    ("ISSN 1234-5679 and DOI 10.1000/182 are both listed.", []),
+    ("Grid reference 518 204 117 933 on the old map.", []),
+    ("She looked at every dot and every line on the page.", []),
+    ("We meet at noon dot dot dot or not at all.", []),
+    ("Eggs were 12 @ 4.99 and milk 2 @ 1.20 that week.", []),
+    ("Heads up: kernel 5.15.0.91.89 was pulled.", []),
+    ("The mac is 9c:b6:d0:11:22:33 on the label.", []),
+    ("Ratio 1:2:3:4 works best for this mortar.", []),
+    ("Use Foo::Bar::baz when the cache is cold.", []),
+    ("Case 2021-CV-004417 was heard on 2022-11-03.", []),
+    ("Revenue rose from 1.204.500.000 to 1.377.250.000 pesos.", []),
+    ("Serial 3344 5566 7788 9900 is printed under the battery.", []),
+    ("Lap times: 58.113 57.904 58.220 57.871", []),
+    ("Account opened 1998 12 04, closed 2003 01 30.", []),
+    ("Pi is 3.14159265358979 to fourteen places.", []),
+    ("Winning numbers 04 11 19 23 38 were drawn.", []),
+]

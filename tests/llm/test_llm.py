@@ -680,9 +680,12 @@ def test_op9_added_spans(spark):
 
 
 def test_op9_unseen_spans(spark):
-    """On texts read once: 7 of 18 spans found, 1 wrong. The bars were set after that reading and keep it from getting worse."""
+    """On texts read once, before any change that had them in view: 14 of 19 spans found, 5 wrong. TEXTS were read earlier (7 of 18 and 1
+    wrong for the model of that time) and seen by who wrote the present one. The bars were set after the readings and keep them from getting worse."""
+    right, added, wanted = _added(spark, pii_unseen.LATER)
+    assert right >= 14 and added - right <= 5 and wanted == 19, (right, added, wanted)
     right, added, wanted = _added(spark, pii_unseen.TEXTS)
-    assert right >= 7 and added - right <= 1 and wanted == 18, (right, added, wanted)
+    assert right >= 17 and added - right <= 1 and wanted == 18, (right, added, wanted)
 
 
 def _resolved(text):
@@ -697,16 +700,17 @@ def _resolved(text):
             base = [m for m in base if (16 <= len(digits(m)) <= 19 and sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits(m)))) % 10 == 0 if kind == "card" else 8 <= len(digits(m)) <= 15)]
         found[kind] = [m.span() for m in base]
     taken = sorted(x for v in found.values() for x in v)
-    tried = [(m.start(), m.end(), i) for i, kind in enumerate(pii.KINDS) for m in regex.finditer(pii.PROPOSALS[kind], text)]
+    tried = {(m.start(), m.end(), i) for i, kind in enumerate(pii.KINDS) for p in pii.PROPOSALS[kind] for m in regex.finditer(p, text)}
     free = [c for c in tried if not any(b[0] < c[1] and c[0] < b[1] for b in taken)]
-    more = [c for c in free if not any(d[2] < c[2] and d[0] < c[1] and c[0] < d[1] for d in free)]
+    rank = lambda c: (c[2], c[0] - c[1], c[0])
+    more = [c for c in free if not any(rank(d) < rank(c) and d[0] < c[1] and c[0] < d[1] for d in free)]
     return {k: (found[k], sorted(c[:2] for c in more if c[2] == i)) for i, k in enumerate(pii.KINDS)}
 
 
 def test_op9_spans_of_dense_texts(spark):
     """Base spans, proposals and their conflicts against plain Python, in texts full of them."""
     rng, texts = random.Random(12), ["", "x"]
-    parts = ["ann@a.com", "10.0.0.1", "256.1.1.1", "1.2.3.4.5.6", "4111 1111 1111 1111", "4111111111111112", "+1 (509) 555-6973", "0049 221 123456", "joe (at) b [dot] org", "im", ", ", " ", ".", "-", "1", "a@", "(555) 123-4567", "é", "\U0001d54f", "\n", "12-34-56-78-90-12-34"]
+    parts = ["ann@a.com", "10.0.0.1", "256.1.1.1", "1.2.3.4.5.6", "4111 1111 1111 1111", "4111111111111112", "+1 (509) 555-6973", "0049 221 123456", "joe (at) b [dot] org", "kim at b dot org", "1[.]2[.]3.4", "fe80::1:2", "1:2:3:4:5:6:7:8", "4111-1111-1111-1112", "3782 822463 10006", "212 555 0187 x44", "im", ", ", " ", ".", "-", "1", "a@", "(555) 123-4567", "é", "\U0001d54f", "\n", "12-34-56-78-90-12-34"]
     texts += ["".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(0, 400))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.spans(df, {"sql": "1.0D", "limits": dict.fromkeys(pii.KINDS, 0.5)}).collect():

@@ -1,14 +1,15 @@
 """Personal data by candidate gradient boosting, with DataFrame and SQL functions only.
 
-Base patterns give spans that always stay. High-recall generators then propose further, overlapping spans of each kind;
-boosted trees score every proposal from its format and its context, and those above a calibrated threshold are added
-where they meet no base span of their kind and no better proposal before them. The trees are trained here, by MLlib,
-on snippets that a rule writes (SNIPPETS rows: real formats and look-alikes such as dates, versions, prices and order
-numbers), three quarters for training, one for the thresholds (the smallest at which PRECISION holds). The trained
-trees become one SQL expression, so every document is handled in its own row: one scan, no shuffle, no Python.
+Base patterns give spans that always stay. High-recall generators, two or three a kind, then propose further spans, which may
+overlap within a kind and between kinds; boosted trees score every proposal from its format and its context, and those above a
+calibrated threshold are added where they meet no base span and overlap no proposal of a higher score (ties: the kind that is
+listed first, then the longer, then the earlier). The trees are trained here, by MLlib, on snippets that a rule writes (SNIPPETS
+rows: real formats and look-alikes such as dates, versions, times, hardware addresses and order numbers), three quarters for
+training, one for the thresholds (the smallest at which PRECISION holds). The trained trees become one SQL expression, so every
+document is handled in its own row: one scan, no shuffle, no Python.
 
-Null text counts as empty: no spans. Repeated rows give repeated results, a null doc_id stays. Offsets are code points,
-end exclusive."""
+Null text counts as empty: no spans. Repeated rows give repeated results, a null doc_id stays; an empty table gives no rows, other
+columns are not read, and a text of any length is handled whole. Offsets are code points, end exclusive."""
 
 import re
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-SNIPPETS, TREES, DEPTH, PRECISION, NEAR = 6000, 12, 3, 0.98, 24
-#: Values that are folded at once. Proposals on either side among which those are that can overlap one: none is longer than 720 characters, shorter than 7, or overlaps another of its kind.
-RUN, AROUND = 128, 512
+SNIPPETS, TREES, DEPTH, PRECISION, NEAR = 6000, 16, 4, 0.98, 24
+#: Values that are folded at once. Proposals on either side among which those are that can overlap one: none is longer than 500 characters or shorter than 5, and one generator's don't overlap (9 generators by 500 / 6).
+RUN, AROUND = 128, 768
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Possessive forms match what the plain ones do without deep recursion; an address starts where its run of characters does.
@@ -32,17 +33,33 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_NAME = r"[\p{L}0-9-]{1,64}+"
+_OWNER = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}+"
+#: Generators by kind: a wide one first, then narrower ones, which find spans that a wide one runs past.
 PROPOSALS = {
-    "email": r"[\p{L}0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[\p{L}0-9-]{1,64}+(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[\p{L}0-9-]{1,64}+){1,8}+",
-    "ip": r"[0-9]{1,3}+(?:\.[0-9]{1,3}+){3,7}+",
-    "card": r"[0-9](?:[\x20.-]?[0-9]){11,22}+",
-    "phone": r"(?:\+|00)?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,16}+",
+    "email": (
+        rf"[\p{{L}}0-9._%+-]{{1,64}}+\x20?(?:@|\(at\)|\[at\])\x20?{_NAME}(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?){_NAME}){{1,5}}+",
+        rf"(?i){_OWNER}\x20at\x20{_NAME}(?:\x20dot\x20{_NAME}){{1,5}}+",
+    ),
+    "ip": (
+        r"[0-9]{1,3}+(?:\.[0-9]{1,3}+){3,7}+",
+        r"(?i)[0-9]{1,3}+(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}+){2}+",
+        r"(?i)(?<![0-9a-z:])(?=[0-9a-f:]{5})(?:[0-9a-f]{0,4}:){2,7}+[0-9a-f]{1,4}+(?![0-9a-z:])",
+    ),
+    "card": (
+        r"[0-9](?:[\x20.-]?[0-9]){11,22}+",
+        r"(?<![0-9])[0-9]{4}([\x20.-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{4,5})(?![0-9])",
+    ),
+    "phone": (
+        r"(?:\+|00)?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,16}+",
+        r"(?i)(?<![0-9])(?:1[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?:,?\x20(?:ext\.?|x|extension)\x20?[0-9]{1,5}+)?+(?![0-9])",
+    ),
 }
 _HINT = {
-    "email": r"(?i)mail|contact|write|@|correo|courriel", "ip": r"(?i)\bip\b|host|server|addr|login|from",
-    "card": r"(?i)card|visa|credit|pay|karte|carte|tarjeta", "phone": r"(?i)tel|phone|call|fax|mobil|tél|ruf",
+    "email": r"(?i)mail|contact|write|inbox|send|reach|correo|courriel|schick|office", "ip": r"(?i)\bip\b|host|server|addr|login|from|answers|router|home to|node|ping",
+    "card": r"(?i)card|visa|credit|pay|karte|carte|tarjeta|express|charge|master", "phone": r"(?i)tel|phone|call|fax|mobil|tél|ruf|ring|cell|line|number|appel|llam|dial|reach|text",
 }
-_OTHER = r"(?i)order|isbn|version|date|total|price|ref|serial|id\b|no\.?$"
+_OTHER = r"(?i)order|isbn|version|date|total|price|ref|serial|id\b|no\.?$|invoice|part|track|section|score|popul|sold|release|item|build|lot\b"
 
 
 def _digits(value: Column) -> Column:
@@ -112,67 +129,73 @@ def matches(text: Column, pattern: str) -> Column:
     return let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda s: let(running(lengths(s), lambda a, x: a + x), lambda ends: placed(s, ends)))
 
 
-def features(kind: str, value: Column, before: Column, after: Column) -> list[Column]:
-    """Format of the span, then its context."""
-    digits = _digits(value)
-    n = F.length(digits)
-    count = lambda c: F.length(value) - F.length(F.regexp_replace(value, c, ""))
+#: Whether the digits of a column d are a card's, in SQL.
+_LUHN = "aggregate(transform(filter(split(reverse(d), ''), c -> c <> ''), (c, i) -> IF(i % 2 = 1, 2 * int(c) - IF(c > '4', 9, 0), int(c))), 0, (a, x) -> a + x) % 10"
+
+
+def features(kind: str) -> list[str]:
+    """Format of the span m.value, whose digits are d, then its context (m.before, m.after), as SQL."""
+    is_ = lambda p, what="m.value": f"IF({what} RLIKE r'{p}', 1, 0)"
+    count = lambda c: f"length(m.value) - length(regexp_replace(m.value, r'{c}', ''))"
     cols = [
-        F.lit(KINDS.index(kind)), F.length(value), n, count(r"[.]"), count("-"), count(" "), count(r"[()]"), F.when(value.startswith("+"), 2).when(value.startswith("00"), 1).otherwise(0),
-        F.when(n.between(12, 23), F.when(luhn(digits), 1).otherwise(0)).otherwise(-1), F.when(value.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 1).otherwise(0),
-        F.when(value.contains("@"), 2).when(value.rlike(r"[(\[]at"), 1).otherwise(0), F.when(value.rlike(r"[.\])\x20][A-Za-z]{2,6}$"), 1).otherwise(0),
-        F.when(value.rlike(r"^(?:19|20)[0-9]{2}[.-]?(?:0[1-9]|1[0-2])[.-]?[0-3][0-9]"), 1).otherwise(0),
-        F.when(before.rlike(_HINT[kind] + r"[^.\n]{0,12}$"), 1).otherwise(0), F.when(before.rlike(r"(?:" + _OTHER + r")[^.\n]{0,8}$"), 1).otherwise(0),
-        F.when(before.rlike(r"[\p{L}0-9.$€#-]$"), 1).otherwise(0), F.when(after.rlike(r"^[\p{L}0-9%-]"), 1).otherwise(0),
+        str(KINDS.index(kind)), "length(m.value)", "length(d)", count("[.]"), count("-"), count(" "), count("[()]"), count(":"), count("[A-Fa-f]"),
+        "CASE WHEN m.value LIKE '+%' THEN 3 WHEN m.value LIKE '00%' THEN 2 WHEN m.value RLIKE r'^\\(?0' THEN 1 ELSE 0 END",
+        f"IF(length(d) BETWEEN 12 AND 23, IF({_LUHN} = 0, 1, 0), -1)", is_(rf"^{_PART}(?:(?:\[?\(?(?:\.|dot)\)?\]?){_PART}){{3}}$"),
+        "CASE WHEN m.value LIKE '%@%' THEN 2 WHEN m.value RLIKE r'[(\\[]at' THEN 1 ELSE 0 END", is_(r"[.\])\x20][A-Za-z]{2,6}$"),
+        is_(r"(?i)\x20(?:at|dot)\x20(?:the|a|an|this|that|my|our|his|her|its|their)\x20"), is_(r"^(?:19|20)[0-9]{2}[.\x20-]?(?:0[1-9]|1[0-2])[.\x20-]?[0-3][0-9]"),
+        is_(r"^(?:19|20)[0-9]{2}[\x20-]"), is_(r"^(?:1[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}"), is_(r"^0[0-9](?:[\x20.-][0-9]{2}){4}$"),
+        is_(r"^[0-9]{4}([\x20.-]?)(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{4,5})$"), is_(r"(?i)^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$|^[^.]*::[^.]*$"),
+        is_(r"(?i)^[0-9a-f]{2}(?::[0-9a-f]{2}){5}$"), is_(r"(?i)x"),
+        is_(_HINT[kind] + r"[^.\n]{0,14}$", "m.before"), is_(r"(?:" + _OTHER + r")[^.\n]{0,9}$", "m.before"), is_(r"[\p{L}0-9.$€#-]$", "m.before"), is_(r"^[\p{L}0-9%-]", "m.after"),
     ]
-    return [c.cast("double") for c in cols]
+    return [f"double({c})" for c in cols]
 
 
-N_FEATURES = 17
+N_FEATURES = 27
+#: Snippets: # stands for a digit, ! for the check digit of those before, ~ for a word, ^ for 0 to 255, $ for one to four hexadecimal digits, % for two.
+_WORDS = "anna lee maria rob info kim sales tom hello karl ines acme north river studio press desk lab blue stone garden peters jo vega".split()
+_YES = {
+    "email": ("~.~@~.com", "~## (at) ~.org", "~_~ [at] ~ [dot] de", "~ at ~ dot com", "~.~ at ~ dot co dot uk", "~ @ ~.net", "~.~(at)~.de", "~ (at) ~ (dot) org", "~[at]~.example.com"),
+    "ip": ("^.^.^.^", "^[.]^[.]^[.]^", "^(.)^(.)^(.)^", "^.^.^[.]^", "^[dot]^[dot]^[dot]^", "$:$:$:$:$:$:$:$", "$:$:$::$", "$::$:$:$:$", "20##:$:$:0:0:$:$:$", "fe80::$:$:$:$"),
+    "card": ("#### #### #### ###!", "####.####.####.###!", "####-####-####-###!", "###############!", "3##############!", "3#############!", "3### ###### ####!", "3###-######-####!", "3### ###### ###!"),
+    "phone": ("(###) ###-####", "(0##) ###-####", "00## ### ######", "00## ## ########", "###-###-####", "###-###-####", "###.###.####", "### ### ####", "1-###-###-####", "0# ## ## ## ##", "0### ######", "0## #### ####", "###-###-#### ext. ##", "(###) ###-#### x###", "+# (###) ###-####"),
+}
+_NO = {
+    "email": ("## @ #.##", "~ @ ##.##", "~ at the dot com ~", "us at a dot com ~", "# @ #.##", "~ at this dot ~"),
+    "ip": ("###.5##.##.###", "^.^.^.^.^.^", "1#:##:##", "0#:##:##:##", "%:%:%:%:%:%", "#.##.#.3##", "##:##:##.###", "#:##:##"),
+    "card": ("#################", "########-########", "97###########", "#### #### #### ####", "####-####-####", "## ### ### ### ###", "######################", "978-#-###-#####-#", "############"),
+    "phone": ("20##-0#-1# ####", "20##-1#-2#", "20##-###-####", "#########", "###.###.###", "##############", "# ### ### ###", "## ### ###", "####-####-####", "978-#-##-######-#", "##-## ##-## ##-##", "######-####"),
+}
+_BEFORE = {
+    "email": ("mail me: ", "contact ", "write to ", "e-mail: ", "reach us via ", "send it to ", "inbox: ", "correo: "), "ip": ("from ", "host ", "server at ", "login by ", "ping ", "address: ", "the router answers at "),
+    "card": ("card ", "pay with ", "charge it to ", "credit card no. ", "visa: ", "carte ", "her card was "), "phone": ("call ", "tel. ", "phone: ", "fax: ", "her cell is ", "ring us on ", "text ", "the number is ", "dial "),
+}
+_PLAIN = ("of the ", "and ", "or ", "it was ", "then ", "we saw ", "is still ")
+_BAD = ("order no. ", "total ", "version ", "id ", "dated ", "ref: ", "invoice ", "part no. ", "ISBN ", "tracking number ", "sections ", "sold ", "the scores ", "release ", "item ", "between ", "at ")
+_AFTER = (" and", ".", ", is", " today", " please", ", thanks")
 
 
 def snippets(spark: SparkSession, n: int = SNIPPETS) -> DataFrame:
-    """(id, kind, text, y): written by rule from hashes of the id, half of them look-alikes."""
-    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**12))
-    num = lambda k, d: F.lpad((h(k) % 10**d).cast("string"), d, "0")
-    pick = lambda k, *xs: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), (h(k) % len(xs) + 1).cast("int"))
-    cat = F.concat
-    body = cat(num(1, 8), num(2, 7))
-    odd = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.when(i % 2 == 0, F.substring(body, i + 1, F.lit(1)).cast("int") * 2 - F.when(F.substring(body, i + 1, F.lit(1)).cast("int") > 4, 9).otherwise(0)).otherwise(F.substring(body, i + 1, F.lit(1)).cast("int"))), F.lit(0), lambda a, x: a + x)
-    card = cat(body, (F.pmod(-odd, F.lit(10))).cast("string"))
-    sep = pick(60, " ", "-", ".", "")
-    dotted = cat(*[x for i in range(4) for x in (F.substring(card, 1 + 4 * i, 4), sep)][:-1])
-    word = lambda k: pick(k, "anna", "lee", "the", "maria", "rob", "info", "kim", "sales")
-    octet = lambda k: (h(k) % 256).cast("string")
-    local = cat(word(3), pick(4, ".", "_", ""), num(5, 2))
-    yes = {
-        "email": pick(6, cat(local, pick(7, "@", " (at) ", " [at] ", "@"), word(8), pick(9, ".com", ".org", ".example.com", " (dot) com")), cat(local, F.lit("@"), word(8), F.lit(".net"))),
-        "ip": F.concat_ws(".", octet(10), octet(11), octet(12), octet(13)),
-        "card": pick(14, card, dotted),
-        "phone": pick(15, cat(F.lit("+"), num(16, 1), F.lit(" ("), num(17, 3), F.lit(") "), num(18, 3), F.lit("-"), num(19, 4)), cat(F.lit("("), num(17, 3), F.lit(") "), num(18, 3), F.lit("-"), num(19, 4)), cat(F.lit("00"), num(16, 2), F.lit(" "), num(17, 3), F.lit(" "), num(18, 6)), cat(num(17, 3), F.lit("-"), num(18, 3), F.lit("-"), num(19, 4))),
-    }
-    date = cat(F.lit("20"), num(20, 2), F.lit("-"), F.lpad((h(21) % 12 + 1).cast("string"), 2, "0"), F.lit("-"), num(22, 2), F.lit(" "), num(23, 4))
-    no = {
-        "email": cat(word(24), F.lit(" @ "), num(25, 2), F.lit("."), num(26, 2)),
-        "ip": pick(27, F.concat_ws(".", num(28, 3), (h(29) % 700 + 256).cast("string"), num(30, 2), num(31, 3)), F.concat_ws(".", octet(10), octet(11), octet(12), octet(13), octet(32), octet(33))),
-        "card": pick(34, cat(num(35, 9), num(36, 8)), cat(num(35, 8), F.lit("-"), num(36, 8)), cat(F.lit("97"), num(37, 11))),
-        "phone": pick(38, date, num(39, 9), cat(num(40, 3), F.lit("."), num(41, 3), F.lit("."), num(42, 3)), cat(num(43, 8), num(44, 6))),
-    }
-    good = {"email": pick(45, "mail me: ", "contact ", "of the "), "ip": pick(45, "from ", "host ", "of the "), "card": pick(45, "card ", "pay with ", "of the "), "phone": pick(45, "call ", "tel. ", "phone: ", "or ")}
-    bad = pick(46, "order no. ", "total ", "version ", "id ", "of the ", "dated ", "ref: ")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("id") % 4 + 1).cast("int"))
-    y = F.pmod(F.floor(F.col("id") / 4), F.lit(2)) == 0
-    choose = lambda d: F.coalesce(*(F.when(kind == k, d[k]) for k in KINDS))
-    text = F.when(y, F.concat(choose(good), choose(yes), pick(47, " and", ".", ", is"))).otherwise(F.concat(bad, choose(no), pick(47, " and", ".", ", is")))
-    return spark.range(0, n, 1, 2).select("id", kind.alias("kind"), text.alias("text"), y.cast("double").alias("y"))
-
-
-def _proposed(kind: str, text: Column) -> Column:
-    """Proposals of a kind with their features: array of (start, end, x)."""
-    def one(m):
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array(*features(kind, m["value"], m["before"], m["after"])).alias("x"))
-
-    return F.transform(matches(text, PROPOSALS[kind]), one)
+    """(id, kind, text, y): written by rule from hashes of the id, half of them look-alikes. Three in ten of either have a plain context."""
+    hashed = lambda *k: f"pmod(xxhash64(id, {', '.join(k)}), {{}})"
+    pick = lambda xs, k: "element_at(array(" + ", ".join(f"'{x}'" for x in xs) + f"), int({hashed(k).format(len(xs))}) + 1)"
+    by_kind = lambda of, k: "CASE kind " + " ".join(f"WHEN '{kind}' THEN {pick(of[kind], k)}" for kind in KINDS) + " END"
+    tail = lambda size: f"right(lower(hex(xxhash64(id, i, 'x'))), int({size}))"
+    signs = {"#": f"string({hashed('i').format(10)})", "~": pick(_WORDS, "i + 100"), "^": f"string({hashed('i').format(256)})", "$": tail(hashed("i", "'n'").format(4) + " + 1"), "%": tail("2")}
+    filled = "array_join(transform(split(form, ''), (c, i) -> CASE c " + " ".join(f"WHEN '{c}' THEN {sql}" for c, sql in signs.items()) + " ELSE c END), '')"
+    rows = spark.range(0, n, 1, 2).selectExpr("id", "element_at(array('" + "', '".join(KINDS) + "'), int(id % 4) + 1) kind", "pmod(floor(id / 4), 2) = 0 y")
+    rows = rows.selectExpr("id", "kind", "y", f"IF(y, {by_kind(_YES, '1')}, {by_kind(_NO, '2')}) form")
+    rows = rows.selectExpr("id", "kind", "y", f"{filled} body", f"IF({hashed('3').format(10)} < 3, {pick(_PLAIN, '4')}, IF(y, {by_kind(_BEFORE, '5')}, {pick(_BAD, '6')})) lead", f"{pick(_AFTER, '7')} tail")
+    rows = rows.selectExpr("id", "kind", "y", "body", "lead", "tail", "regexp_replace(replace(body, '!', '0'), '[^0-9]', '') d")
+    return rows.selectExpr("id", "kind", f"concat(lead, replace(body, '!', IF(body LIKE '%!%', string(pmod(-{_LUHN}, 10)), '')), tail) text", "double(y) y")
+
+
+def with_proposals(rows: DataFrame, kind: str, use: Column | None = None) -> DataFrame:
+    """rows with try_<kind>: the proposals of all its generators with their features, an array of (start, end, x); null where use is false."""
+    found = F.concat(*(matches(F.col("text"), p) for p in PROPOSALS[kind]))
+    rows = rows.withColumn("_found", found if use is None else F.when(use, found))
+    x = "transform(array(regexp_replace(m.value, '[^0-9]', '')), d -> array({}))[0]".format(", ".join(features(kind)))
+    return rows.withColumn(f"try_{kind}", F.expr(f"transform(_found, m -> named_struct('start', m.start, 'end', m.end, 'x', {x}))")).drop("_found")
 
 
 def _tree_sql(lines: list[str], x: str) -> str:
@@ -188,10 +211,10 @@ def _tree_sql(lines: list[str], x: str) -> str:
 
 def fit(spark: SparkSession, n: int = SNIPPETS) -> dict:
     """The trees as SQL over an array x, and the threshold of each kind."""
-    found = snippets(spark, n)
+    found = snippets(spark, n).cache()
     rows = None
     for kind in KINDS:
-        part = found.where(F.col("kind") == kind).select("id", "kind", "y", F.explode(_proposed(kind, F.col("text"))).alias("p")).select("id", "kind", "y", *(F.col("p.x")[i].alias(f"f{i}") for i in range(N_FEATURES)))
+        part = with_proposals(found.where(F.col("kind") == kind), kind).select("id", "kind", "y", F.explode(f"try_{kind}").alias("p")).select("id", "kind", "y", *(F.col("p.x")[i].alias(f"f{i}") for i in range(N_FEATURES)))
         rows = part if rows is None else rows.unionByName(part)
     rows = VectorAssembler(inputCols=[f"f{i}" for i in range(N_FEATURES)], outputCol="features").transform(rows).cache()
     train = rows.where("pmod(xxhash64(id, 'split'), 4) > 0")
@@ -207,6 +230,7 @@ def fit(spark: SparkSession, n: int = SNIPPETS) -> dict:
     held = rows.where("pmod(xxhash64(id, 'split'), 4) = 0").select("kind", "y", x).select("kind", "y", F.expr(sql).alias("s"))
     steps = held.groupBy("kind", F.round("s", 2).alias("s")).agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()  # a few hundred rows
     rows.unpersist()
+    found.unpersist()
     limits = {}
     for kind in KINDS:
         own = sorted(((r.s, r.p, r.n) for r in steps if r.kind == kind), reverse=True)
@@ -236,16 +260,19 @@ def _free(taken: Column, scored: Column) -> Column:
 
 
 def _unbeaten(free: Column) -> Column:
-    """Proposals that overlap none of another kind that scores higher (or as high, and its kind is listed first)."""
+    """Proposals that overlap none of a higher score (or as high, and its kind is listed first, or it is longer, or begins earlier).
+    A span that several generators propose counts once."""
     def best(m):
         def beaten(c, i):
             near = F.slice(m, F.greatest(i + 1 - AROUND, F.lit(1)), F.lit(2 * AROUND + 1))
-            better = lambda d: (d["kind"] != c["kind"]) & (d["start"] < c["end"]) & (c["start"] < d["end"]) & ((d["s"] > c["s"]) | ((d["s"] == c["s"]) & (d["kind"] < c["kind"])))
-            return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.exists(near, better).alias("beaten"))
+            meets = lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"])
+            rank = lambda d: F.struct((-d["s"]).alias("s"), d["kind"].alias("kind"), (d["start"] - d["end"]).alias("n"), d["start"].alias("start"))
+            return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.exists(near, lambda d: meets(d) & (rank(d) < rank(c))).alias("beaten"))
 
         return F.filter(F.transform(m, beaten), lambda c: ~c["beaten"])
 
-    return let(F.array_sort(free), best)
+    once = lambda m: F.filter(m, lambda c, i: (i == 0) | (c != F.get(m, i - 1)))
+    return let(let(F.array_sort(free), once), best)
 
 
 def spans(docs: DataFrame, model: dict) -> DataFrame:
@@ -254,12 +281,14 @@ def spans(docs: DataFrame, model: dict) -> DataFrame:
     text = F.col("text")
     pair = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))
     nothing = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    needs = {"email": text.rlike(r"@|[(\[]at"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20.-]?[0-9]){11}"), "phone": text.rlike(r"\+[0-9]|[0-9](?:[\x20().-]{0,2}[0-9]){6}")}
+    needs = {
+        "email": text.rlike(r"(?i)@|[(\[]at|\x20dot\x20"), "ip": text.rlike(r"(?i)[0-9][\])]?\.|[0-9][(\[]|[0-9a-f]?:[0-9a-f]*:"), "card": text.rlike(r"[0-9](?:[\x20.-]?[0-9]){11}"),
+        "phone": text.rlike(r"\+[0-9]|[0-9](?:[\x20().-]{0,2}[0-9]){6}"),
+    }
     out = texts
     for kind in KINDS:
-        use = needs[kind]
         base = F.transform(F.filter(matches(text, BASE[kind]), _stands(kind)), pair)
-        out = out.withColumn(f"base_{kind}", F.when(use, base).otherwise(nothing)).withColumn(f"try_{kind}", F.when(use, _proposed(kind, text)))
+        out = with_proposals(out.withColumn(f"base_{kind}", F.when(needs[kind], base).otherwise(nothing)), kind, needs[kind])
     for kind in KINDS:
         scored = F.expr(f"filter(transform(try_{kind}, c -> named_struct('start', c.start, 'end', c.end, 's', transform(array(c.x), x -> {model['sql']})[0])), c -> c.s > {model['limits'][kind]}D)")
         out = out.withColumn(f"scored_{kind}", scored)
