@@ -1,6 +1,6 @@
 """WAV recordings as a Spark data source: spark.read.format("wav"), df.write.format("wav") and writeStream.format("wav").
 
-Reading deals byte ranges of a file to tasks, so a recording of several GB is read by many; a range is brought down to a
+Reading deals byte ranges of a file to tasks, so a recording of several GB is read by many and many short ones share a task; a range is brought down to a
 lower rate with the samples of its neighbours that the filter reaches. Conditions on idx narrow the ranges that are read at all
 (with the option pushdown, which asks for spark.sql.python.filterPushdown.enabled). 16-bit PCM of one or two channels is understood, plain or extensible,
 and RF64 beyond 4 GB; a recording whose header was never finished is read to its end.
@@ -29,8 +29,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from turnwise.operators.signal import sinc_kernel
 
-#: Frames that a task reads, frames of a batch, files that a task keeps open.
+#: Frames of a range, frames of a batch, files that a task keeps open.
 SPLIT, BATCH, OPEN = 1 << 22, 1 << 16, 64
+#: Ranges share a task up to so many frames, each counting at least LEAST for the opening of its file.
+SHARE, LEAST = 1 << 18, 1 << 8
 #: Bytes before the samples in files written here: room for the 64-bit sizes of RF64.
 HEADER = 80
 _LARGEST = 2**32 - 1 - HEADER
@@ -90,7 +92,7 @@ def header_bytes(rate: int, channels: int, frames: int) -> bytes:
 
 
 @dataclass
-class Span(InputPartition):
+class Span:
     """Output samples low to high of a file."""
 
     path: str
@@ -99,6 +101,26 @@ class Span(InputPartition):
     high: int
 
 
+@dataclass
+class Share(InputPartition):
+    """The ranges that a task reads, one after another."""
+
+    spans: list[Span]
+
+
+def _shares(spans: list[Span]) -> list[Share]:
+    """Neighbouring ranges put together, so that many short recordings don't make as many tasks."""
+    out, room = [], 0
+    for span in spans:
+        cost = max(span.high - span.low, LEAST)
+        if cost > room:
+            out.append(Share([]))
+            room = SHARE
+        out[-1].spans.append(span)
+        room -= cost
+    return out
+
+
 class WavReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.channel = options["path"], options.get("channel", "both")
@@ -115,7 +137,7 @@ class WavReader(DataSourceReader):
             raise ValueError(f"{path}: {header.rate} Hz can't be brought down to {to} Hz")
         return header.rate // to
 
-    def partitions(self) -> list[Span]:
+    def partitions(self) -> list[Share]:
         fs, root = locate(self.path)
         found = fs.get_file_info(root)
         if found.type == pafs.FileType.NotFound:
@@ -132,11 +154,22 @@ class WavReader(DataSourceReader):
         for name, h in zip(names, headers, strict=True):
             n = -(-h.frames // self._factor(h, name))
             spans += [Span(name, h, k, min(k + self.split, n, self.high)) for k in range(self.low, min(n, self.high), self.split)]
-        return spans or [Span(root, Header(1, 1, 0, 0), 0, 0)]
-
-    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
-        if span.high <= span.low:
-            return
+        return _shares(spans) or [Share([])]
+
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        """Short batches of several ranges are sent as one."""
+        held, n = [], 0
+        for span in share.spans:
+            for batch in self._batches(span):
+                if held and n + len(batch) > BATCH:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, n = [], 0
+                held.append(batch)
+                n += len(batch)
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _batches(self, span: Span) -> Iterator[pa.RecordBatch]:
         h, factor = span.header, self._factor(span.header, span.path)
         taps = np.array(sinc_kernel(factor))[::-1] if factor > 1 else np.ones(1)
         half, width = len(taps) // 2, 2 * h.channels
@@ -288,8 +321,8 @@ class WavWriter(_Sink, DataSourceArrowWriter):
                 raise ValueError(f"{session}: a place has more than one sample")
             if not self.overwrite and os.path.exists(self.final(session)):
                 raise FileExistsError(self.final(session))
-        for session, (_, frames) in total.items():
-            _finish(self._part(session), self.rate, self.channels, frames)
+        with ThreadPoolExecutor(16) as pool:  # they mostly wait for the disk
+            list(pool.map(lambda item: _finish(self._part(item[0]), self.rate, self.channels, item[1][1]), total.items()))
         for session in total:
             os.replace(self._part(session), self.final(session))
 
