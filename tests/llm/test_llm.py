@@ -640,6 +640,14 @@ def test_op5_and_keep_hostile_rows(spark, docs, empty):
     assert mixing.op5(empty, labels).count() == 0 and mixing.keep(empty, model, {"good": 1.0}).count() == 0
 
 
+def test_op5_trains_on_a_text_an_id(spark):
+    """Repeated rows of an id neither weigh more nor reach the driver; of several texts the shortest counts."""
+    real, labels = spark.read.parquet(f"{SF}/documents.parquet"), mixing.labelled(spark.read.parquet(f"{SF}/labels.parquet"))
+    longer = real.withColumn("text", F.concat("text", F.lit(" toxic words that no one is to learn")))
+    once, often = (mixing.fit(x, labels, mixing.DOMAINS) for x in (real, real.union(longer).union(real)))
+    assert len(once.words) and np.array_equal(once.slot, often.slot) and np.array_equal(once.words, often.words) and np.array_equal(once.dense, often.dense)
+
+
 def test_op9_trees_as_sql(spark):
     """The SQL of the trees gives what MLlib's own model predicts."""
     from pyspark.ml.functions import array_to_vector

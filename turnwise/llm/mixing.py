@@ -6,7 +6,8 @@ projected gradient from a rate of one. A step moves a document's rate by its pos
 for all (the residual, scaled by the inverse curvature of the documents still free to move, or plain), so an iteration is
 two aggregates over (tokens, posterior) and only such vectors, as long as the number of domains, pass the driver.
 
-Training takes at most TRAIN_DOCS labelled documents in order of a hash of their id. Inputs are the words (hashed to
+Training takes at most TRAIN_DOCS labelled documents in order of a hash of their id (of rows that share an id, the shortest
+text), so what the driver trains on doesn't grow with the rows of an id. Inputs are the words (hashed to
 WORDS buckets, those that tell domains apart by |z| >= Z) and the shares of character classes; labels, ids, lang and
 source are not. Null text counts as empty. Without labels the posterior is even. A domain no document can supply keeps
 what residual it has. Repeated rows are documents of their own; a null doc_id is kept."""
@@ -98,10 +99,11 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int = TRAIN_DOCS) -> Classifier:
-    """A classifier from `most` rows at most of labelled (doc_id, domain)."""
+    """A classifier from `most` rows at most of labelled (doc_id, domain), a text each."""
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "domain").agg(F.min(F.struct(F.octet_length("text").alias("size"), "text")).alias("t")).select("doc_id", "t.text", "domain")
 
     def measured(batches):
         for batch in batches:
